@@ -25,6 +25,11 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def _mark(share: Column) -> Column:
+    """Whole marks out of 1000. Rounding at 6 places first keeps exact halves independent of summing order."""
+    return F.round(F.round(F.lit(1000) * share, 6))
+
+
 def _scored(df: DataFrame) -> DataFrame:
     df = df.withColumns({
         "total": F.coalesce("total", F.lit(0).cast("bigint")),
@@ -68,7 +73,7 @@ def readiness_rollup(items: DataFrame, state: DataFrame, key: str = "item_id") -
 
 def projection(areas: DataFrame, deadline: Column, as_of: Column, by: Sequence[str] = ()) -> DataFrame:
     """Projected mark out of 1000, pass forecast, days left."""
-    score = F.round(F.lit(1000) * F.sum(F.col("weight") * F.col("score"))).cast("int")
+    score = _mark(F.sum(F.col("weight") * F.col("score"))).cast("int")
     return areas.groupBy(*by).agg(score.alias("projected_score")).withColumns({
         "on_track": F.col("projected_score") >= k.PASS_MARK,
         "days_to_exam": days_left(deadline, as_of),
@@ -109,7 +114,7 @@ def session_scores(results: DataFrame, strata: Strata, session: str = "session_i
     areas = session_areas(results, strata, session)
     total = F.sum("weight")
     return areas.groupBy(session).agg(
-        F.when(total == 0, 0).otherwise(F.round(F.lit(1000) * (F.sum(F.col("weight") * (F.col("n_correct") / F.col("seen"))) / total)))
+        F.when(total == 0, 0).otherwise(_mark(F.sum(F.col("weight") * (F.col("n_correct") / F.col("seen"))) / total))
         .cast("int").alias("score"),
         F.sum("seen").alias("seen"), F.sum("n_correct").alias("n_correct"), F.sum("elapsed_ms").alias("elapsed_ms"),
     ).withColumn("passed", F.col("score") >= k.PASS_MARK)
