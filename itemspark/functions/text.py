@@ -82,7 +82,7 @@ def split_sections(block: Column) -> Column:
 
 def split_options(head: Column) -> Column:
     """struct(stem, options): labelled list items; a body runs to the next label, even a repeated one."""
-    pieces = F.split(F.regexp_replace(head, r"(?md)^\s*([A-F])\.\s*(?=\S.*$)", f"{CUT}$1{TAG}"), CUT)
+    pieces = F.split(F.regexp_replace(head, f"(?md){k.OPTION}", f"{CUT}$1{TAG}$2"), CUT)
     found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: F.struct(
         F.substring_index(p, TAG, 1).alias("key"), clean_block(F.substring_index(p, TAG, -1)).alias("text")))
     return F.struct(F.get(pieces, F.lit(0)).alias("stem"), first_by(found, "key").cast(OPTIONS_TYPE).alias("options"))
