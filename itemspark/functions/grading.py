@@ -1,0 +1,92 @@
+"""Grading expressions: exact sets, fuzzy slots, option outcomes."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from itemspark.functions import items as it
+
+
+def _latin_table() -> tuple[str, str]:
+    """Lower-case Latin letters whose compatibility decomposition is one ASCII letter plus marks."""
+    src, dst = [], []
+    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        ch = chr(cp)
+        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if ch == ch.lower() and len(base) == 1 and base.isascii() and base.isalnum():
+            src.append(ch)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+ACCENTED, PLAIN = _latin_table()
+
+
+@F.pandas_udf(T.StringType())
+def _decompose(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKD")
+
+
+def normalise(text: Column, exact: bool = False) -> Column:
+    """Lower case, accents and apostrophes off, every other run of non-alphanumerics to one blank.
+
+    The default folds Latin letters with a translate table and stays in the JVM; ``exact`` decomposes all
+    of Unicode in Arrow batches.
+    """
+    low = F.lower(text)
+    low = _decompose(low) if exact else F.translate(low, ACCENTED, PLAIN)
+    low = F.regexp_replace(low, "[̀-ͯ’']", "")
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
+
+
+def normalised_match(given: Column, expected: Column) -> Column:
+    """Equal, or within one slip per eight characters of the longer side; blanks never match."""
+    allowed = F.floor(F.greatest(F.length(given), F.length(expected)) / 8)
+    near = (F.abs(F.length(given) - F.length(expected)) <= allowed) & (F.levenshtein(given, expected) <= allowed)
+    return F.coalesce(
+        F.when((given == "") | (expected == ""), False).when(given == expected, True).otherwise(F.when(allowed > 0, near).otherwise(False)),
+        F.lit(False))
+
+
+def answers_match(given: Column, expected: Column, exact: bool = False) -> Column:
+    return normalised_match(normalise(given, exact), normalise(expected, exact))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """All-or-nothing: equal as upper-cased multisets."""
+    up = lambda xs: F.array_sort(F.transform(xs, F.upper))
+    return F.coalesce(up(a) == up(b), F.lit(False))
+
+
+def grade_slots(values: Column, boxes: Column) -> Column:
+    """One verdict per slot; a missing response is wrong."""
+    return F.transform(boxes, lambda b, i: answers_match(F.coalesce(F.get(values, i), F.lit("")), b["answer"]))
+
+
+def grade() -> Column:
+    """struct(correct, per_box, self_graded, ungradeable) from item columns and a response (kind, keys, box_values, verdict)."""
+    expected, kind = it.response_kind(), F.col("kind")
+    slots = grade_slots(F.col("box_values"), F.col("boxes"))
+    none = F.lit(None).cast("array<boolean>")
+
+    def out(correct, per_box=none, self_graded=False, ungradeable=False):
+        return F.struct(correct.alias("correct"), per_box.alias("per_box"), F.lit(self_graded).alias("self_graded"), F.lit(ungradeable).alias("ungradeable"))
+
+    return (
+        F.when(it.is_dead_end(), out(F.lit(False), self_graded=True, ungradeable=True))
+        .when((expected == "choice") & (kind == "choice"), out(same_set(F.col("keys"), F.col("correct"))))
+        .when((expected == "boxes") & (kind == "boxes"), out((F.size(slots) > 0) & F.forall(slots, lambda x: x), slots))
+        .otherwise(out(F.coalesce((kind == "self") & (F.col("verdict") == "correct"), F.lit(False)), self_graded=True))
+    )
+
+
+def option_outcome(key: Column, correct: Column, chosen: Column) -> Column:
+    k = F.upper(key)
+    has = lambda xs: F.coalesce(F.array_contains(F.transform(xs, F.upper), k), F.lit(False))
+    right, picked = has(correct), has(chosen)
+    return F.when(picked & right, "chosen-correct").when(picked, "chosen-wrong").when(right, "missed").otherwise("neutral")
