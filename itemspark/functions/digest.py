@@ -11,7 +11,11 @@ from itemspark.functions.identity import collapse
 
 def clip(raw: Column, width: int) -> Column:
     """Cut at a word boundary; struct(text, cut)."""
-    text = collapse(raw)
+    return clip_flat(collapse(raw), width)
+
+
+def clip_flat(text: Column, width: int) -> Column:
+    """:func:`clip` for text whose whitespace is already collapsed."""
     head = F.substring(text, 1, width)
     blank = F.length(head) - F.instr(F.reverse(head), " ")
     has_blank = F.instr(head, " ") > 0
@@ -27,16 +31,25 @@ def strip_boilerplate(text: Column) -> Column:
     return text
 
 
-def cue_text(stem: Column, subtopic: Column) -> Column:
-    """What was asked: last question sentence, else the goal line, else the line before it, and so on."""
-    plain = strip_boilerplate(stem)
-    lines = F.filter(F.transform(F.split(plain, "\n"), collapse), lambda x: x != "")
-    asks = F.regexp_extract_all(collapse(plain), F.lit(r"[^.?!]+\?"), F.lit(0))
-    ask = F.when(F.size(asks) > 0, collapse(F.element_at(asks, -1)))
-    is_goal = lambda x: x.rlike(r"(?i)^you (need|must|are asked) to\b")
-    goal = F.get(F.filter(lines, is_goal), F.lit(0))
-    at = F.coalesce(F.array_position(F.transform(lines, is_goal), F.lit(True)), F.lit(0))
-    before = F.when(at > 1, F.get(lines, (at - 2).cast("int")))
+def cue_lines(plain: Column) -> Column:
+    """Non-empty collapsed lines of a stem without boilerplate."""
+    return F.filter(F.transform(F.split(plain, "\n"), collapse), lambda x: x != "")
+
+
+def last_question(flat: Column) -> Column:
+    asks = F.regexp_extract_all(flat, F.lit(r"[^.?!]+\?"), F.lit(0))
+    return F.when(F.size(asks) > 0, collapse(F.element_at(asks, -1)))
+
+
+def goal_position(lines: Column) -> Column:
+    """1-based place of the first line stating a goal; 0 when there is none."""
+    return F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(r"(?i)^you (need|must|are asked) to\b")), F.lit(True)), F.lit(0)).cast("int")
+
+
+def choose_cue(lines: Column, ask: Column, goal_at: Column, subtopic: Column) -> Column:
+    """Last question sentence if substantial, else the goal line, else the line before it, and so on."""
+    goal = F.when(goal_at > 0, F.get(lines, goal_at - 1))
+    before = F.when(goal_at > 1, F.get(lines, goal_at - 2))
     last = F.when(F.size(lines) > 0, F.element_at(lines, -1))
     return (
         F.when(F.length(ask) >= 28, ask).when(F.length(goal) >= 40, goal)
@@ -44,10 +57,6 @@ def cue_text(stem: Column, subtopic: Column) -> Column:
     )
 
 
-def cue(stem: Column, subtopic: Column) -> Column:
-    return clip(cue_text(stem, subtopic), k.CUE_MAX)
-
-
 def answer_line(kind: Column, correct: Column, options: Column, boxes: Column) -> Column:
     """The answer by response kind; struct(text, cut)."""
     def choice(key):
@@ -55,28 +64,22 @@ def answer_line(kind: Column, correct: Column, options: Column, boxes: Column) -
         return F.when(hit.isNotNull(), F.concat(key, F.lit(". "), hit["text"])).otherwise(
             F.concat(key, F.lit(" — no such option in the bank")))
     choices = clip(F.array_join(F.transform(correct, choice), " · "), k.ANSWER_MAX)
-    parts = F.transform(F.array_sort(boxes), lambda b: F.struct(b["box"].alias("box"), clip(b["answer"], k.BOX_MAX).alias("c")))
+    flat = F.transform(F.array_sort(boxes), lambda b: F.struct(b["box"].alias("box"), collapse(b["answer"]).alias("t")))
+    parts = F.transform(flat, lambda b: F.struct(b["box"].alias("box"), clip_flat(b["t"], k.BOX_MAX).alias("c")))
     boxed = F.struct(
         F.array_join(F.transform(parts, lambda p: F.concat(p["box"].cast("string"), F.lit(". "), p["c"]["text"])), " · ").alias("text"),
-        F.exists(parts, lambda p: p["c"]["cut"]).alias("cut"))
+        F.exists(flat, lambda b: F.length(b["t"]) > k.BOX_MAX).alias("cut"))
     self_graded = F.struct(F.lit("in the image — you graded this one yourself").alias("text"), F.lit(False).alias("cut"))
     return F.when(kind == "choice", choices).when(kind == "boxes", boxed).otherwise(self_graded)
 
 
-def first_sentence(text: Column) -> Column:
-    flat = collapse(text)
-    hit = F.regexp_extract(flat, r"(?U)^.*?[.?!](?=\s|$)", 0)
-    return F.when(hit != "", hit).otherwise(flat)
+def reason_body(explanation: Column) -> Column:
+    """The explanation without its numbered slot lines, collapsed."""
+    return collapse(F.array_join(F.filter(F.split(explanation, "\n"), lambda x: ~x.rlike(r"(?iU)^\s*Box \d+\s*:")), "\n"))
 
 
-def why_line(explanation: Column) -> Column:
-    """First sentence of the explanation without its slot lines; struct(text, cut)."""
-    body = F.array_join(F.filter(F.split(explanation, "\n"), lambda x: ~x.rlike(r"(?iU)^\s*Box \d+\s*:")), "\n")
-    sentence = first_sentence(body)
-    short = clip(sentence, k.WHY_MAX)
-    dropped = F.length(collapse(body)) > F.length(sentence) + 4
-    return F.when(sentence == "", F.struct(F.lit("").alias("text"), F.lit(False).alias("cut"))).otherwise(
-        F.struct(short["text"].alias("text"), (short["cut"] | dropped).alias("cut")))
+def first_sentence(flat: Column) -> Column:
+    return F.regexp_extract(flat, r"(?U)^(.*?[.?!](?=\s|$)|.*)", 1)
 
 
 def density_lines(text: Column) -> Column:

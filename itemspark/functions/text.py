@@ -52,40 +52,56 @@ def stitch_wrapped_urls(text: Column, glue_adjacent: bool = False) -> Column:
     """
     def add(acc, line):
         line = strip(line)
-        joins = (line != "") & ~line.contains(" ") & acc.rlike(r"https?://\S+\z")
+        joins = (line != "") & ~line.contains(" ") & acc["last"].rlike(r"https?://\S+\z")
         if not glue_adjacent:
-            joins = joins & ~line.rlike(r"\Ahttps?://")
-        return F.when(acc.isNull(), line).when(joins, F.concat(acc, line)).otherwise(F.concat(acc, F.lit("\n"), line))
+            joins = joins & ~line.startswith("http://") & ~line.startswith("https://")
+        done = F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], acc["last"], F.lit("\n")))
+        return F.struct(done.alias("done"), F.when(joins, F.concat(acc["last"], line)).otherwise(line).alias("last"))
 
-    return F.aggregate(F.split(text, "\n"), F.lit(None).cast("string"), add)
+    lines = F.split(text, "\n")
+    start = F.struct(F.lit("").alias("done"), strip(F.element_at(lines, 1)).alias("last"))
+    return F.aggregate(F.slice(lines, 2, F.size(lines)), start, add, lambda acc: F.concat(acc["done"], acc["last"]))
 
 
-def split_sections(block: Column) -> Column:
-    """struct(head, explanation, refs) around the answer, explanation and reference headings."""
-    def before(text, pattern):
-        return F.regexp_extract(text, rf"(?smd)\A(.*?)(?={pattern}|\z)", 1)
+def before_match(text: Column, pattern: str) -> Column:
+    """Text ahead of the first match; all of it when there is none."""
+    return F.regexp_extract(text, rf"(?smd)\A(.*?)(?={pattern}|\z)", 1)
 
-    def upto(text, pattern):
-        return F.regexp_extract(text, rf"(?smd)\A.*?{pattern}", 0)
 
-    head = before(block, k.ANSWER_LINE)
-    tail = F.substr(block, F.length(head) + 1)
-    has_e, has_r = tail.rlike(f"(?md){k.EXPLANATION}"), tail.rlike(f"(?md){k.REFERENCE}")
-    e_end = F.length(upto(tail, k.EXPLANATION))
-    r_start, r_end = F.length(before(tail, k.REFERENCE)), F.length(upto(tail, k.REFERENCE))
-    stop = F.when(has_r & (r_start > e_end), r_start).otherwise(F.length(tail))
-    return F.struct(
-        head.alias("head"),
-        F.when(has_e, F.substr(tail, e_end + 1, stop - e_end)).otherwise(F.lit("")).alias("explanation"),
-        F.when(has_r, F.substr(tail, r_end + 1)).when(has_e, F.lit("")).otherwise(tail).alias("refs"))
+def through_match(text: Column, pattern: str) -> Column:
+    """Text up to and including the first match; empty when there is none."""
+    return F.regexp_extract(text, rf"(?smd)\A.*?{pattern}", 0)
 
 
-def split_options(head: Column) -> Column:
-    """struct(stem, options): labelled list items; a body runs to the next label, even a repeated one."""
-    pieces = F.split(F.regexp_replace(head, f"(?md){k.OPTION}", f"{CUT}$1{TAG}$2"), CUT)
+def section_bounds(tail: Column) -> dict[str, Column]:
+    """Where the explanation and reference headings of the answer tail start and end (end 0: absent)."""
+    return {
+        "_e_end": F.length(through_match(tail, k.EXPLANATION)),
+        "_r_end": F.length(through_match(tail, k.REFERENCE)),
+        "_r_start": F.length(before_match(tail, k.REFERENCE)),
+    }
+
+
+def sections(tail: Column, e_end: Column, r_start: Column, r_end: Column) -> dict[str, Column]:
+    """Explanation and references; a reference heading ahead of the explanation does not cut it, and
+    without any heading the whole tail counts as references."""
+    stop = F.when((r_end > 0) & (r_start > e_end), r_start).otherwise(F.length(tail))
+    return {
+        "_expl": F.when(e_end > 0, F.substr(tail, e_end + 1, stop - e_end)).otherwise(F.lit("")),
+        "_refs": F.when(r_end > 0, F.substr(tail, r_end + 1)).when(e_end > 0, F.lit("")).otherwise(tail),
+    }
+
+
+def option_pieces(head: Column) -> Column:
+    """The head cut at its labelled list items; the first piece is the stem."""
+    return F.split(F.regexp_replace(head, f"(?md){k.OPTION}", f"{CUT}$1{TAG}$2"), CUT)
+
+
+def options_of(pieces: Column) -> Column:
+    """A body runs to the next label, even a repeated one; the first item of a label is kept."""
     found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: F.struct(
         F.substring_index(p, TAG, 1).alias("key"), clean_block(F.substring_index(p, TAG, -1)).alias("text")))
-    return F.struct(F.get(pieces, F.lit(0)).alias("stem"), first_by(found, "key").cast(OPTIONS_TYPE).alias("options"))
+    return first_by(found, "key").cast(OPTIONS_TYPE)
 
 
 def first_by(items: Column, field: str) -> Column:
@@ -103,36 +119,48 @@ def answer_key(block: Column) -> Column:
     return answer_letters(F.regexp_extract(block, f"(?md){k.ANSWER_KEY}", 1))
 
 
-def numbered_slots(explanation: Column) -> Column:
-    """First statement of each numbered slot, ordered by slot."""
+def slot_statements(explanation: Column) -> Column:
+    """Every non-empty numbered statement, in text order."""
     pattern = F.lit(f"(?md){k.BOX}")
     numbers, texts = F.regexp_extract_all(explanation, pattern, F.lit(1)), F.regexp_extract_all(explanation, pattern, F.lit(2))
     pairs = F.transform(F.arrays_zip(numbers.alias("n"), texts.alias("t")), lambda p: F.struct(
         p["n"].try_cast("int").alias("box"),
         F.regexp_replace(F.substring_index(clean_block(p["t"]), "\n", 1), r"\A[ -]+|[ -]+\z", "").alias("answer")))
-    return F.array_sort(first_by(F.filter(pairs, lambda p: p["answer"] != ""), "box")).cast(BOXES_TYPE)
+    return F.filter(pairs, lambda p: p["answer"] != "")
+
+
+def numbered_slots(statements: Column) -> Column:
+    """First statement of each numbered slot, ordered by slot."""
+    return F.array_sort(first_by(statements, "box")).cast(BOXES_TYPE)
 
 
-def split_background(region: Column) -> Column:
-    """struct(background, stem): shared scenario above the last paragraph."""
+def background_paragraphs(region: Column) -> Column:
+    """Paragraphs of a shared-background block without its boilerplate; null for any other block."""
     body = F.regexp_replace(region, f"(?sd){k.BACKGROUND_BOILERPLATE}", "")
     body = strip(F.regexp_replace(body, f"(?md){k.BACKGROUND_HEADING}", ""))
-    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), strip), lambda p: p != "")
-    shared, alone = region.rlike(k.SHARED_BACKGROUND), F.size(paragraphs) < 2
+    parts = F.filter(F.transform(F.split(body, r"\n\s*\n"), strip), lambda p: p != "")
+    return F.when(region.rlike(k.SHARED_BACKGROUND), parts)
+
+
+def background_and_stem(region: Column, paragraphs: Column) -> dict[str, Column]:
+    """The last paragraph asks, everything above is shared; a lone paragraph is both."""
+    alone = F.size(paragraphs) < 2
     upper = F.array_join(F.slice(paragraphs, 1, F.greatest(F.size(paragraphs) - 1, F.lit(1))), "\n\n")
-    return F.struct(
-        F.when(shared, F.when(alone, F.when(body != "", body)).otherwise(upper)).alias("background"),
-        F.when(~shared, region).when(alone, strip(region)).otherwise(F.element_at(paragraphs, -1)).alias("stem"))
+    return {
+        "background": F.when(paragraphs.isNotNull(), F.when(alone, F.get(paragraphs, F.lit(0))).otherwise(upper)),
+        "stem": F.when(paragraphs.isNull(), region).when(alone, strip(region)).otherwise(F.element_at(paragraphs, -1)),
+    }
 
 
 def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(k.URL), F.lit(0)))
 
 
-def harvest_urls(refs: Column, explanation: Column) -> Column:
-    """URLs of the references, else those of the explanation."""
-    own = urls(stitch_wrapped_urls(clean_block(refs)))
-    return F.when(F.size(own) > 0, own).otherwise(urls(stitch_wrapped_urls(clean_block(explanation))))
+def harvest_urls(text: Column) -> Column:
+    """Distinct URLs in order, links broken over lines rejoined. Only text with a link at the end of a
+    line is stitched."""
+    wrapped = text.rlike(r"https?://\S+[ \t\f]*\n")
+    return F.when(wrapped, urls(stitch_wrapped_urls(clean_block(text)))).otherwise(urls(text))
 
 
 def declared_type(block: Column) -> Column:

@@ -10,15 +10,33 @@ from pyspark.sql import functions as F
 from itemspark.functions import constants as k
 from itemspark.functions import digest as d
 from itemspark.functions import items as it
+from itemspark.functions.identity import collapse
+from itemspark.operators.stages import stage
+
+
+def with_cue(rows: DataFrame, stem: str = "stem", subtopic: str = "subtopic", name: str = "cue") -> DataFrame:
+    """Add struct(text, cut): what the stem asked, in one line."""
+    c, keep = F.col, rows.columns
+    out = stage(rows, {"_plain": d.strip_boilerplate(c(stem))})
+    out = stage(out, {"_lines": d.cue_lines(c("_plain")), "_ask": d.last_question(collapse(c("_plain")))}, keep=keep)
+    out = stage(out, {"_goal": d.goal_position(c("_lines"))})
+    out = stage(out, {"_cue": collapse(d.choose_cue(c("_lines"), c("_ask"), c("_goal"), c(subtopic)))}, keep=keep)
+    return out.select(*keep, d.clip_flat(c("_cue"), k.CUE_MAX).alias(name))
+
+
+def with_reason(rows: DataFrame, explanation: str = "explanation", name: str = "why") -> DataFrame:
+    """Add struct(text, cut): the first sentence of the explanation. Leaving out the rest counts as a cut."""
+    c, keep = F.col, rows.columns
+    out = stage(rows, {"_body": d.reason_body(c(explanation))})
+    out = stage(out, {"_first": d.first_sentence(c("_body"))})
+    cut = (F.length("_first") > k.WHY_MAX) | (F.length("_body") > F.length("_first") + 4)
+    return out.select(*keep, F.struct(d.clip_flat(c("_first"), k.WHY_MAX)["text"].alias("text"), F.coalesce((c("_first") != "") & cut, F.lit(False)).alias("cut")).alias(name))
 
 
 def entries(rows: DataFrame, id_col: str = "id") -> DataFrame:
     """Add entry text and its cut flag to item rows joined with their record (times_wrong, correction)."""
-    staged = rows.withColumns({
-        "_cue": d.cue(F.col("stem"), F.col("subtopic")),
-        "_ans": d.answer_line(it.response_kind(), F.col("correct"), F.col("options"), F.col("boxes")),
-        "_why": d.why_line(F.col("explanation")),
-    })
+    staged = with_reason(with_cue(rows, name="_cue"), name="_why")
+    staged = stage(staged, {"_ans": d.answer_line(it.response_kind(), F.col("correct"), F.col("options"), F.col("boxes"))})
     flags = F.concat(F.when(F.col("self_graded"), "~").otherwise(""), F.when(F.col("currency") != "current", "?").otherwise(""))
     header = F.concat(
         F.lit("**q"), F.col(id_col).cast("string"), F.lit("** "), F.when(F.col("subtopic") != "", F.col("subtopic")).otherwise("general"), F.lit(" ·"),

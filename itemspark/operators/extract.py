@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itemspark.functions import constants as k
 from itemspark.functions import text as t
 from itemspark.operators.scans import by_position, fill_forward
+from itemspark.operators.stages import stage
 
 
 def segments(docs: DataFrame, doc: str = "doc_id", text: str = "text", marker: str = k.MARKER,
@@ -62,31 +63,34 @@ def overlap_join(segs: DataFrame, spans: DataFrame, doc: str = "doc_id", width:
 
 
 def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", watermark: str | None = None) -> DataFrame:
-    """All fields of one block per row; ``source`` b uses the second source's shorter note list."""
-    staged = (
-        blocks.withColumn("_block", t.normalise_block(F.col("body"), watermark))
-        .withColumn("_sec", t.split_sections(F.col("_block")))
-        .withColumn("_opt", t.split_options(t.strip_markers(F.col("_sec.head"))))
-        .withColumn("_bg", t.split_background(t.clean_block(F.col("_opt.stem"))))
-        .withColumn("_declared", t.declared_type(F.col("_block")))
-        .withColumn("correct", t.answer_key(F.col("_block")))
-        .withColumn("explanation", t.clean_block(F.col("_sec.explanation")))
-    )
-    stem = F.col("_bg.stem")
-    out = staged.withColumns({
-        "stem": t.strip_leading_punctuation(stem) if source == "a" else stem,
-        "background": F.col("_bg.background"),
-        "options": F.col("_opt.options"),
-        "boxes": F.when(F.col("_declared").isNotNull(), t.numbered_slots(F.col("explanation"))).otherwise(F.array().cast(t.BOXES_TYPE)),
-        "refs": t.harvest_urls(F.col("_sec.refs"), F.col("_sec.explanation")),
-        "type": t.infer_type(F.col("_declared"), F.col("correct")),
-        "currency_note": t.legacy_notes(F.col("_block")),
-    })
-    out = out.withColumn("parse_notes", first_source_notes() if source == "a" else second_source_notes())
-    out = out.withColumn("parse_confidence", F.when(low_confidence() if source == "a" else F.size("parse_notes") > 0, "low").otherwise("high"))
-    lead = [c for c in blocks.columns if c not in ("body", id_col)]
-    return out.select(*lead, id_col, "type", "stem", "options", "correct", "explanation", "refs", "boxes", "background",
-                      "parse_confidence", "parse_notes")
+    """All fields of one block per row; ``source`` b uses the second source's shorter note list.
+
+    A chain of narrow stages: each reads only columns of the one before, and each text is scanned once.
+    """
+    c = F.col
+    no_boxes = F.array().cast(t.BOXES_TYPE)
+    lead = [x for x in blocks.columns if x not in ("body", id_col)] + [id_col]
+    rows = stage(blocks, {"_block": t.normalise_block(c("body"), watermark)}, keep=lead)
+    rows = stage(rows, {"_head": t.before_match(c("_block"), k.ANSWER_LINE), "_declared": t.declared_type(c("_block")),
+                        "correct": t.answer_key(c("_block")), "currency_note": t.legacy_notes(c("_block"))})
+    rows = stage(rows, {"_tail": F.substr(c("_block"), F.length("_head") + 1), "_pieces": t.option_pieces(t.strip_markers(c("_head")))},
+                 keep=[x for x in rows.columns if x not in ("_head", "_block")])
+    rows = stage(rows, {**t.section_bounds(c("_tail")), "_region": t.clean_block(F.get("_pieces", F.lit(0))), "options": t.options_of(c("_pieces"))})
+    rows = stage(rows, {**t.sections(c("_tail"), c("_e_end"), c("_r_start"), c("_r_end")), "_paragraphs": t.background_paragraphs(c("_region"))},
+                 keep=[x for x in rows.columns if x not in ("_tail", "_e_end", "_r_start", "_r_end", "_pieces")])
+    rows = stage(rows, {"explanation": t.clean_block(c("_expl")), "_own": t.harvest_urls(c("_refs")), **t.background_and_stem(c("_region"), c("_paragraphs"))},
+                 keep=[x for x in rows.columns if x not in ("_refs", "_region", "_paragraphs")])
+    rows = stage(rows, {
+        "_slots": F.when(c("_declared").isNotNull(), t.slot_statements(c("explanation"))),
+        "refs": F.when(F.size("_own") > 0, c("_own")).otherwise(t.harvest_urls(c("_expl"))),
+        "type": t.infer_type(c("_declared"), c("correct")),
+        "stem": t.strip_leading_punctuation(c("stem")) if source == "a" else c("stem"),
+    }, keep=[x for x in rows.columns if x not in ("_own", "_expl", "_declared")])
+    rows = stage(rows, {"boxes": F.coalesce(t.numbered_slots(c("_slots")), no_boxes)}, keep=[x for x in rows.columns if x != "_slots"])
+    rows = stage(rows, {"parse_notes": first_source_notes() if source == "a" else second_source_notes()})
+    low = low_confidence() if source == "a" else F.size("parse_notes") > 0
+    return rows.select(*lead, "type", "stem", "options", "correct", "explanation", "refs", "boxes", "background",
+                       F.when(low, "low").otherwise("high").alias("parse_confidence"), "parse_notes")
 
 
 def first_source_notes() -> Column:

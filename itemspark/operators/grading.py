@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemspark.functions import items as it
+from itemspark.operators.stages import stage
 
 
 def _latin_table() -> tuple[str, str]:
@@ -63,26 +64,32 @@ def same_set(a: Column, b: Column) -> Column:
     return F.coalesce(up(a) == up(b), F.lit(False))
 
 
-def grade_slots(values: Column, boxes: Column) -> Column:
-    """One verdict per slot; a missing response is wrong."""
-    return F.transform(boxes, lambda b, i: answers_match(F.coalesce(F.get(values, i), F.lit("")), b["answer"]))
+def grade_slots(values: Column, boxes: Column, exact: bool = False) -> Column:
+    """One verdict per slot; a missing response is wrong. Each side is normalised once."""
+    pairs = F.transform(boxes, lambda b, i: F.struct(
+        normalise(F.coalesce(F.get(values, i), F.lit("")), exact).alias("g"), normalise(b["answer"], exact).alias("e")))
+    return F.transform(pairs, lambda p: normalised_match(p["g"], p["e"]))
 
 
-def grade() -> Column:
-    """struct(correct, per_box, self_graded, ungradeable) from item columns and a response (kind, keys, box_values, verdict)."""
-    expected, kind = it.response_kind(), F.col("kind")
-    slots = grade_slots(F.col("box_values"), F.col("boxes"))
-    none = F.lit(None).cast("array<boolean>")
+def with_grade(rows: DataFrame, name: str = "grade") -> DataFrame:
+    """Grade responses (kind, keys, box_values, verdict) joined to their items.
 
-    def out(correct, per_box=none, self_graded=False, ungradeable=False):
-        return F.struct(correct.alias("correct"), per_box.alias("per_box"), F.lit(self_graded).alias("self_graded"), F.lit(ungradeable).alias("ungradeable"))
-
-    return (
-        F.when(it.is_dead_end(), out(F.lit(False), self_graded=True, ungradeable=True))
-        .when((expected == "choice") & (kind == "choice"), out(same_set(F.col("keys"), F.col("correct"))))
-        .when((expected == "boxes") & (kind == "boxes"), out((F.size(slots) > 0) & F.forall(slots, lambda x: x), slots))
-        .otherwise(out(F.coalesce((kind == "self") & (F.col("verdict") == "correct"), F.lit(False)), self_graded=True))
+    Adds struct(correct, per_box, self_graded, ungradeable). A kind that does not fit the item falls
+    through to self-judgement and is right only if the learner said so.
+    """
+    c = F.col
+    out = stage(rows, {"_expected": it.response_kind()})
+    boxes = (c("_expected") == "boxes") & (c("kind") == "boxes")
+    out = stage(out, {"_slots": F.when(boxes, grade_slots(c("box_values"), c("boxes")))})
+    choice, dead = (c("_expected") == "choice") & (c("kind") == "choice"), it.is_dead_end()
+    correct = (
+        F.when(dead, False).when(choice, same_set(c("keys"), c("correct")))
+        .when(boxes, (F.size("_slots") > 0) & F.forall("_slots", lambda x: x))
+        .otherwise(F.coalesce((c("kind") == "self") & (c("verdict") == "correct"), F.lit(False)))
     )
+    return out.select(*rows.columns, F.struct(
+        correct.alias("correct"), F.when(~dead, c("_slots")).alias("per_box"), (dead | ~(choice | boxes)).alias("self_graded"),
+        dead.alias("ungradeable")).alias(name))
 
 
 def option_outcome(key: Column, correct: Column, chosen: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemspark.functions.identity import content_hash
+from itemspark.sources.readers import spread
 
 # Week of the attempt feed after which "now" lies in the queries; a parameter, never the wall clock.
 AS_OF = "2024-01-31 00:00:00"
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` spread over all cores, for the text-heavy queries."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def as_of() -> Column:
     return F.to_timestamp_ntz(F.lit(AS_OF))
 

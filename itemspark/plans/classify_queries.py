@@ -59,12 +59,12 @@ top AS (SELECT d.doc_id, d.text, d.lang, r.area, coalesce(r.subtopic, '') AS rul
 
 
 def classified(spark, sf):
-    return cl.classify(ad.table(spark, sf, "documents"), F.col("text"), RULES)
+    return cl.classify(ad.documents(spark, sf), F.col("text"), RULES)
 
 
 @register("rule_scores", f"WITH {CTE_SCORES} SELECT doc_id, area, score, subtopic FROM totals")
 def rule_scores(spark, sf):
-    rows = cl.score(ad.table(spark, sf, "documents"), F.col("text"), RULES)
+    rows = cl.score(ad.documents(spark, sf), F.col("text"), RULES)
     return rows.select("doc_id", F.inline("ranked")).select("doc_id", "area", "score", "subtopic")
 
 
@@ -75,7 +75,7 @@ def rule_classes(spark, sf):
 
 # The labels stand in for reviewed answers: a good document is filed by its language, a toxic one under a subtopic too.
 def overrides(spark, sf):
-    lab, doc = ad.table(spark, sf, "labels"), ad.table(spark, sf, "documents").select("doc_id", "lang")
+    lab, doc = ad.table(spark, sf, "labels"), ad.documents(spark, sf).select("doc_id", "lang")
     return lab.join(doc, "doc_id").filter(F.col("quality") == 1).select(
         "doc_id", F.col("lang").alias("area"), F.when(F.col("toxic") == 1, "reviewed").alias("subtopic"))
 

@@ -15,7 +15,8 @@ from itemspark.functions import items as it
 from itemspark.functions.identity import content_hash
 from itemspark.functions.text import legacy_notes
 from itemspark.operators.extract import extract_fields, segments
-from itemspark.plans.adapters import table
+from itemspark.operators.stages import stage
+from itemspark.plans.adapters import documents
 
 L = F.lit
 
@@ -42,7 +43,7 @@ def _block(line: Column, i: Column) -> Column:
 
 
 def raw_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     blocks = F.transform(F.split("text", "\n"), lambda line, i: _block(line, i))
     return docs.select("doc_id", F.concat(L("Front matter\n"), F.array_join(blocks, "")).alias("text"))
 
@@ -54,14 +55,12 @@ def raw_items(spark: SparkSession, sf_dir: str, source: str = "a") -> DataFrame:
 def dump_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dump's items with the columns a reconciled bank has."""
     rows = raw_items(spark, sf_dir).withColumn("images", F.array().cast("array<string>"))
-    note = legacy_notes(F.concat_ws(" ", "stem", "explanation", F.array_join("refs", " ")))
-    return rows.withColumns({
+    rows = stage(rows, {
         "self_graded": it.self_graded(),
         "content_hash": content_hash(F.col("type"), F.col("stem"), F.col("options"), F.col("boxes"), F.col("images")),
-        "currency_note": note,
-        "currency": F.when(note.isNull(), "current").otherwise("suspect"),
-        "subtopic": F.lit("general"),
+        "currency_note": legacy_notes(F.concat_ws(" ", "stem", "explanation", F.array_join("refs", " "))),
     })
+    return rows.withColumns({"currency": F.when(F.col("currency_note").isNull(), "current").otherwise("suspect"), "subtopic": F.lit("general")})
 
 
 CTE_LINES = """lines AS (

@@ -74,7 +74,7 @@ def owned_blocks(spark, sf):
 SELECT doc_id, CAST(para - 1 AS INTEGER) AS para, 'Question: ' || length(line) || ' ' || line AS line, length(line) AS marker FROM l""")
 def split_run_markers(spark, sf):
     """Every line is a paragraph of three runs, with its marker broken over the first two."""
-    docs = ad.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("para", "line"))
+    docs = ad.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("para", "line"))
     parts = F.array(F.lit("Quest"), F.concat(F.lit("ion: "), F.length("line").cast("string")), F.concat(F.lit(" "), F.col("line")))
     runs = docs.select("doc_id", "para", F.posexplode(parts).alias("run", "payload")).withColumn("kind", F.lit("TXT"))
     return ex.paragraphs_of_runs(runs).select("doc_id", "para", "line", "marker")
@@ -90,7 +90,7 @@ FROM (SELECT doc_id, replace(replace(text, '. ', ' ' || chr(10)), ' the ', chr(1
 def cleaned_blocks(spark, sf):
     """Whole documents broken into more lines, some of them lone hyphens, then cleaned; the watermark is a pattern."""
     messy = F.replace(F.replace("text", F.lit(". "), F.lit(" \n")), F.lit(" the "), F.lit("\n - \n"))
-    return ad.table(spark, sf, "documents").select("doc_id", t.clean_block(messy, r"\.[ ]*of").alias("text"))
+    return ad.documents(spark, sf).select("doc_id", t.clean_block(messy, r"\.[ ]*of").alias("text"))
 
 
 @register("stripped_markers", f"""WITH {CTE_LINES} SELECT doc_id, i AS para,
@@ -98,7 +98,7 @@ def cleaned_blocks(spark, sf):
 def stripped_markers(spark, sf):
     from itemspark.plans.dump import _block
     heads = F.transform(F.split("text", "\n"), lambda line, i: t.strip_markers(F.substring_index(_block(line, i), "\f", 1)))
-    docs = ad.table(spark, sf, "documents")
+    docs = ad.documents(spark, sf)
     return docs.select("doc_id", F.posexplode(heads).alias("para", "text")).withColumn("para", F.col("para").cast("bigint"))
 
 
@@ -183,7 +183,7 @@ SELECT CASE WHEN starts_with(trim(code), '<') AND regexp_matches(code, '</[A-Za-
   WHEN regexp_matches(code, '\\busing\\s+System\\b') THEN 'csharp' ELSE 'javascript' END AS language, count(*) AS n FROM h GROUP BY 1""")
 def code_languages(spark, sf):
     """Pages are markup, documents with a C# preamble are C#, bare documents neither."""
-    d = ad.table(spark, sf, "documents").select(F.col("text").alias("code"))
+    d = ad.documents(spark, sf).select(F.col("text").alias("code"))
     rows = ad.table(spark, sf, "pages").select(F.col("html").alias("code")).union(
         d.select(F.concat(F.lit("using  System; "), F.col("code")).alias("code"))).union(d)
     return rows.groupBy(t.code_language(F.col("code")).alias("language")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from itemspark.functions import grading as g
+from itemspark.operators import grading as g
 from itemspark.functions import items as it
 from itemspark.functions.text import BOXES_TYPE
-from itemspark.operators import quality as q
+from itemspark.operators.stages import stage
 from itemspark.operators.analytics import defect_counters as count_defects
 from itemspark.plans import adapters as ad
 from itemspark.plans.dump import CTE_ITEMS, dump_items
@@ -63,10 +63,10 @@ def responses(spark, sf):
     keys = F.when(turn == 0, lower_reversed).when(turn == 1, F.slice("correct", 1, 1)).when(turn == 2, F.array().cast("array<string>")).otherwise(F.col("correct"))
     slip = lambda a: F.concat(F.lit("x"), a)
     answers = F.transform("boxes", lambda b: b["answer"])
-    values = (F.when(turn == 0, F.transform(answers, F.upper)).when(turn == 1, F.slice(answers, 1, 1))
+    values = (F.when(turn == 0, F.transform(answers, lambda a: F.concat(F.lit(" - "), a, F.lit("!")))).when(turn == 1, F.slice(answers, 1, 1))
               .when(turn == 2, F.transform(answers, slip)).when(turn == 3, F.transform(answers, lambda a: F.lit(" "))).otherwise(answers))
     verdict = F.when(turn < 2, "correct").when(turn < 4, "wrong")
-    return items.withColumns({"kind": kind, "keys": keys, "box_values": values, "verdict": verdict})
+    return stage(items, {"kind": kind, "keys": keys, "box_values": values, "verdict": verdict})
 
 
 CTE_RESPONSES = f"""{CTE_PATCHY},
@@ -86,7 +86,7 @@ slots AS (SELECT *, CASE n % 5 WHEN 1 THEN list_transform(answers, lambda a, i:
   CASE WHEN NOT dead AND real = 'boxes' AND kind = 'boxes' THEN array_to_string(list_transform(per_box, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') END AS per_box,
   dead OR NOT ((real = 'choice' AND kind = 'choice') OR (real = 'boxes' AND kind = 'boxes')) AS self_graded, dead AS ungradeable FROM slots""")
 def graded_responses(spark, sf):
-    rows = responses(spark, sf).withColumn("g", g.grade())
+    rows = g.with_grade(responses(spark, sf), "g")
     per_box = F.array_join(F.transform("g.per_box", lambda x: F.when(x, "1").otherwise("0")), "")
     return rows.select("doc_id", "id", "kind", "g.correct", per_box.alias("per_box"), "g.self_graded", "g.ungradeable")
 
@@ -117,12 +117,12 @@ NORMAL = "trim(regexp_replace(strip_accents(lower(replace(text, '''', ''))), '[^
 
 @register("normalised_texts", f"SELECT doc_id, md5({NORMAL}) AS text_md5 FROM documents")
 def normalised_texts(spark, sf):
-    return ad.table(spark, sf, "documents").select("doc_id", F.md5(g.normalise(F.col("text"))).alias("text_md5"))
+    return ad.documents(spark, sf).select("doc_id", F.md5(g.normalise(F.col("text"))).alias("text_md5"))
 
 
 @register("normalised_texts_exact", ORACLES["normalised_texts"])
 def normalised_texts_exact(spark, sf):
-    return ad.table(spark, sf, "documents").select("doc_id", F.md5(g.normalise(F.col("text"), exact=True)).alias("text_md5"))
+    return ad.documents(spark, sf).select("doc_id", F.md5(g.normalise(F.col("text"), exact=True)).alias("text_md5"))
 
 
 @register("fuzzy_matches", """WITH p AS (SELECT p_partkey, p_name AS e, lower(CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'i', 'í') WHEN 2 THEN p_name || 'x' ELSE reverse(p_name) END) AS g FROM part),

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def hashed(spark, sf):
-    d = ad.table(spark, sf, "documents")
+    d = ad.documents(spark, sf)
     return d.withColumn("content_hash", content_hash(F.col("lang"), F.col("text")))
 
 
@@ -59,7 +59,7 @@ p AS (SELECT 'cs-' || k AS group_id, doc_id AS first_id, trim(text) AS backgroun
 
 
 def docs_as_children(spark, sf):
-    return ad.table(spark, sf, "documents").select("doc_id", F.col("text").alias("background"))
+    return ad.documents(spark, sf).select("doc_id", F.col("text").alias("background"))
 
 
 @register("parent_groups", f"{PARENTS} SELECT group_id, first_id, n_items, md5(background) AS background_md5 FROM p")
