@@ -37,7 +37,7 @@ def cue_lines(plain: Column) -> Column:
 
 
 def last_question(flat: Column) -> Column:
-    asks = F.regexp_extract_all(flat, F.lit(r"[^.?!]+\?"), F.lit(0))
+    asks = F.regexp_extract_all(flat, F.lit(r"(?<![^.?!])[^.?!]++\?"), F.lit(0))
     return F.when(F.size(asks) > 0, collapse(F.element_at(asks, -1)))
 
 

@@ -160,16 +160,16 @@ def activity_totals(sessions: DataFrame, results: DataFrame, by: Sequence[str],
 
 def pace(totals: DataFrame, n_items: DataFrame, deadline: Column, as_of: Column) -> DataFrame:
     """Attempts per active day against what the remaining items need; ``n_items`` is a one-row count."""
-    rows = totals.join(F.broadcast(n_items.select(F.col(n_items.columns[0]).alias("_pool"))))
     left = days_left(deadline, as_of)
-    remaining = F.col("_pool") - F.col("distinct_seen")
+    remaining = n_items.scalar() - F.col("distinct_seen")
+    rows = totals.withColumn("remaining", remaining)
+    remaining = F.col("remaining")
     rows = rows.withColumns({
-        "remaining": remaining,
         "days_to_exam": left,
         "attempts_per_day": _ratio(F.col("total_attempts"), F.col("active_days")),
         "required_per_day": F.when(left == 0, remaining).otherwise(F.ceil(remaining / left)).cast("bigint"),
     })
-    return rows.withColumn("on_pace", (F.col("remaining") == 0) | (F.col("attempts_per_day") >= F.col("required_per_day"))).drop("_pool")
+    return rows.withColumn("on_pace", (F.col("remaining") == 0) | (F.col("attempts_per_day") >= F.col("required_per_day")))
 
 
 def rolling_accuracy(attempts: DataFrame, by: Sequence[str], order: Sequence[str], window: int = k.ROLLING_WINDOW) -> DataFrame:

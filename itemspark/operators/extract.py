@@ -120,15 +120,20 @@ def low_confidence() -> Column:
 
 
 def paragraphs_of_runs(runs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Join the text runs of each paragraph in order, so a marker split over runs is found by one match.
+    """Text of each paragraph, and the marker it names even when that is split over runs.
 
-    A paragraph is one line of a document; its runs are the only rows grouped here.
+    Runs are joined in order and the marker is looked for each time one is added, so it is the number
+    readable at the first run that completes a marker. The runs of one paragraph are all that is grouped.
     """
-    text = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "TXT", F.struct("run", "payload")))), lambda r: r["payload"]), "")
-    lines = runs.groupBy(doc, "para").agg(text.alias("line"))
-    # Cutting before each marker start and reading the first number gives the marker the paragraph names.
-    return lines.withColumn("marker", F.regexp_extract("line", k.MARKER_INLINE, 1).try_cast("bigint"))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "TXT", F.struct("run", "payload")))), lambda r: r["payload"])
+
+    def add(acc, payload):
+        text = F.concat(acc["text"], payload)
+        return F.struct(text.alias("text"), F.when(acc["id"] != "", acc["id"]).otherwise(F.regexp_extract(text, k.MARKER_INLINE, 1)).alias("id"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit("").alias("id"))
+    rows = runs.groupBy(doc, "para").agg(texts.alias("_runs")).withColumn("_line", F.aggregate("_runs", start, add))
+    return rows.select(doc, "para", F.col("_line.text").alias("line"), F.col("_line.id").try_cast("bigint").alias("marker"))
 
 
 def own_by_marker(paragraphs: DataFrame, marker: str = "marker", doc: str = "doc_id", order: str = "para",

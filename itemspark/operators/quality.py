@@ -76,8 +76,8 @@ def quality_counters(items: DataFrame, parents: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("parse_confidence") == "low").alias("low_confidence"),
         F.count_if(F.col("currency") == "suspect").alias("suspect"), F.count_if(F.col("currency") == "superseded").alias("superseded"),
         F.count_if(it.blank(F.col("explanation"))).alias("no_explanation"), F.count_if(it.empty(F.col("refs"))).alias("no_reference"))
-    cover = parents.agg(F.count(F.lit(1)).alias("parents"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("children"))
-    return base.join(F.broadcast(cover))
+    cover = parents.agg(F.struct(F.count(F.lit(1)).alias("parents"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("children")).alias("c"))
+    return base.withColumn("_c", cover.scalar()).select(*base.columns, "_c.*")
 
 
 def usability(items: DataFrame) -> DataFrame:

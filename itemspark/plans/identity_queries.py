@@ -131,7 +131,7 @@ def renumbering_survival(spark, sf):
     bank = hashed(spark, sf).select("doc_id", "content_hash", F.md5("text").alias("text_md5"))
     first = keep_first(bank, "content_hash", "doc_id")
     top = bank.agg(F.max("doc_id").alias("top"))
-    renumbered = bank.join(F.broadcast(top)).select((F.col("top") - F.col("doc_id") + 1000).alias("doc_id"), "content_hash", "text_md5")
+    renumbered = bank.select((top.scalar() - F.col("doc_id") + 1000).alias("doc_id"), "content_hash", "text_md5")
     after = keep_first(renumbered, "content_hash", "doc_id")
     history = first.select("content_hash", F.col("text_md5").alias("was"))
     rows = history.join(first.select("content_hash", F.lit(1).alias("b")), "content_hash", "left").join(

@@ -111,7 +111,7 @@ def seeded_order_limited(spark, sf):
 def priority_strata(spark, sf):
     o = ad.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("area")).agg(F.count(F.lit(1)).alias("capacity"))
     total = ad.table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"))
-    return o, o.join(F.broadcast(total)).select("area", "capacity", (F.col("capacity") / F.col("n")).alias("weight"))
+    return o, o.select("area", "capacity", (F.col("capacity") / total.scalar()).alias("weight"))
 
 
 QUOTA_SQL = """s AS (SELECT o_orderpriority AS area, count(*) AS cap, count(*) / (SELECT count(*) FROM orders) AS weight FROM orders GROUP BY 1),

@@ -1,10 +1,23 @@
-"""The attempt feed as Structured Streaming."""
+"""The attempt feed as Structured Streaming.
+
+State lives in versioned tables below a shared root: micro-batch ``n`` reads version ``n - 1`` and writes
+version ``n``. Replaying a batch after a failure overwrites its own version with the same rows, so every
+update is applied exactly once. The merge of each batch is an ordinary DataFrame job: a hot key is chunked
+and pre-aggregated there as in the batch operators, instead of passing through one stateful task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemspark.operators.history import upsert
+from itemspark.operators.progress import KEYS, ORDER, progress
+
+Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
+
 
 def keep_advanced(rows: DataFrame) -> DataFrame:
     """A sitting ended early keeps its answered rows and drops the one never advanced."""
@@ -14,3 +27,80 @@ def keep_advanced(rows: DataFrame) -> DataFrame:
 def with_default_confidence(rows: DataFrame) -> DataFrame:
     """Sittings collect no confidence; such answers count as unsure."""
     return rows.withColumn("confidence", F.coalesce("confidence", F.lit("unsure")))
+
+
+def once_per_position(stream: DataFrame, keys: Sequence[str] = ("session_id", "pos"), at: str = "at", delay: str = "1 hour") -> DataFrame:
+    """One attempt per session and position: repeats arriving within the delay are dropped."""
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def daily_counts(stream: DataFrame, at: str = "at", delay: str = "1 day") -> DataFrame:
+    """Attempts and correct per tumbling day. Use complete or update mode: append holds the last days back."""
+    return stream.withWatermark(at, delay).groupBy(F.window(at, "1 day")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("correct")).alias("n_correct")
+    ).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "attempts", "n_correct")
+
+
+def run_to_end(stream: DataFrame, root: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Process everything available through ``sink`` and stop; the checkpoint lives below ``root``."""
+    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
+             .foreachBatch(sink).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def version_path(root: str, epoch: int) -> str:
+    return f"{root}/state/epoch={epoch}"
+
+
+def versioned(root: str, merge: Merge) -> Callable[[DataFrame, int], None]:
+    """Sink that merges each micro-batch into the previous version of a table."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        old = batch.sparkSession.read.parquet(version_path(root, epoch - 1)) if epoch > 0 else None
+        merge(old, batch).write.mode("overwrite").parquet(version_path(root, epoch))
+    return write
+
+
+def latest(spark: SparkSession, root: str) -> DataFrame:
+    """The newest complete version: the partition listing is pruned to one folder."""
+    newest = spark.read.parquet(f"{root}/state").select(F.max("epoch")).first()[0]
+    return spark.read.parquet(version_path(root, newest))
+
+
+def fold_batches(root: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, chunk: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """Review state per key, folded on top of the stored state in arrival order of the micro-batches."""
+    return versioned(root, lambda old, batch: progress(batch, keys, order, chunk, seed=old))
+
+
+def upsert_sessions(root: str) -> Callable[[DataFrame, int], None]:
+    """Growing sessions, saved after every micro-batch, so one abandoned halfway still counts."""
+    def merge(old, batch):
+        fresh = batch.groupBy("learner", "session_id").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("correct")).alias("n_correct"), F.max("event_id").alias("last_event"))
+        if old is None:
+            return fresh
+        sums = old.unionByName(fresh).groupBy("learner", "session_id").agg(
+            F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"), F.max("last_event").alias("last_event"))
+        return upsert(old, sums, ["session_id"], ["last_event", "n"])
+    return versioned(root, merge)
+
+
+def store_attempts(root: str, keys: Sequence[str] = ("learner", "content_hash", "event_id")) -> Callable[[DataFrame, int], None]:
+    """Append-only attempt store for the late path: out-of-order rows are kept and replayed by time."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(version_path(root, epoch))
+    return write
+
+
+def replay_store(spark: SparkSession, root: str, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+    """State of the stored attempts in event-time order, whatever order they arrived in."""
+    rows = spark.read.parquet(f"{root}/state").drop("epoch").dropDuplicates([*keys, order[-1]])
+    return progress(rows, keys, order)
+
+
+def split_sinks(root: str, reason: Column, parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Sound events to one table, malformed ones with a reason to another; the query itself never fails on them."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        judged = batch.withColumn("reason", reason)
+        parse(judged.filter(F.col("reason").isNull()).drop("reason")).write.mode("overwrite").parquet(f"{root}/good/epoch={epoch}")
+        judged.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{root}/quarantine/epoch={epoch}")
+    return write
