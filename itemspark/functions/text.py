@@ -18,21 +18,35 @@ OPTIONS_TYPE = "array<struct<key:string,text:string>>"
 BOXES_TYPE = "array<struct<box:int,answer:string>>"
 
 
+# Unicode whitespace as `str.strip` knows it.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Whitespace off both ends; looks at the ends only."""
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
+def _if_any(text: Column, needles: tuple[str, ...], changed: Column) -> Column:
+    """Run a rewrite only on text holding one of the needles; a substring test is far cheaper than a regex."""
+    hit = text.contains(needles[0])
+    for n in needles[1:]:
+        hit = hit | text.contains(n)
+    return F.when(hit, changed).otherwise(text)
 
 
 def normalise_block(text: Column, watermark: str | None = None) -> Column:
     """Watermark out, page breaks to newlines, trailing blanks off. Runs before any sectioning."""
     if watermark:
         text = F.regexp_replace(text, watermark, " ")
-    return F.regexp_replace(F.replace(text, F.lit("\f"), F.lit("\n")), r"[ \t]+\n", "\n")
+    text = F.replace(text, F.lit("\f"), F.lit("\n"))
+    return _if_any(text, (" \n", "\t\n"), F.regexp_replace(text, r"[ \t]+\n", "\n"))
 
 
 def clean_block(text: Column, watermark: str | None = None) -> Column:
     text = normalise_block(text, watermark)
-    text = F.regexp_replace(text, r"(?md)^[ \t]*-[ \t]*$\n?", "")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    text = _if_any(text, ("-",), F.regexp_replace(text, r"(?md)^[ \t]*-[ \t]*$\n?", ""))
+    return strip(_if_any(text, ("\n\n\n",), F.regexp_replace(text, r"\n{3,}", "\n\n")))
 
 
 def strip_markers(text: Column) -> Column:
@@ -63,23 +77,14 @@ def stitch_wrapped_urls(text: Column, glue_adjacent: bool = False) -> Column:
     return F.aggregate(F.slice(lines, 2, F.size(lines)), start, add, lambda acc: F.concat(acc["done"], acc["last"]))
 
 
-def before_match(text: Column, pattern: str) -> Column:
-    """Text ahead of the first match; all of it when there is none."""
-    return F.regexp_extract(text, rf"(?smd)\A(.*?)(?={pattern}|\z)", 1)
-
+def around_match(text: Column, pattern: str) -> Column:
+    """Text before and after the first match; one piece when there is none."""
+    return F.split(text, f"(?md){pattern}", 2)
 
-def through_match(text: Column, pattern: str) -> Column:
-    """Text up to and including the first match; empty when there is none."""
-    return F.regexp_extract(text, rf"(?smd)\A.*?{pattern}", 0)
 
-
-def section_bounds(tail: Column) -> dict[str, Column]:
-    """Where the explanation and reference headings of the answer tail start and end (end 0: absent)."""
-    return {
-        "_e_end": F.length(through_match(tail, k.EXPLANATION)),
-        "_r_end": F.length(through_match(tail, k.REFERENCE)),
-        "_r_start": F.length(before_match(tail, k.REFERENCE)),
-    }
+def match_end(text: Column, pieces: Column) -> Column:
+    """Offset behind the match of :func:`around_match`, 0 without one."""
+    return F.when(F.size(pieces) > 1, F.length(text) - F.length(F.get(pieces, F.lit(1)))).otherwise(0)
 
 
 def sections(tail: Column, e_end: Column, r_start: Column, r_end: Column) -> dict[str, Column]:
@@ -172,9 +177,17 @@ def infer_type(declared: Column, correct: Column) -> Column:
     return F.coalesce(declared, F.when(F.size(correct) > 1, "mcq-multi").otherwise("mcq-single"))
 
 
+def _mentions(text: Column, pattern: str) -> Column:
+    """Regex test, preceded (or replaced) by a substring test where the pattern is a literal."""
+    literal = pattern.replace(r"\b", "").replace(r"\.", ".")
+    if any(ch in literal for ch in "\\[](){}*+?|^$") or "." in pattern.replace(r"\.", ""):
+        return text.rlike(f"(?U){pattern}")
+    return text.contains(literal) & text.rlike(f"(?U){pattern}") if r"\b" in pattern else text.contains(literal)
+
+
 def legacy_notes(text: Column, terms=k.LEGACY_TERMS) -> Column:
     """Distinct notes, in rule order, of the legacy terms the text uses (case-sensitive); null if none."""
-    hits = F.array(*[F.when(text.rlike(f"(?U){p}"), F.lit(note)) for p, note in terms])
+    hits = F.array(*[F.when(_mentions(text, p), F.lit(note)) for p, note in terms])
     notes = F.array_join(F.array_distinct(F.filter(hits, lambda x: x.isNotNull())), " ")
     return F.when(notes != "", notes)
 

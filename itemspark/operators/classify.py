@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemspark.functions import constants as k
+from itemspark.operators.stages import stage
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ def score(docs: DataFrame, text: Column, rules: Sequence[Rule]) -> DataFrame:
     Equal scores rank by the first rule that hit; within an area the first best rule names the subtopic.
     """
     hits = [sum((text.rlike(f"(?iU){p}").cast("int") for p in r.patterns[1:]), text.rlike(f"(?iU){r.patterns[0]}").cast("int")) for r in rules]
-    rows = docs.withColumn("_points", F.array(*[h * F.lit(r.weight) for h, r in zip(hits, rules)]))
+    rows = stage(docs, {"_points": F.array(*[h * F.lit(r.weight) for h, r in zip(hits, rules)])})
     areas = list(dict.fromkeys(r.area for r in rules))
     entries = []
     for area in areas:
@@ -58,7 +59,7 @@ def score(docs: DataFrame, text: Column, rules: Sequence[Rule]) -> DataFrame:
         best = F.array_max(F.array(*[F.struct(points(i).alias("p"), F.lit(-i).alias("r"), F.lit(r.subtopic).alias("s")) for i, r in own]))
         entries.append(F.struct((-total).alias("neg"), first.alias("first_rule"), F.lit(area).alias("area"), best["s"].alias("subtopic"), total.alias("score")))
     ranked = F.array_sort(F.filter(F.array(*entries), lambda e: e["score"] > 0))
-    return rows.withColumn("ranked", ranked).drop("_points")
+    return stage(rows, {"ranked": ranked}, keep=docs.columns)
 
 
 def classify(docs: DataFrame, text: Column, rules: Sequence[Rule], min_score: int = k.MIN_SCORE,

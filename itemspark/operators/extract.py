@@ -71,13 +71,14 @@ def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", wat
     no_boxes = F.array().cast(t.BOXES_TYPE)
     lead = [x for x in blocks.columns if x not in ("body", id_col)] + [id_col]
     rows = stage(blocks, {"_block": t.normalise_block(c("body"), watermark)}, keep=lead)
-    rows = stage(rows, {"_head": t.before_match(c("_block"), k.ANSWER_LINE), "_declared": t.declared_type(c("_block")),
+    rows = stage(rows, {"_head": F.get(t.around_match(c("_block"), k.ANSWER_LINE), F.lit(0)), "_declared": t.declared_type(c("_block")),
                         "correct": t.answer_key(c("_block")), "currency_note": t.legacy_notes(c("_block"))})
     rows = stage(rows, {"_tail": F.substr(c("_block"), F.length("_head") + 1), "_pieces": t.option_pieces(t.strip_markers(c("_head")))},
                  keep=[x for x in rows.columns if x not in ("_head", "_block")])
-    rows = stage(rows, {**t.section_bounds(c("_tail")), "_region": t.clean_block(F.get("_pieces", F.lit(0))), "options": t.options_of(c("_pieces"))})
-    rows = stage(rows, {**t.sections(c("_tail"), c("_e_end"), c("_r_start"), c("_r_end")), "_paragraphs": t.background_paragraphs(c("_region"))},
-                 keep=[x for x in rows.columns if x not in ("_tail", "_e_end", "_r_start", "_r_end", "_pieces")])
+    rows = stage(rows, {"_e": t.around_match(c("_tail"), k.EXPLANATION), "_r": t.around_match(c("_tail"), k.REFERENCE), "_region": t.clean_block(F.get("_pieces", F.lit(0))), "options": t.options_of(c("_pieces"))})
+    bounds = [t.match_end(c("_tail"), c("_e")), F.length(F.get("_r", F.lit(0))), t.match_end(c("_tail"), c("_r"))]
+    rows = stage(rows, {**t.sections(c("_tail"), *bounds), "_paragraphs": t.background_paragraphs(c("_region"))},
+                 keep=[x for x in rows.columns if x not in ("_tail", "_e", "_r", "_pieces")])
     rows = stage(rows, {"explanation": t.clean_block(c("_expl")), "_own": t.harvest_urls(c("_refs")), **t.background_and_stem(c("_region"), c("_paragraphs"))},
                  keep=[x for x in rows.columns if x not in ("_refs", "_region", "_paragraphs")])
     rows = stage(rows, {

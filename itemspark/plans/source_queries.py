@@ -75,7 +75,7 @@ def record_texts(spark, sf):
 
 @register("quarantined_records", f"""SELECT reason, count(*) AS n FROM (SELECT CASE {' '.join(f"WHEN o_totalprice < {hi} THEN '{name}'" for hi, name in DEFECTS)} ELSE 'good' END AS reason FROM orders) GROUP BY 1""")
 def quarantined_records(spark, sf):
-    good, bad = backup.split_records(record_texts(spark, sf), "raw", backup.progress_reason(F.col("raw")), backup.PROGRESS)
+    good, bad = backup.split_records(record_texts(spark, sf), "raw", backup.progress_reason, backup.PROGRESS)
     sound = good.filter((F.col("record.box") == 3) & (F.size("record.attempts") == 2)).select(F.lit("good").alias("reason"))
     return sound.unionByName(bad.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

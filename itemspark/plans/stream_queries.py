@@ -90,9 +90,8 @@ def stream_quarantine(spark, sf):
     line = F.concat(F.lit("{"), F.when(kind == "error", F.lit('"key":')).otherwise(F.lit('"user":')), F.col("user_id").cast("string"), F.lit(',"at":'),
                     F.when(kind == "click", F.lit('"noon"')).otherwise(F.col("event_id").cast("string")), F.when(kind == "signup", F.lit("")).otherwise(F.lit("}")))
     ev.select(line.alias("value")).write.text(f"{root}/landing")
-    v = F.try_parse_json("value")
-    reason = _reason([("not json", v.isNotNull()), ("no key", _is(v, "$.user", NUMBER)), ("bad time", _is(v, "$.at", NUMBER))])
-    sink = st.split_sinks(root, reason, lambda df: df.select(F.from_json("value", "user bigint, at bigint").alias("r")).select("r.*"))
+    reason = lambda v: _reason([("not json", v.isNotNull()), ("no key", _is(v, "$.user", NUMBER)), ("bad time", _is(v, "$.at", NUMBER))])
+    sink = st.split_sinks(root, "value", reason, lambda df: df.select(F.from_json("value", "user bigint, at bigint").alias("r")).select("r.*"))
     st.run_to_end(spark.readStream.text(f"{root}/landing"), root, sink)
     good = spark.read.parquet(f"{root}/good").filter(F.col("user").isNotNull() & F.col("at").isNotNull()).select(F.lit("good").alias("reason"))
     bad = spark.read.parquet(f"{root}/quarantine").select("reason")

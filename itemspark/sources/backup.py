@@ -6,11 +6,13 @@ single-document envelope is read too; it is only written by whoever needs that s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemspark.operators.stages import stage
+
 NUMBER = r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"
 ATTEMPT = "struct<at:double,correct:boolean,confidence:string,selfGraded:boolean,elapsedMs:double>"
 PROGRESS = f"struct<contentHash:string,box:double,dueAt:double,timesWrong:double,correction:string,notes:string,attempts:array<{ATTEMPT}>>"
@@ -43,9 +45,8 @@ def _reason(checks: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(~ok, F.lit(name)) for name, ok in checks])
 
 
-def progress_reason(raw: Column, strict: bool = True) -> Column:
-    """Why a progress record cannot be trusted. Lenient mode skips the integer and attempt-detail checks."""
-    v = F.try_parse_json(raw)
+def progress_reason(v: Column, strict: bool = True) -> Column:
+    """Why a progress record (a variant) cannot be trusted. Lenient mode skips the integer and attempt-detail checks."""
     text_or_null = r"^(STRING|VOID)$"
     box = F.try_variant_get(v, "$.box", "double")
 
@@ -66,9 +67,7 @@ def progress_reason(raw: Column, strict: bool = True) -> Column:
     ])
 
 
-def session_reason(raw: Column, strict: bool = True) -> Column:
-    v = F.try_parse_json(raw)
-
+def session_reason(v: Column, strict: bool = True) -> Column:
     def result_ok(r):
         good = _is(r, "$.contentHash", "^STRING$") & _is(r, "$.correct", "^BOOLEAN$") & _is(r, "$.skillArea", "^STRING$")
         return good & F.coalesce(F.try_variant_get(r, "$.confidence", "string").isin(*CONFIDENCE), F.lit(False)) if strict else good
@@ -80,9 +79,15 @@ def session_reason(raw: Column, strict: bool = True) -> Column:
     ])
 
 
-def split_records(rows: DataFrame, raw: str, reason: Column, schema: str) -> tuple[DataFrame, DataFrame]:
+def judge(rows: DataFrame, raw: str, reason: Callable[[Column], Column]) -> DataFrame:
+    """Add the reason code of each raw JSON text; it is parsed once and judged once."""
+    parsed = stage(rows, {"_v": F.try_parse_json(raw)})
+    return stage(parsed, {"reason": reason(F.col("_v"))}, keep=rows.columns)
+
+
+def split_records(rows: DataFrame, raw: str, reason: Callable[[Column], Column], schema: str) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine): parsed sound records, and the raw text of the others with a reason code."""
-    judged = rows.withColumn("reason", reason)
+    judged = judge(rows, raw, reason)
     good = judged.filter(F.col("reason").isNull()).withColumn("record", F.from_json(raw, schema)).drop("reason", raw)
     return good, judged.filter(F.col("reason").isNotNull())
 
@@ -97,8 +102,8 @@ def read_envelope(spark: SparkSession, path: str, strict: bool = True) -> dict[s
     sound = F.coalesce((F.col("version") == "1") & F.col("progress").isNotNull() & F.col("sessions").isNotNull(), F.lit(False))
     rejected = files.filter(~sound).select("file", F.lit("not a version 1 backup").alias("reason"), F.lit(None).cast("string").alias("raw"))
     known = files.filter(sound)
-    p, bad_p = split_records(known.select("file", F.explode("progress").alias("raw")), "raw", progress_reason(F.col("raw"), strict), PROGRESS)
-    s, bad_s = split_records(known.select("file", F.explode("sessions").alias("raw")), "raw", session_reason(F.col("raw"), strict), SESSION)
+    p, bad_p = split_records(known.select("file", F.explode("progress").alias("raw")), "raw", lambda v: progress_reason(v, strict), PROGRESS)
+    s, bad_s = split_records(known.select("file", F.explode("sessions").alias("raw")), "raw", lambda v: session_reason(v, strict), SESSION)
     return {
         "progress": p.select("file", progress_columns()), "attempts": p.select("file", F.col("record.contentHash").alias("content_hash"), F.inline("record.attempts")),
         "sessions": s.select("file", F.col("record.id").alias("id"), F.col("record.mode").alias("mode"), *[millis(F.col(f"record.{a}")).alias(b) for a, b in (("startedAt", "started_at"), ("finishedAt", "finished_at"))]),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from itemspark.operators.history import upsert
 from itemspark.operators.progress import KEYS, ORDER, progress
+from itemspark.sources.backup import judge
 
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
@@ -97,10 +98,10 @@ def replay_store(spark: SparkSession, root: str, keys: Sequence[str] = KEYS, ord
     return progress(rows, keys, order)
 
 
-def split_sinks(root: str, reason: Column, parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def split_sinks(root: str, raw: str, reason: Callable[[Column], Column], parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Sound events to one table, malformed ones with a reason to another; the query itself never fails on them."""
     def write(batch: DataFrame, epoch: int) -> None:
-        judged = batch.withColumn("reason", reason)
+        judged = judge(batch, raw, reason)
         parse(judged.filter(F.col("reason").isNull()).drop("reason")).write.mode("overwrite").parquet(f"{root}/good/epoch={epoch}")
         judged.filter(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{root}/quarantine/epoch={epoch}")
     return write
