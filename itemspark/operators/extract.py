@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from itemspark.functions import constants as k
 from itemspark.functions import text as t
-from itemspark.operators.scans import by_position, fill_forward
+from itemspark.operators.scans import by_position, fill_forward, running_totals, salted_lookup
 from itemspark.operators.stages import stage
 
 
@@ -147,8 +147,6 @@ def own_by_marker(paragraphs: DataFrame, marker: str = "marker", doc: str = "doc
 def assemble_blocks(lines: DataFrame, owner: list[str], order: list[str], line: str = "line", part_lines: int = 10_000) -> DataFrame:
     """Owned lines to block texts in order. A block longer than ``part_lines`` comes out as several
     numbered parts instead of being gathered whole in one task; nothing is dropped."""
-    from itemspark.operators.scans import running_totals
-
     kept = lines.filter(~F.col(line).rlike(r"(?U)\A\s*\z"))
     numbered = running_totals(kept, owner, order, by_position(order[-1]), {"_nth": F.lit(1)})
     numbered = numbered.withColumn("part", F.floor((F.col("_nth") - 1) / F.lit(part_lines)).cast("int"))
@@ -186,8 +184,6 @@ def media_manifest(refs: DataFrame, media: DataFrame, min_bytes: int = k.MIN_IMA
     rows = rows.withColumn("_bad", F.when(F.col("digest").isNull(), "missing").otherwise(F.col("_bad")))
     good = F.col("_bad").isNull()
     first = rows.filter(good).groupBy("digest").agg(F.min(F.struct("owner", "pos", "path")).alias("first"))
-    from itemspark.operators.scans import salted_lookup
-
     rows = salted_lookup(rows.filter(good), first, ["digest"]).unionByName(rows.filter(~good), allowMissingColumns=True)
     is_first = F.coalesce((F.col("first.owner") == F.col("owner")) & (F.col("first.pos") == F.col("pos")), F.lit(False))
     return rows.select("owner", "pos", "path", "digest", F.coalesce("_bad", F.when(is_first, "kept").otherwise("deduped")).alias("outcome"),
@@ -196,8 +192,6 @@ def media_manifest(refs: DataFrame, media: DataFrame, min_bytes: int = k.MIN_IMA
 
 def owner_media(manifest: DataFrame, width: int = 1000) -> DataFrame:
     """Distinct media per owner in reference order, under the shared name of their first reference."""
-    from itemspark.operators.scans import running_totals
-
     usable = manifest.filter(F.col("outcome").isin("kept", "deduped"))
     per_owner = usable.groupBy("owner", "digest").agg(F.min("pos").alias("pos"), F.min("first_owner").alias("first_owner"),
                                                        F.min("first_pos").alias("first_pos"))
@@ -208,8 +202,6 @@ def owner_media(manifest: DataFrame, width: int = 1000) -> DataFrame:
     names = named.join(suffix, "digest").select("digest", F.concat(
         F.lit("q"), F.col("owner").cast("string"), F.lit("-"), F.col("place").cast("string"),
         F.when(F.col("_ext") == "", ".png").otherwise(F.col("_ext"))).alias("name"))
-    from itemspark.operators.scans import salted_lookup
-
     return salted_lookup(placed.select("owner", "pos", "place", "digest"), names, ["digest"])
 
 

@@ -7,7 +7,7 @@ nothing is broadcast whose size depends on data.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +44,6 @@ class ItemFilter:
 
     def known_to(self, areas: Sequence[str]) -> "ItemFilter":
         """Drop an unknown area instead of selecting an empty pool."""
-        from dataclasses import replace
-
         return self if self.area in areas else replace(self, area=None)
 
     def predicate(self, as_of: Column, due: bool | None = None) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from itemspark.operators import grading as g
 from itemspark.functions import items as it
-from itemspark.functions.text import BOXES_TYPE
 from itemspark.operators.stages import stage
 from itemspark.operators.analytics import defect_counters as count_defects
 from itemspark.plans import adapters as ad
