@@ -11,41 +11,59 @@ from itemspark.operators.scans import by_position, fill_forward, running_totals,
 from itemspark.operators.stages import stage
 
 
+OFFSETS = "struct<at:array<bigint>,n:bigint>"
+
+
+def starts_of(lengths: Column, gap: int = 0, block: int = 1000) -> Column:
+    """Start offset of each piece from an array of piece lengths, ``gap`` apart.
+
+    Offsets are summed in blocks and the blocks then shifted: appending to one long array element by
+    element would copy it each time, which a document of a million pieces could not afford.
+    """
+    start = F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("bigint").alias("n"))
+
+    def add(acc, n):
+        return F.struct(F.concat(acc["at"], F.array(acc["n"])).alias("at"), (acc["n"] + n + F.lit(gap)).alias("n")).cast(OFFSETS)
+
+    def shift(acc, part):
+        moved = F.transform(part["at"], lambda x: x + acc["n"])
+        return F.struct(F.concat(acc["at"], moved).alias("at"), (acc["n"] + part["n"]).alias("n")).cast(OFFSETS)
+
+    last = F.greatest(F.ceil(F.size(lengths) / F.lit(block)) - 1, F.lit(0)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(lengths, b * block + 1, block))
+    parts = F.transform(blocks, lambda x: F.aggregate(x, start, add))
+    return F.aggregate(parts, start, shift, lambda acc: acc["at"])
+
+
 def segments(docs: DataFrame, doc: str = "doc_id", text: str = "text", marker: str = k.MARKER,
              keep: list[str] | None = None) -> DataFrame:
     """Cut each document at every marker: (doc, id, body, start, end), first block of an id wins.
 
     A repeated marker still ends the block before it. Text ahead of the first marker belongs to nobody.
-    Everything happens inside the document's row, so a document is the unit of parallelism.
+    Everything happens inside the document's row, so a document is the unit of parallelism; the work
+    grows with its length times a logarithm.
     """
-    pieces = F.split(F.regexp_replace(F.col(text), f"(?md){marker}", f"{t.CUT}$0"), t.CUT)
-    lengths = F.transform(F.col("_p"), F.length)
-    start = F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("bigint").alias("n"))
-    offsets = F.aggregate(
-        lengths, start,
-        lambda acc, n: F.struct(F.concat(acc["at"], F.array(acc["n"])).cast("array<bigint>").alias("at"), (acc["n"] + n).cast("bigint").alias("n")),
-        lambda acc: acc["at"])
-    ids = F.transform(F.col("_p"), lambda p: F.regexp_extract(p, rf"\A{marker.lstrip('^')}", 1).try_cast("bigint"))
-    blocks = F.transform(F.arrays_zip("_p", "_at", "_id"), lambda x, i: F.struct(
-        i.alias("nth"), x["_id"].alias("id"), x["_p"].alias("body"), x["_at"].alias("start"),
-        (x["_at"] + F.length(x["_p"])).alias("end")))
-    wanted = F.filter(blocks, lambda b: b["id"].isNotNull() & (b["nth"] > 0) & (F.array_position(F.col("_id"), b["id"]) == b["nth"] + 1))
     cols = [doc, *(keep or [])]
-    rows = docs.select(*cols, pieces.alias("_p")).withColumn("_at", offsets).withColumn("_id", ids)
-    return rows.select(*cols, F.inline(wanted)).drop("nth")
+    pieces = F.split(F.regexp_replace(F.col(text), f"(?md){marker}", f"{t.CUT}$0"), t.CUT)
+    number = rf"\A{marker.lstrip('^')}"
+    rows = stage(docs, {"_p": pieces}, keep=cols)
+    rows = stage(rows, {"_len": F.transform("_p", F.length), "_id": F.transform("_p", lambda p: F.regexp_extract(p, number, 1).try_cast("bigint"))})
+    rows = stage(rows, {"_at": starts_of(F.col("_len"))})
+    blocks = F.transform(F.arrays_zip("_id", "_at", "_len", "_p"), lambda x, i: F.struct(
+        x["_id"].alias("id"), i.alias("nth"), x["_p"].alias("body"), x["_at"].alias("start"), (x["_at"] + x["_len"]).alias("end")))
+    # Sorted by (id, nth), the first block of an id is the one whose neighbour before has another id.
+    rows = stage(rows, {"_b": F.sort_array(F.filter(blocks, lambda b: b["id"].isNotNull() & (b["nth"] > 0)))}, keep=cols)
+    firsts = F.filter("_b", lambda b, i: (i == 0) | (F.get("_b", i - 1)["id"] != b["id"]))
+    return rows.select(*cols, F.inline(firsts)).drop("nth")
 
 
 def page_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", mark: str = "\f") -> DataFrame:
     """Half-open offsets of each page: (doc, lo, hi, page)."""
-    pages = F.split(F.col(text), mark)
-    start = F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("bigint").alias("n"))
-    lows = F.aggregate(
-        F.transform(pages, F.length), start,
-        lambda acc, n: F.struct(F.concat(acc["at"], F.array(acc["n"])).cast("array<bigint>").alias("at"), (acc["n"] + n + 1).cast("bigint").alias("n")),
-        lambda acc: acc["at"])
-    zipped = F.transform(F.arrays_zip(lows.alias("lo"), F.transform(pages, F.length).alias("len")), lambda x, i: F.struct(
-        x["lo"].alias("lo"), (x["lo"] + x["len"]).alias("hi"), (i + 1).alias("page")))
-    return docs.select(doc, F.inline(zipped))
+    rows = stage(docs, {"_len": F.transform(F.split(text, mark), F.length)}, keep=[doc])
+    rows = stage(rows, {"_lo": starts_of(F.col("_len"), gap=len(mark))})
+    zipped = F.transform(F.arrays_zip("_lo", "_len"), lambda x, i: F.struct(
+        x["_lo"].alias("lo"), (x["_lo"] + x["_len"]).alias("hi"), (i + 1).alias("page")))
+    return rows.select(doc, F.inline(zipped))
 
 
 def overlap_join(segs: DataFrame, spans: DataFrame, doc: str = "doc_id", width: int = 4096) -> DataFrame:

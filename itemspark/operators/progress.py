@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspark.functions.constants import BOX_INTERVAL_DAYS, MAX_BOX
-from itemspark.operators.scans import by_time
+from itemspark.operators.scans import by_time, medians
 
 KEYS = ("learner", "content_hash")
 ORDER = ("at", "event_id")
@@ -182,7 +182,7 @@ def session_summary(moves: DataFrame, session: Sequence[str] = ("learner", "sess
     ok = F.col("correct")
     promoted = F.count_if(ok & (F.col("box_after") > F.col("box_before")))
     reset = F.count_if(~ok)
-    return moves.groupBy(*session).agg(
+    out = moves.groupBy(*session).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("n_correct"),
         promoted.alias("promoted"),
@@ -192,5 +192,5 @@ def session_summary(moves: DataFrame, session: Sequence[str] = ("learner", "sess
         F.count_if(ok & (F.coalesce("confidence", F.lit("unsure")) != "confident")).alias("shaky"),
         F.sum("elapsed_ms").alias("elapsed_ms"),
         F.round(F.avg("elapsed_ms")).cast("bigint").alias("mean_ms"),
-        F.percentile("elapsed_ms", F.lit(0.5)).alias("median_ms"),
     )
+    return out.join(medians(moves, list(session), "elapsed_ms", name="median_ms"), list(session), "left")

@@ -92,3 +92,14 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: st
     left = rows.withColumn("_salt", spread)
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str, width: int = 60_000, name: str = "median") -> DataFrame:
+    """Exact median per key from running counts over the distinct values; no group's values are held at once."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counts, keys, [value], by_position(value, width), {"_upto": F.col("_n")})
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    at_least = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col(value)))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    rows = salted_lookup(ranked, totals, keys)
+    return rows.groupBy(*keys).agg(((at_least(low) + at_least(high)) / 2).alias(name))

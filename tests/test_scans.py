@@ -51,3 +51,25 @@ def test_long_blocks_split_into_parts(spark):
     lines = spark.createDataFrame([(1, i, f"l{i}") for i in range(25)] + [(2, 0, " ")], "owner int, para int, line string")
     got = {(r.owner, r.part): r.body.split("\n") for r in ex.assemble_blocks(lines, ["owner"], ["para"], part_lines=10).collect()}
     assert [len(got[1, p]) for p in range(3)] == [10, 10, 5] and got[1, 1][0] == "l10" and (2, 0) not in got
+
+
+def test_medians_equal_percentile(spark):
+    df = data(spark)
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("n", F.lit(0.5)).alias("m")).collect()}
+    assert {r.k: r.m for r in scans.medians(df, ["k"], "n", width=3, name="m").collect()} == want
+
+
+def test_offsets_of_many_pieces_cross_block_borders(spark):
+    lengths = [(i * 7) % 13 for i in range(2503)]
+    got = spark.createDataFrame([(lengths,), ([],)], "n array<int>").select(ex.starts_of(F.col("n"), gap=1).alias("x")).collect()
+    want, at = [], 0
+    for n in lengths:
+        want.append(at)
+        at += n + 1
+    assert got[0].x == want and got[1].x == []
+
+
+def test_document_with_many_markers(spark):
+    text = "".join(f"Question: {i % 4000}\nbody {i}\n" for i in range(6000))
+    rows = ex.segments(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert len(rows) == 4000 and all(r.body == text[r.start:r.end] == f"Question: {r.id}\nbody {r.id}\n" for r in rows)
