@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-SLICES = ["2024-01-01 00:00:00", "2024-01-10 08:00:00", "2024-01-21 20:00:00", "2024-02-01 00:00:00"]
+CUTS = ["2024-01-10 08:00:00", "2024-01-21 20:00:00"]
 
 
 def run_slices(spark, sf, build, sink, order=(0, 1, 2), mode="append"):
@@ -32,8 +32,9 @@ def run_slices(spark, sf, build, sink, order=(0, 1, 2), mode="append"):
     root = work_dir(spark, "feed")
     feed = ad.attempts(spark, sf).withColumn("at", F.col("at").cast("timestamp"))
     for i in order:
-        lo, hi = (F.to_timestamp(F.lit(SLICES[j])) for j in (i, i + 1))
-        feed.filter((F.col("at") >= lo) & (F.col("at") < hi)).write.mode("append").parquet(f"{root}/landing")
+        part = feed if i == 0 else feed.filter(F.col("at") >= F.to_timestamp(F.lit(CUTS[i - 1])))
+        part = part if i == len(CUTS) else part.filter(F.col("at") < F.to_timestamp(F.lit(CUTS[i])))
+        part.write.mode("append").parquet(f"{root}/landing")
         stream = spark.readStream.schema(feed.schema).parquet(f"{root}/landing")
         st.run_to_end(build(stream), root, sink(root), mode)
     return root
