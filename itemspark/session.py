@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,9 +27,8 @@ def build_session(app: str = "itemspark", cpus: int | str = "*", shuffle_partiti
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a local folder used.
+    Where that setting is absent (tests, a laptop) the session's own warehouse location is used, so that
+    the folder is always one that Spark's readers and writers reach from every executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), f"itemspark-{os.getuid()}")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/itemspark-work/{label}-{uuid.uuid4().hex[:12]}"

@@ -7,13 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from itemspark.plans import catalog
 from tools.check import TABLES, TYPES, canonical
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("review_state", "review_state_resumed", "review_trajectory", "history_merge", "sampled_paper", "quotas_under_capacity", "readiness_by_area",
           "session_scores", "rolling_accuracy_trace", "dwell_times", "duplicate_members", "parent_links", "reconciled_fields", "bank_problems", "rule_classes",
           "parse_notes", "segment_pages", "graded_responses", "revision_sheets", "quarantined_records", "owner_media", "stream_review_state")
-NAMES = list(entry.queries()) if os.environ.get("ITEMSPARK_ALL_QUERIES") else SAMPLE
+NAMES = list(catalog.queries()) if os.environ.get("ITEMSPARK_ALL_QUERIES") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -27,7 +28,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracles())
 
 
 @pytest.mark.parametrize("name", NAMES)
