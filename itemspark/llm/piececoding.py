@@ -166,7 +166,8 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
     return [data[4 * a:4 * b] for a, b in zip(np.r_[0, last[:-1]].tolist(), last.tolist(), strict=True)]
 
 
-def _encoder(path: str):
+@cache
+def encoder(path: str):
     line_end = load(path).byte_ids[ord("\n")].astype("<i4").tobytes()
     known: dict[str, bytes] = {"\n": line_end}
 
@@ -189,9 +190,6 @@ def _encoder(path: str):
     return encode
 
 
-encoder = cache(_encoder)
-
-
 @cache
 def decoder(path: str):
     """Gives the text of some ids: piece texts and byte pieces in turn, less the blank put before the text."""

@@ -122,6 +122,7 @@ def merged_counts(words: list[str], path: str) -> np.ndarray:
     return counts
 
 
+@cache
 def counter(path: str):
     known: dict[str, int] = {}
 
@@ -138,9 +139,6 @@ def counter(path: str):
     return count
 
 
-counter = cache(counter)
-
-
 def token_counts(df: DataFrame, path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: UTF-8 bytes, tokens without special ones, and whether they exceed ``limit``."""
     ship(df.sparkSession)
