@@ -5,21 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemspark.llm import piececoding, tokencount
+from itemspark.llm import language, piececoding, secrets, tokencount, toxicity
 from itemspark.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip."""
     return piececoding.coded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return toxicity.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op5_piece_coding, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts)}
 ORACLES: dict[str, str] = {}
