@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemspark.llm import language, piececoding, secrets, tokencount, toxicity
+from itemspark.llm import decontaminate, language, piececoding, secrets, simhash, tokencount, toxicity
 from itemspark.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -16,6 +16,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip."""
     return piececoding.coded(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
@@ -36,5 +41,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, edits: the benchmark items that documents hold."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_simhash, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts,
+                                   op10_decontamination)}
 ORACLES: dict[str, str] = {}
