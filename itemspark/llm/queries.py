@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from itemspark.llm import decontaminate, language, piececoding, secrets, simhash, tokencount, toxicity
+from itemspark.llm import decontaminate, language, permutation, piececoding, secrets, simhash, tokencount, toxicity
 from itemspark.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -16,6 +16,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    return permutation.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     return simhash.components(table(spark, sf_dir, "documents"))
@@ -46,6 +51,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_simhash, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_neighbours, op4_simhash, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts,
                                    op10_decontamination)}
 ORACLES: dict[str, str] = {}
