@@ -1,6 +1,6 @@
 """Nearest neighbours by largest inner product through a permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is represented by its ``PREFIX`` nearest pivots in order
+Pivots are chosen, far from each other, from a bounded sample of the vectors. A vector is represented by its ``PREFIX`` nearest pivots in order
 and posted in their inverted files with its place there. Candidates are ranked by the footrule distance of the
 two orders, a missing pivot counting as one place past the end; the distance falls by twice
 ``PREFIX - max(place, place)`` for every shared pivot, which is what the postings add up. The best
@@ -34,6 +34,8 @@ from itemspark.llm.common import ship
 from itemspark.session import work_dir
 
 PIVOTS, PREFIX = 256, 64
+#: Vectors, the first by hash, that pivots are chosen from.
+SAMPLE = 4_096
 #: Share of a block's vectors that are ranked again, and the least number.
 CANDIDATES, LEAST = 0.15, 512
 INDEX_BLOCK, QUERY_BLOCK = 4_096, 2_048
@@ -63,6 +65,15 @@ def orders(vectors: np.ndarray, extra: np.ndarray, pivots: np.ndarray, prefix: i
     return np.argsort(away, axis=1, kind="stable")[:, :prefix].astype(np.int32)
 
 
+def spread(sample: np.ndarray, many: int) -> np.ndarray:
+    """``many`` of the sample, each the farthest from those before it: pivots of one cluster tell little apart."""
+    chosen, away = [0], np.full(len(sample), np.inf)
+    while len(chosen) < min(many, len(sample)):
+        away = np.minimum(away, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+        chosen.append(int(away.argmax()))
+    return sample[chosen]
+
+
 class Block:
     """The inverted files of some vectors."""
 
@@ -106,8 +117,8 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
 
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     n, longest = entries.agg(F.count("*"), F.max(squared)).first()
-    pivots = np.array([r[0] for r in entries.orderBy("a", "b").limit(PIVOTS).select("v").collect()])
-    pivots = np.c_[pivots, np.sqrt(np.maximum(longest - (pivots * pivots).sum(1), 0))]
+    sample = np.array([r[0] for r in entries.orderBy("a", "b").limit(SAMPLE).select("v").collect()])
+    pivots = spread(np.c_[sample, np.sqrt(np.maximum(longest - (sample * sample).sum(1), 0))], PIVOTS)
     prefix = min(PREFIX, len(pivots))
 
     def index(batches):
