@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from itemspark.llm import decontaminate, language, permutation, piececoding, secrets, simhash, tokencount, toxicity
+from itemspark.llm import decontaminate, language, permutation, piececoding, secrets, simhash, tokencount, toxicity, warc
 from itemspark.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -16,6 +17,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, then the capture's place in the index.
+
+    The table has no capture times; a page's id stands for the second of a year.
+    """
+    at = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31536000)))
+    return warc.captures(table(spark, sf_dir, "pages").withColumn("captured_at", at))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score."""
     return permutation.neighbours(table(spark, sf_dir, "embeddings"))
@@ -51,6 +61,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_neighbours, op4_simhash, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_neighbours, op4_simhash, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts,
                                    op10_decontamination)}
 ORACLES: dict[str, str] = {}
