@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import decontaminate, language, permutation, piececoding, secrets, simhash, tokencount, toxicity, warc
+from itemspark.llm import decontaminate, language, maintext, permutation, piececoding, secrets, simhash, tokencount, toxicity, warc
 from itemspark.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -46,6 +46,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return maintext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -61,6 +66,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_neighbours, op4_simhash, op5_piece_coding, op6_toxicity, op8_secret_scan, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_neighbours, op4_simhash, op5_piece_coding, op6_toxicity, op7_main_text, op8_secret_scan, op9_token_counts,
                                    op10_decontamination)}
 ORACLES: dict[str, str] = {}
