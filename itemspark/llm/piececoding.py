@@ -28,7 +28,7 @@ from itemspark.llm.common import pieces, ship
 from itemspark.llm.vocabulary import BIG, BLANK, Vocabulary, load, segments
 
 #: Pre-tokens whose ids a worker keeps, and bytes of new ones that are indexed at a time.
-KEPT, INDEXED = 250_000, 1 << 19
+KEPT, INDEXED = 200_000, 1 << 19
 #: Bytes that never occur in UTF-8: the blank, and the end of a pre-token.
 BLANK_BYTE, END_BYTE = 0xFF, 0xFE
 
@@ -103,13 +103,16 @@ def encode_words(words: list[str], path: str) -> list[bytes]:
     order, key = suffix_array(text, index.words)
     lo, hi = occurrences(index, order, key)
     many = hi - lo
-    piece = np.repeat(np.arange(len(many)), many)
-    at = order[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+    piece = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    at = np.arange(len(piece), dtype=np.int32)
+    at += np.repeat((lo - np.cumsum(many) + many).astype(np.int32), many)
     # The edges by position: row of the position, column of the length.
     span = int(index.length.max()) + 1
-    edges = np.full((len(text), span), BIG, np.int32)
-    edges[at, index.length[piece]] = piece
-    edges = edges.ravel()
+    edges = np.full(len(text) * span, BIG, np.int32)
+    cell = order.astype(np.int32)[at] * np.int32(span)
+    cell += index.length.astype(np.int32)[piece]
+    edges[cell] = piece
+    del at, cell, piece, order, key
 
     starts = (text < 0x80) | (text >= 0xC0)
     starts &= text != END_BYTE

@@ -124,7 +124,7 @@ class Scanner:
         self.rules = [(r, re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.any_case else 0)), trigram_query(r.pattern)) for r in rules]
         wanted = sorted({t for _, _, q in self.rules for clause in q for way in clause for t in way if t.isascii()})
         self.number = {t: k + 1 for k, t in enumerate(wanted)}
-        self.table = np.zeros(1 << 24, np.uint16)
+        self.table = np.zeros(1 << 24, np.uint8 if len(wanted) < 256 else np.uint16)
         for t, k in self.number.items():
             a, b, c = t.encode()
             self.table[a << 16 | b << 8 | c] = k

@@ -23,7 +23,7 @@ from itemspark.llm.common import pieces, ship
 from itemspark.llm.vocabulary import BIG, load, segments
 
 #: Pre-tokens whose counts a worker keeps.
-KEPT = 400_000
+KEPT = 300_000
 SLOTS = 22
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 

@@ -40,7 +40,7 @@ TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 2_048, 65_536, 40_000
 LEVEL = 3
 ANCHOR = bytes(range(1, 17))
 #: Counts of toxic words that are told apart, and words a worker remembers.
-COUNTS, KEPT = 8, 500_000
+COUNTS, KEPT = 8, 150_000
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
