@@ -59,22 +59,15 @@ def strip_leading_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A[\s\-–—:]+", "")
 
 
-def stitch_wrapped_urls(text: Column, glue_adjacent: bool = False) -> Column:
-    """Append spaceless lines to a preceding line that ends in a URL.
+def stitch_wrapped_urls(text: Column, glue_adjacent: bool = True) -> Column:
+    """Append spaceless lines to a preceding line that ends in a URL; every line loses its outer blanks.
 
-    A line that itself starts a URL begins a new entry unless ``glue_adjacent`` is set.
+    One pass: the line end goes where a URL, or a line just appended to one, stands before it and a spaceless
+    line after it. Without ``glue_adjacent`` a line that itself starts a URL begins a new entry.
     """
-    def add(acc, line):
-        line = strip(line)
-        joins = (line != "") & ~line.contains(" ") & acc["last"].rlike(r"https?://\S+\z")
-        if not glue_adjacent:
-            joins = joins & ~line.startswith("http://") & ~line.startswith("https://")
-        done = F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], acc["last"], F.lit("\n")))
-        return F.struct(done.alias("done"), F.when(joins, F.concat(acc["last"], line)).otherwise(line).alias("last"))
-
-    lines = F.split(text, "\n")
-    start = F.struct(F.lit("").alias("done"), strip(F.element_at(lines, 1)).alias("last"))
-    return F.aggregate(F.slice(lines, 2, F.size(lines)), start, add, lambda acc: F.concat(acc["done"], acc["last"]))
+    lines = F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
+    own = "" if glue_adjacent else "(?!https?://)"
+    return F.regexp_replace(lines, rf"(https?://\S+|\G(?!\A)\S+)\n(?={own}[^ \n]+(?:\n|\z))", "$1")
 
 
 def around_match(text: Column, pattern: str) -> Column:

@@ -109,15 +109,22 @@ def priority_table(areas: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w))
 
 
-def session_scores(results: DataFrame, strata: Strata, session: str = "session_id") -> DataFrame:
-    """Mark out of 1000 per sitting, weighted by stratum and renormalised over the strata asked."""
+def session_scores(results: DataFrame, strata: Strata, session: str = "session_id", sessions: DataFrame | None = None) -> DataFrame:
+    """Mark out of 1000 per sitting, weighted by stratum and renormalised over the strata asked.
+
+    With ``sessions`` every sitting gets a row; one without results scores 0.
+    """
     areas = session_areas(results, strata, session)
     total = F.sum("weight")
-    return areas.groupBy(session).agg(
+    scores = areas.groupBy(session).agg(
         F.when(total == 0, 0).otherwise(_mark(F.sum(F.col("weight") * (F.col("n_correct") / F.col("seen"))) / total))
         .cast("int").alias("score"),
         F.sum("seen").alias("seen"), F.sum("n_correct").alias("n_correct"), F.sum("elapsed_ms").alias("elapsed_ms"),
-    ).withColumn("passed", F.col("score") >= k.PASS_MARK)
+    )
+    if sessions is not None:
+        scores = sessions.select(session).distinct().join(scores, session, "left")
+        scores = scores.withColumns({c: F.coalesce(c, F.lit(0).cast(scores.schema[c].dataType)) for c in scores.columns if c != session})
+    return scores.withColumn("passed", F.col("score") >= k.PASS_MARK)
 
 
 def session_areas(results: DataFrame, strata: Strata, session: str = "session_id") -> DataFrame:
@@ -228,8 +235,7 @@ def pacing_counts(results: DataFrame, by: Sequence[str], budget: int = k.MS_PER_
 def sampling_fidelity(items: DataFrame, strata: Strata, n: int, n_seeds: int, key: str = "item_id") -> DataFrame:
     """Share of each stratum over many seeded papers against its weight, in percentage points."""
     copies = items.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))))
-    unseen = items.sparkSession.createDataFrame([], f"{key} {items.schema[key].dataType.simpleString()}, box int, attempts bigint, times_wrong bigint, due_at timestamp_ntz")
-    papers = sample_paper(copies, unseen, strata, n, F.col("seed"), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), key, seeds=["seed"])
+    papers = sample_paper(copies, None, strata, n, F.col("seed"), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), key, seeds=["seed"], pool=items)
     drawn = papers.groupBy("area", "weight").agg(F.count(F.lit(1)).alias("drawn"))
     share = F.col("drawn") / F.sum("drawn").over(Window.partitionBy())
     return drawn.withColumn("share", share).withColumn("gap_pp", F.abs(F.col("share") - F.col("weight")) * 100)

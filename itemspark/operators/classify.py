@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemspark.functions import constants as k
@@ -24,17 +24,6 @@ class Rule:
     patterns: tuple[str, ...]
 
 
-MAX_RULES = 5_000
-
-
-def rules_from(df: DataFrame) -> list[Rule]:
-    """Rules (rule_id, area, subtopic, weight, patterns) of a table whose size is checked before it is read."""
-    rows = df.orderBy("rule_id").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: not a rule table")
-    return [Rule(r.area, r.subtopic, int(r.weight), tuple(r.patterns)) for r in rows]
-
-
 def scoring_text(stem: Column, options: Column, explanation: Column, refs: Column) -> Column:
     c = lambda x: F.coalesce(x, F.lit(""))
     return F.concat(c(stem), F.lit(" "), c(F.array_join(F.transform(options, lambda o: o["text"]), " ")), F.lit(" "),
@@ -98,8 +87,8 @@ def review_queue(classified: DataFrame, text: str, key: str = "id", chars: int =
 def distribution(rows: DataFrame, strata: DataFrame, area: str = "area") -> DataFrame:
     """Share of each stratum against its target band."""
     counts = rows.groupBy(F.col(area).alias("area")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    counts = counts.withColumn("percent", F.lit(100.0) * F.col("n") / total)
+    total = rows.agg(F.count(F.lit(1)))
+    counts = counts.withColumn("percent", F.lit(100.0) * F.col("n") / total.scalar())
     out = strata.join(counts, "area", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "percent": F.coalesce("percent", F.lit(0.0))})
     return out.withColumn("off_band", ~F.col("percent").between(F.col("lo"), F.col("hi")))
 

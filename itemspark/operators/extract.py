@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,11 @@ def starts_of(lengths: Column, gap: int = 0, block: int = 1000) -> Column:
 
 
 def segments(docs: DataFrame, doc: str = "doc_id", text: str = "text", marker: str = k.MARKER,
-             keep: list[str] | None = None) -> DataFrame:
+             keep: list[str] | None = None, offsets: bool = True) -> DataFrame:
     """Cut each document at every marker: (doc, id, body, start, end), first block of an id wins.
 
+    Without ``offsets`` start and end are left out, and so is what they cost.
+
     A repeated marker still ends the block before it. Text ahead of the first marker belongs to nobody.
     Everything happens inside the document's row, so a document is the unit of parallelism; the work
     grows with its length times a logarithm.
@@ -46,13 +50,19 @@ def segments(docs: DataFrame, doc: str = "doc_id", text: str = "text", marker: s
     cols = [doc, *(keep or [])]
     pieces = F.split(F.regexp_replace(F.col(text), f"(?md){marker}", f"{t.CUT}$0"), t.CUT)
     number = rf"\A{marker.lstrip('^')}"
+    if not offsets:
+        cut = F.transform(pieces, lambda p, i: F.struct(F.regexp_extract(p, number, 1).try_cast("bigint").alias("id"), i.alias("nth"), p.alias("body")))
+        return _first_blocks(stage(docs, {"_b": F.sort_array(F.filter(cut, lambda b: b["id"].isNotNull() & (b["nth"] > 0)))}, keep=cols), cols)
     rows = stage(docs, {"_p": pieces}, keep=cols)
     rows = stage(rows, {"_len": F.transform("_p", F.length), "_id": F.transform("_p", lambda p: F.regexp_extract(p, number, 1).try_cast("bigint"))})
     rows = stage(rows, {"_at": starts_of(F.col("_len"))})
     blocks = F.transform(F.arrays_zip("_id", "_at", "_len", "_p"), lambda x, i: F.struct(
         x["_id"].alias("id"), i.alias("nth"), x["_p"].alias("body"), x["_at"].alias("start"), (x["_at"] + x["_len"]).alias("end")))
-    # Sorted by (id, nth), the first block of an id is the one whose neighbour before has another id.
-    rows = stage(rows, {"_b": F.sort_array(F.filter(blocks, lambda b: b["id"].isNotNull() & (b["nth"] > 0)))}, keep=cols)
+    return _first_blocks(stage(rows, {"_b": F.sort_array(F.filter(blocks, lambda b: b["id"].isNotNull() & (b["nth"] > 0)))}, keep=cols), cols)
+
+
+def _first_blocks(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Of blocks sorted by (id, nth), the first of an id is the one whose neighbour before has another id."""
     firsts = F.filter("_b", lambda b, i: (i == 0) | (F.get("_b", i - 1)["id"] != b["id"]))
     return rows.select(*cols, F.inline(firsts)).drop("nth")
 
@@ -80,36 +90,63 @@ def overlap_join(segs: DataFrame, spans: DataFrame, doc: str = "doc_id", width:
     return pairs.filter(touches & (F.col("_b") == F.greatest("_a0", "_b0"))).drop("_a0", "_b0", "_b")
 
 
-def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", watermark: str | None = None) -> DataFrame:
-    """All fields of one block per row; ``source`` b uses the second source's shorter note list.
+FIELDS = ("type", "stem", "options", "correct", "explanation", "refs", "boxes", "background", "parse_confidence", "parse_notes")
 
-    A chain of narrow stages: each reads only columns of the one before, and each text is scanned once.
+
+def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", watermark: str | None = None, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """The wanted fields of one block per row; ``source`` b uses the second source's shorter note list.
+
+    A chain of narrow stages: each reads only columns of those before, and each text is scanned once. Only the
+    steps that a wanted field rests on are built, since a stage's columns cannot be pruned afterwards.
     """
     c = F.col
     no_boxes = F.array().cast(t.BOXES_TYPE)
+    bounds = lambda: [t.match_end(c("_tail"), c("_e")), F.length(F.get("_r", F.lit(0))), t.match_end(c("_tail"), c("_r"))]
+    stem = lambda: t.background_and_stem(c("_region"), c("_paragraphs"))["stem"]
+    low = lambda: low_confidence() if source == "a" else F.size("parse_notes") > 0
+    notes = ["stem", "type", "options", "correct", *(["boxes", "currency_note"] if source == "a" else [])]
+    # name: (columns it is made of, its expression)
+    steps = {
+        "_block": (["body"], lambda: t.normalise_block(c("body"), watermark)),
+        "_head": (["_block"], lambda: F.get(t.around_match(c("_block"), k.ANSWER_LINE), F.lit(0))),
+        "_declared": (["_block"], lambda: t.declared_type(c("_block"))),
+        "correct": (["_block"], lambda: t.answer_key(c("_block"))),
+        "currency_note": (["_block"], lambda: t.legacy_notes(c("_block"))),
+        "_tail": (["_block", "_head"], lambda: F.substr(c("_block"), F.length("_head") + 1)),
+        "_pieces": (["_head"], lambda: t.option_pieces(t.strip_markers(c("_head")))),
+        "_e": (["_tail"], lambda: t.around_match(c("_tail"), k.EXPLANATION)),
+        "_r": (["_tail"], lambda: t.around_match(c("_tail"), k.REFERENCE)),
+        "_region": (["_pieces"], lambda: t.clean_block(F.get("_pieces", F.lit(0)))),
+        "options": (["_pieces"], lambda: t.options_of(c("_pieces"))),
+        "_expl": (["_tail", "_e", "_r"], lambda: t.sections(c("_tail"), *bounds())["_expl"]),
+        "_refs": (["_tail", "_e", "_r"], lambda: t.sections(c("_tail"), *bounds())["_refs"]),
+        "_paragraphs": (["_region"], lambda: t.background_paragraphs(c("_region"))),
+        "explanation": (["_expl"], lambda: t.clean_block(c("_expl"))),
+        "_own": (["_refs"], lambda: t.harvest_urls(c("_refs"))),
+        "background": (["_region", "_paragraphs"], lambda: t.background_and_stem(c("_region"), c("_paragraphs"))["background"]),
+        "stem": (["_region", "_paragraphs"], lambda: t.strip_leading_punctuation(stem()) if source == "a" else stem()),
+        "_slots": (["_declared", "explanation"], lambda: F.when(c("_declared").isNotNull(), t.slot_statements(c("explanation")))),
+        "refs": (["_own", "_expl"], lambda: F.when(F.size("_own") > 0, c("_own")).otherwise(t.harvest_urls(c("_expl")))),
+        "type": (["_declared", "correct"], lambda: t.infer_type(c("_declared"), c("correct"))),
+        "boxes": (["_slots"], lambda: F.coalesce(t.numbered_slots(c("_slots")), no_boxes)),
+        "parse_notes": (notes, lambda: first_source_notes() if source == "a" else second_source_notes()),
+        "parse_confidence": (["parse_notes", *(["currency_note"] if source == "a" else [])], lambda: F.when(low(), "low").otherwise("high")),
+    }
     lead = [x for x in blocks.columns if x not in ("body", id_col)] + [id_col]
-    rows = stage(blocks, {"_block": t.normalise_block(c("body"), watermark)}, keep=lead)
-    rows = stage(rows, {"_head": F.get(t.around_match(c("_block"), k.ANSWER_LINE), F.lit(0)), "_declared": t.declared_type(c("_block")),
-                        "correct": t.answer_key(c("_block")), "currency_note": t.legacy_notes(c("_block"))})
-    rows = stage(rows, {"_tail": F.substr(c("_block"), F.length("_head") + 1), "_pieces": t.option_pieces(t.strip_markers(c("_head")))},
-                 keep=[x for x in rows.columns if x not in ("_head", "_block")])
-    rows = stage(rows, {"_e": t.around_match(c("_tail"), k.EXPLANATION), "_r": t.around_match(c("_tail"), k.REFERENCE), "_region": t.clean_block(F.get("_pieces", F.lit(0))), "options": t.options_of(c("_pieces"))})
-    bounds = [t.match_end(c("_tail"), c("_e")), F.length(F.get("_r", F.lit(0))), t.match_end(c("_tail"), c("_r"))]
-    rows = stage(rows, {**t.sections(c("_tail"), *bounds), "_paragraphs": t.background_paragraphs(c("_region"))},
-                 keep=[x for x in rows.columns if x not in ("_tail", "_e", "_r", "_pieces")])
-    rows = stage(rows, {"explanation": t.clean_block(c("_expl")), "_own": t.harvest_urls(c("_refs")), **t.background_and_stem(c("_region"), c("_paragraphs"))},
-                 keep=[x for x in rows.columns if x not in ("_refs", "_region", "_paragraphs")])
-    rows = stage(rows, {
-        "_slots": F.when(c("_declared").isNotNull(), t.slot_statements(c("explanation"))),
-        "refs": F.when(F.size("_own") > 0, c("_own")).otherwise(t.harvest_urls(c("_expl"))),
-        "type": t.infer_type(c("_declared"), c("correct")),
-        "stem": t.strip_leading_punctuation(c("stem")) if source == "a" else c("stem"),
-    }, keep=[x for x in rows.columns if x not in ("_own", "_expl", "_declared")])
-    rows = stage(rows, {"boxes": F.coalesce(t.numbered_slots(c("_slots")), no_boxes)}, keep=[x for x in rows.columns if x != "_slots"])
-    rows = stage(rows, {"parse_notes": first_source_notes() if source == "a" else second_source_notes()})
-    low = low_confidence() if source == "a" else F.size("parse_notes") > 0
-    return rows.select(*lead, "type", "stem", "options", "correct", "explanation", "refs", "boxes", "background",
-                       F.when(low, "low").otherwise("high").alias("parse_confidence"), "parse_notes")
+    left, todo = set(), list(fields)
+    while todo:
+        name = todo.pop()
+        if name in steps and name not in left:
+            left.add(name)
+            todo += steps[name][0]
+    rows, made = blocks, {"body"}
+    while left:
+        ready = [n for n in steps if n in left and made.issuperset(steps[n][0])]
+        left -= set(ready)
+        read = {x for n in left for x in steps[n][0]}
+        rows = stage(rows, {n: steps[n][1]() for n in ready}, keep=[*lead, *[x for x in rows.columns if x not in lead and (x in read or x in fields)]])
+        made |= set(ready)
+    return rows.select(*lead, *fields)
 
 
 def first_source_notes() -> Column:
@@ -162,14 +199,14 @@ def own_by_marker(paragraphs: DataFrame, marker: str = "marker", doc: str = "doc
     return rows.filter(F.col(name).isNotNull())
 
 
-def assemble_blocks(lines: DataFrame, owner: list[str], order: list[str], line: str = "line", part_lines: int = 10_000) -> DataFrame:
-    """Owned lines to block texts in order. A block longer than ``part_lines`` comes out as several
-    numbered parts instead of being gathered whole in one task; nothing is dropped."""
+def block_lines(lines: DataFrame, owner: list[str], order: str, line: str = "line", width: int = 1000) -> DataFrame:
+    """Owned lines that are not blank, numbered within their block: (owner, nth, line), one row per line.
+
+    A block is never gathered, so its length has no bound; a reader that wants a text sorts by ``nth``.
+    """
     kept = lines.filter(~F.col(line).rlike(r"(?U)\A\s*\z"))
-    numbered = running_totals(kept, owner, order, by_position(order[-1]), {"_nth": F.lit(1)})
-    numbered = numbered.withColumn("part", F.floor((F.col("_nth") - 1) / F.lit(part_lines)).cast("int"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", line))), lambda x: x[line]), "\n")
-    return numbered.groupBy(*owner, "part").agg(body.alias("body"), F.count(F.lit(1)).alias("n_lines"))
+    numbered = running_totals(kept, owner, [order], by_position(order, width), {"nth": F.lit(1)})
+    return numbered.select(*owner, "nth", F.col(line).alias("line"))
 
 
 # ── Media ────────────────────────────────────────────────────────────────────

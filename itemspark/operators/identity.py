@@ -9,24 +9,29 @@ from pyspark.sql import functions as F
 
 from itemspark.functions import constants as k
 from itemspark.functions.identity import background_key
+from itemspark.functions.text import strip
 from itemspark.operators.scans import salted_lookup
 
 
 def duplicate_groups(items: DataFrame, key: str, id_col: str, fields: Sequence[str] = ()) -> DataFrame:
-    """One row per hash held by more than one item: size, first and last id, fields that differ."""
-    differs = [(F.min(f) != F.max(f)).alias(f"differs_{f}") for f in fields]
+    """One row per hash held by more than one item: size, first and last id, fields that differ.
+
+    A null is a value like any other: it differs from every value and equals another null.
+    """
+    some_null = lambda f: F.count(f).between(1, F.count(F.lit(1)) - 1)
+    differs = [(F.coalesce(F.min(f) != F.max(f), F.lit(False)) | some_null(f)).alias(f"differs_{f}") for f in fields]
     return items.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_members"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"), *differs
     ).filter(F.col("n_members") > 1)
 
 
-def duplicate_members(items: DataFrame, key: str, id_col: str, salts: int = 16) -> DataFrame:
+def duplicate_members(items: DataFrame, key: str, id_col: str) -> DataFrame:
     """Every member of a duplicate group, one row each, with its group's first id.
 
     Groups are never gathered: a group of any size is a salted join against its one summary row.
     """
     groups = duplicate_groups(items, key, id_col).select(key, "n_members", "first_id")
-    return salted_lookup(items.select(key, id_col), groups, [key], salts=salts)
+    return salted_lookup(items.select(key, id_col), groups, [key])
 
 
 def parent_groups(items: DataFrame, id_col: str, background: str = "background",
@@ -38,20 +43,24 @@ def parent_groups(items: DataFrame, id_col: str, background: str = "background",
     """
     keyed = items.filter(F.length(background) > 0).select(id_col, background, background_key(F.col(background), key_chars).alias("_k"))
     firsts = keyed.groupBy("_k").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_items"))
-    text = F.trim(F.col(background))
+    text = strip(F.col(background))
     parents = firsts.join(keyed.select(id_col, text.alias("background")), id_col)
     return parents.filter(F.length("background") >= min_chars).select(
         F.concat(F.lit("cs-"), F.col("_k")).alias("group_id"), F.col(id_col).alias("first_id"), "background", "n_items")
 
 
 def link_parents(items: DataFrame, parents: DataFrame, background: str = "background",
-                 key_chars: int = k.BACKGROUND_KEY_CHARS, salts: int = 16) -> DataFrame:
-    """Add ``group_id`` to each item; null without a background or when its parent was dissolved."""
-    gid = F.when(F.length(background) > 0, F.concat(F.lit("cs-"), background_key(F.col(background), key_chars)))
-    rows = items.withColumn("_g", gid)
+                 key_chars: int = k.BACKGROUND_KEY_CHARS) -> DataFrame:
+    """Add ``group_id`` to each item; null without a background or when its parent was dissolved.
+
+    Items without a background, most of a bank, take no part in the join.
+    """
+    has_one = F.coalesce(F.length(background) > 0, F.lit(False))
+    rows = items.filter(has_one).withColumn("_g", F.concat(F.lit("cs-"), background_key(F.col(background), key_chars)))
     known = parents.select(F.col("group_id").alias("_g"), F.lit(True).alias("_known"))
-    out = salted_lookup(rows, known, ["_g"], "left", salts)
-    return out.withColumn("group_id", F.when(F.col("_known"), F.col("_g"))).drop("_g", "_known")
+    out = salted_lookup(rows, known, ["_g"], "left")
+    out = out.withColumn("group_id", F.when(F.col("_known"), F.col("_g"))).drop("_g", "_known")
+    return out.unionByName(items.filter(~has_one).withColumn("group_id", F.lit(None).cast("string")))
 
 
 def lookup_parent(children: DataFrame, parents: DataFrame, on: Column | str, how: str = "left") -> DataFrame:

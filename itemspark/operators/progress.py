@@ -69,29 +69,46 @@ def chunk_runs(attempts: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[
     )
 
 
-def progress(attempts: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
-             chunk: Column | None = None, seed: DataFrame | None = None) -> DataFrame:
-    """State per key after folding all attempts: box, due_at, attempts, times_wrong, last verdict.
-
-    ``seed`` (keys, box, due_at, attempts, times_wrong, last_correct, last_confidence, last_at) holds
-    stored records; keys without new attempts are returned unchanged.
-    """
-    runs = chunk_runs(attempts, keys, order, chunk)
+def combine_runs(runs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The summaries of a key's chunks as one summary of the same form, chunks in the order of ``_chunk``."""
     across = Window.partitionBy(*keys)
     tail = runs.withColumn("_lwc", F.max(F.when(F.col("has_wrong"), F.col("_chunk"))).over(across))
     in_tail = F.col("_lwc").isNull() | (F.col("_chunk") >= F.col("_lwc"))
-    state = tail.groupBy(*keys).agg(
+    has_run = in_tail & F.col("run_first").isNotNull()
+    return tail.groupBy(*keys).agg(
         F.bool_or("has_wrong").alias("has_wrong"),
-        F.sum("n").alias("attempts"),
-        F.sum("wrongs").alias("times_wrong"),
+        F.sum("n").alias("n"),
+        F.sum("wrongs").alias("wrongs"),
         F.sum(F.when(in_tail, F.col("run_len")).otherwise(0)).alias("run_len"),
         F.sum(F.when(in_tail, F.col("run_sure")).otherwise(0)).alias("run_sure"),
-        F.coalesce(F.min(F.when(in_tail, F.col("run_first")))["guess"], F.lit(False)).alias("first_guess"),
-        F.max("last").alias("last"),
+        F.min_by(F.when(has_run, F.col("run_first")), F.when(has_run, F.col("_chunk"))).alias("run_first"),
+        F.max_by("last", "_chunk").alias("last"),
     )
+
+
+def _named(runs: DataFrame) -> DataFrame:
+    first = F.coalesce(F.col("run_first.guess"), F.lit(False))
+    return runs.withColumnsRenamed({"n": "attempts", "wrongs": "times_wrong"}).withColumn("first_guess", first)
+
+
+def state_of_runs(runs: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+    """Review state from one summary per key, all its attempts being in that summary."""
     box = box_of_run(F.col("run_len"), F.col("run_sure"), F.col("first_guess"))
+    return _finish(_named(runs).withColumn("box", box), keys, order)
+
+
+def progress(attempts: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
+             chunk: Column | None = None, seed: DataFrame | None = None) -> DataFrame:
+    """State per key after folding all attempts: box, due_at, attempts, times_wrong, last verdict.
+
+    ``seed`` (keys, box, due_at, attempts, times_wrong, last_correct, last_confidence, last_at) holds
+    stored records; keys without new attempts are returned unchanged.
+    """
+    runs = combine_runs(chunk_runs(attempts, keys, order, chunk), keys)
     if seed is None:
-        return _finish(state.withColumn("box", box), keys, order)
+        return state_of_runs(runs, keys, order)
+    state = _named(runs)
+    box = box_of_run(F.col("run_len"), F.col("run_sure"), F.col("first_guess"))
     old = seed.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in seed.columns if c not in keys])
     both = state.join(old, list(keys), "full_outer")
     old_guess = F.coalesce(F.col("_o_last_correct") & (F.col("_o_last_confidence") == "guessed"), F.lit(False))
@@ -155,8 +172,14 @@ def trajectory(attempts: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[
     )
 
 
-def with_defaults(items: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left-join stored state to items; an unseen item gets the empty record (box 1, no due date)."""
+def with_defaults(items: DataFrame, state: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Left-join stored state to items; an unseen item gets the empty record (box 1, no due date).
+
+    Without any state all items are unseen and nothing is joined.
+    """
+    if state is None:
+        return items.withColumns({"box": F.lit(1), "attempts": F.lit(0).cast("bigint"), "times_wrong": F.lit(0).cast("bigint"),
+                                  "due_at": F.lit(None).cast("timestamp_ntz")})
     return items.join(state, list(keys), "left").withColumns({
         "box": F.coalesce("box", F.lit(1)),
         "attempts": F.coalesce("attempts", F.lit(0).cast("bigint")),

@@ -34,9 +34,10 @@ def row_problems(items: DataFrame, areas: Sequence[str], id_cols: Sequence[str]
 
 
 def duplicate_ids(items: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
-    """One problem row per surplus holder of an id, counted rather than gathered."""
+    """One problem row per surplus holder of an id: the holders are counted, not gathered."""
     counts = items.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    return counts.select(*id_cols, F.lit("duplicate id").alias("rule"), (F.col("_n") - 1).cast("string").alias("detail"))
+    surplus = F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n")))
+    return counts.withColumn("_nth", surplus).select(*id_cols, F.lit("duplicate id").alias("rule"), F.lit("").alias("detail"))
 
 
 def problems(items: DataFrame, areas: Sequence[str], expected: DataFrame | None = None, id_col: str = "id") -> DataFrame:
@@ -56,7 +57,8 @@ def require_clean(found: DataFrame) -> None:
 
 def split_and_shares(rows: DataFrame, column: str) -> DataFrame:
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("percent", percent_one_place(F.col("n"), F.sum("n").over(Window.partitionBy())))
+    total = rows.agg(F.count(F.lit(1)))
+    return counts.withColumn("percent", percent_one_place(F.col("n"), total.scalar()))
 
 
 def type_breakdown(items: DataFrame, column: str = "type") -> DataFrame:

@@ -30,10 +30,12 @@ def prefer(first: Column, second: Column, dtype: str) -> Column:
     return F.when(has_value(first, dtype), first).otherwise(second)
 
 
-def reconcile(a: DataFrame, b: DataFrame, on: Sequence[str] = ("id",), strict_hash: bool = False) -> DataFrame:
+def reconcile(a: DataFrame, b: DataFrame, on: Sequence[str] = ("id",), strict_hash: bool = False, note_bare_keys: bool = False) -> DataFrame:
     """Merge parse ``a`` (wins on text) with parse ``b`` (wins on media); conflicts of the key are recorded.
 
     With an empty stem the hash falls back to the id, as published; ``strict_hash`` hashes the empty stem.
+    A key letter without its option is noted where there are options; ``note_bare_keys`` notes it also where
+    there are none. Either lowers confidence.
     """
     def side(df: DataFrame, tag: str) -> DataFrame:
         cols = [F.col(n).cast(t) if n in df.columns else F.lit(None).cast(t) for n, t in RAW_FIELDS.items()]
@@ -66,8 +68,8 @@ def reconcile(a: DataFrame, b: DataFrame, on: Sequence[str] = ("id",), strict_ha
     rows = rows.withColumn("type", F.when(choice, F.when(F.size("correct") > 1, "mcq-multi").otherwise("mcq-single")).otherwise(F.col("_type")))
     rows = rows.withColumn("_orphans", orphaned_letters(F.col("correct"), F.col("options")))
     note = legacy_notes(F.concat_ws(" ", "stem", "explanation", F.array_join("refs", " ")))
-    orphan_note = F.when(F.size("_orphans") > 0, F.concat(
-        F.lit("answer key "), key_list(F.col("_orphans")), F.when(F.size("options") > 0, F.lit(" has no matching option")).otherwise(F.lit(" without any option"))))
+    no_option = F.when(F.size("options") > 0, F.lit(" has no matching option")).when(F.lit(note_bare_keys), F.lit(" without any option"))
+    orphan_note = F.when(F.size("_orphans") > 0, F.concat(F.lit("answer key "), key_list(F.col("_orphans")), no_option))
     low = F.col("disagreement").isNotNull() | (F.size("_orphans") > 0) | F.col("_a_low") | (it.is_visual() & it.empty(F.col("boxes")))
     stem = F.col("stem") if strict_hash else F.when(F.col("stem") != "", F.col("stem")).otherwise(F.concat_ws(":", *on))
     extra = F.filter(F.array("_dispute", orphan_note), lambda x: x.isNotNull())

@@ -77,20 +77,21 @@ def next_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     rows = df.withColumn("_chunk", chunk).withColumn("_v", value)
     firsts = rows.groupBy(*keys, "_chunk").agg(F.min_by("_v", F.struct(*order)).alias("_first"))
     firsts = firsts.select(*keys, "_chunk", F.lead("_first").over(across).alias("_carry"))
-    rows = rows.withColumn("_here", F.lead("_v").over(inside))
+    # Only a chunk's last row looks into the next chunk; a null that follows inside the chunk stays null.
+    rows = rows.withColumn("_here", F.lead("_v").over(inside)).withColumn("_more", F.lead(F.lit(True)).over(inside))
     return rows.join(firsts, [*keys, "_chunk"]).select(
-        *df.columns, F.coalesce("_here", "_carry").alias(name))
+        *df.columns, F.when(F.col("_more"), F.col("_here")).otherwise(F.col("_carry")).alias(name))
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-                  salts: int = 16) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join to a table holding one row per key when the row side may have hot keys.
 
-    The row side is spread over ``salts`` buckets per key and the lookup side repeated once per bucket.
+    The row side is spread over as many buckets per key as the session shuffles into, so a key of any size
+    reaches every task; the lookup side is repeated only for the buckets a key has, once for a cold key's row.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(salts)).cast("int")
-    left = rows.withColumn("_salt", spread)
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(salts)).cast("int"))
+    right = left.select(*on, "_salt").distinct().join(lookup, list(on))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -65,10 +65,11 @@ class ItemFilter:
 def keep_first(df: DataFrame, key: str, position: str) -> DataFrame:
     """One row per key, the one with the least unique ``position``.
 
-    The minimum is pre-aggregated in each task, so a key with very many copies costs one row per task.
+    The cut at rank 1 is applied in each task before the only shuffle, so a key with very many copies costs
+    one row per task.
     """
-    firsts = df.groupBy(key).agg(F.min(position).alias(position)).select(position)
-    return df.join(firsts, position, "left_semi")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(position))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def select_items(items: DataFrame, state: DataFrame, flt: ItemFilter, as_of: Column, key: str = "item_id") -> DataFrame:
@@ -162,14 +163,14 @@ def preference_tier(as_of: Column) -> Column:
 
 
 def sample_paper(items: DataFrame, state: DataFrame, strata: Strata, n: int, seed: int | Column, as_of: Column,
-                 key: str = "item_id", seeds: Sequence[str] = ()) -> DataFrame:
+                 key: str = "item_id", seeds: Sequence[str] = (), pool: DataFrame | None = None) -> DataFrame:
     """Exact-quota stratified sample in a repeatable random order.
 
     Ranking is first cut at the paper length, a literal the optimizer turns into a per-task group limit
     ahead of the shuffle, so no stratum is ever sorted whole; quotas then apply to at most n rows each.
-    ``seeds`` names columns that number several papers drawn at once.
+    ``seeds`` names columns that number several papers drawn at once from ``pool``, the items without them.
     """
-    shape = paper_shape(items.drop(*seeds).distinct() if seeds else items, strata, n)
+    shape = paper_shape(items if pool is None else pool, strata, n)
     ranked = (
         with_defaults(items, state, [key])
         .withColumn("tier", preference_tier(as_of))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemspark.functions.identity import content_hash
-from itemspark.sources.readers import spread
+from itemspark.sources.readers import dealt
 
 # Weights of the six part types, heaviest first (the published shape: one at 13/38, five at 5/38).
 PART_STRATA = [
@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` spread over all cores, for the text-heavy queries."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """``documents`` for the text-heavy queries."""
+    return dealt(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

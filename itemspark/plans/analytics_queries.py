@@ -132,12 +132,15 @@ tally AS (SELECT session_id, area, coalesce(weight, 0) AS weight, count(*) AS se
   FROM results LEFT JOIN strata ON key = area GROUP BY ALL)"""
 
 
-@register("session_scores", f"""{TALLY}
+@register("session_scores", f"""{TALLY}, scores AS (
 SELECT session_id, CAST(round(round(1000 * (sum(weight * (n_correct / seen)) / sum(weight)), 6)) AS INTEGER) AS score,
   round(round(1000 * (sum(weight * (n_correct / seen)) / sum(weight)), 6)) >= 700 AS passed, CAST(sum(seen) AS BIGINT) AS seen,
-  CAST(sum(n_correct) AS BIGINT) AS n_correct, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms FROM tally GROUP BY 1""")
+  CAST(sum(n_correct) AS BIGINT) AS n_correct, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms FROM tally GROUP BY 1)
+SELECT o_orderkey AS session_id, coalesce(score, 0) AS score, coalesce(passed, false) AS passed, coalesce(seen, 0) AS seen, coalesce(n_correct, 0) AS n_correct,
+  coalesce(elapsed_ms, 0) AS elapsed_ms FROM orders LEFT JOIN scores ON session_id = o_orderkey""")
 def session_scores(spark, sf):
-    return an.session_scores(ad.sitting_results(spark, sf), ad.PART_STRATA)
+    """Every sitting, those without any result included."""
+    return an.session_scores(ad.sitting_results(spark, sf), ad.PART_STRATA, sessions=ad.sittings(spark, sf))
 
 
 @register("session_area_table", f"""{TALLY}

@@ -105,7 +105,7 @@ def review_queue(spark, sf):
   md5(stem || ' ' || array_to_string(list_transform(options, lambda o: o.text), ' ') || ' ' || explanation || ' ' || array_to_string(refs, ' ')) AS text_md5 FROM items""")
 def scoring_texts(spark, sf):
     text = cl.scoring_text(F.col("stem"), F.col("options"), F.col("explanation"), F.col("refs"))
-    return dump_items(spark, sf).select("doc_id", "id", F.md5(text).alias("text_md5"))
+    return dump_items(spark, sf, ["stem", "options", "explanation", "refs"]).select("doc_id", "id", F.md5(text).alias("text_md5"))
 
 
 @register("legacy_terms", """SELECT doc_id, CASE WHEN bool_or(length(line) % 13 = 0) THEN
@@ -116,7 +116,7 @@ def legacy_terms(spark, sf):
 
 
 BANDS = [("1-URGENT", "Urgent", 10, 20, 0.2), ("2-HIGH", "High", 19, 21, 0.2), ("3-MEDIUM", "Medium", 0, 15, 0.2),
-         ("5-LOW", "Low", 15, 25, 0.2), ("6-NEVER", "Never", 0, 10, 0.2)]
+         ("4-NOT SPECIFIED", "Not specified", 10, 25, 0.1), ("5-LOW", "Low", 15, 25, 0.2), ("6-NEVER", "Never", 0, 10, 0.1)]
 BAND_VALUES = ", ".join(f"('{a}', {lo}, {hi})" for a, _, lo, hi, _ in BANDS)
 
 

@@ -95,7 +95,8 @@ lines0 AS (SELECT *, CASE WHEN len(correct) > 0 AND choice THEN {clip_sql('choic
 
 @register("answer_lines", f"WITH {CTE_ITEMS}, {ANSWER_SQL} SELECT doc_id, id, ans AS answer, ans_cut AS cut FROM lines0")
 def answer_lines(spark, sf):
-    rows = dump_items(spark, sf).select("doc_id", "id", d.answer_line(it.response_kind(), F.col("correct"), F.col("options"), F.col("boxes")).alias("a"))
+    items = dump_items(spark, sf, ["type", "options", "correct", "explanation", "boxes", "self_graded"])
+    rows = items.select("doc_id", "id", d.answer_line(it.response_kind(), F.col("correct"), F.col("options"), F.col("boxes")).alias("a"))
     return rows.select("doc_id", "id", F.col("a.text").alias("answer"), "a.cut")
 
 
@@ -115,7 +116,8 @@ def reasons(spark, sf):
 def wrong_rows(spark, sf):
     n = F.col("id") % 7
     note = F.when(F.col("id") % 10 == 3, F.concat(F.lit("I think "), F.col("stem")))
-    return dump_items(spark, sf).withColumns({"times_wrong": n, "correction": note}).filter(n > 0)
+    items = dump_items(spark, sf, ["type", "stem", "options", "correct", "explanation", "boxes", "self_graded", "currency"])
+    return items.withColumns({"times_wrong": n, "correction": note}).filter(n > 0)
 
 
 ENTRY_SQL = f"""{CTE_ITEMS}, {ANSWER_SQL}, {why_sql('lines0', 'doc_id, id, n, stem, self_graded, ans, ans_cut', 'explanation')},

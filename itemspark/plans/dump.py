@@ -8,13 +8,15 @@ the line, without parsing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemspark.functions import items as it
 from itemspark.functions.identity import content_hash
 from itemspark.functions.text import legacy_notes
-from itemspark.operators.extract import extract_fields, segments
+from itemspark.operators.extract import FIELDS, extract_fields, segments
 from itemspark.operators.stages import stage
 from itemspark.plans.adapters import documents
 
@@ -48,19 +50,25 @@ def raw_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(L("Front matter\n"), F.array_join(blocks, "")).alias("text"))
 
 
-def raw_items(spark: SparkSession, sf_dir: str, source: str = "a") -> DataFrame:
-    return extract_fields(segments(raw_dump(spark, sf_dir)), source)
+def raw_items(spark: SparkSession, sf_dir: str, source: str = "a", fields: Sequence[str] = FIELDS) -> DataFrame:
+    return extract_fields(segments(raw_dump(spark, sf_dir), offsets=False), source, fields=fields)
 
 
-def dump_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dump's items with the columns a reconciled bank has."""
-    rows = raw_items(spark, sf_dir).withColumn("images", F.array().cast("array<string>"))
-    rows = stage(rows, {
-        "self_graded": it.self_graded(),
-        "content_hash": content_hash(F.col("type"), F.col("stem"), F.col("options"), F.col("boxes"), F.col("images")),
-        "currency_note": legacy_notes(F.concat_ws(" ", "stem", "explanation", F.array_join("refs", " "))),
-    })
-    return rows.withColumns({"currency": F.when(F.col("currency_note").isNull(), "current").otherwise("suspect"), "subtopic": F.lit("general")})
+def dump_items(spark: SparkSession, sf_dir: str, fields: Sequence[str] = (*FIELDS, "self_graded", "content_hash", "currency_note", "currency")) -> DataFrame:
+    """The dump's items with the wanted columns of a reconciled bank."""
+    own = {
+        "self_graded": (["type", "options", "correct", "boxes"], it.self_graded),
+        "content_hash": (["type", "stem", "options", "boxes"], lambda: content_hash(F.col("type"), F.col("stem"), F.col("options"), F.col("boxes"), F.col("images"))),
+        "currency_note": (["stem", "explanation", "refs"], lambda: legacy_notes(F.concat_ws(" ", "stem", "explanation", F.array_join("refs", " ")))),
+    }
+    made = [n for n in own if n in fields or n == "currency_note" and "currency" in fields]
+    read = dict.fromkeys([*[f for f in fields if f in FIELDS], *[x for n in made for x in own[n][0]]])
+    rows = raw_items(spark, sf_dir, fields=list(read)).withColumn("images", F.array().cast("array<string>"))
+    if made:
+        rows = stage(rows, {n: own[n][1]() for n in made})
+    if "currency" in fields:
+        rows = rows.withColumn("currency", F.when(F.col("currency_note").isNull(), "current").otherwise("suspect"))
+    return rows.withColumn("subtopic", F.lit("general"))
 
 
 CTE_LINES = """lines AS (
@@ -88,7 +96,7 @@ items AS (
     CASE WHEN choice THEN [{'key': 'A', 'text': rtrim('the ' || fst)}, {'key': 'B', 'text': rtrim('a ' || lst)}, {'key': 'C', 'text': 'count ' || size}] ELSE [] END AS options,
     CASE WHEN NOT choice OR n % 7 = 0 THEN [] WHEN n % 2 = 0 THEN ['A', 'C'] WHEN n % 4 = 1 THEN ['A', 'D'] ELSE ['B'] END AS correct,
     trim(regexp_replace(expl, ' +' || chr(10), chr(10), 'g'), ' ' || chr(10)) AS explanation,
-    CASE WHEN n % 6 = 5 THEN ['https://example.org/e' || n] ELSE ['https://docs.example.org/' || n || '/tail' || i, 'https://example.org/' || n] END AS refs,
+    CASE WHEN n % 6 = 5 THEN ['https://example.org/e' || n] ELSE ['https://docs.example.org/' || n || '/tail' || i || 'https://example.org/' || n] END AS refs,
     CASE WHEN NOT choice AND n % 4 <> 0 THEN [{'box': 1, 'answer': rtrim('pick ' || fst, ' -')}, {'box': 2, 'answer': rtrim('pick ' || lst, ' -')}] ELSE [] END AS boxes,
     CASE WHEN n % 11 = 0 THEN rtrim('Background of ' || fst) END AS background, choice, n
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS rn FROM blocks) WHERE rn = 1)"""

@@ -63,11 +63,11 @@ def marker_ownership(spark, sf):
 
 
 @register("owned_blocks", """WITH m AS (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS owner FROM conversations)
-SELECT conv_id, owner, 0 AS part, string_agg(text, chr(10) ORDER BY turn) AS body, count(*) AS n_lines FROM m WHERE owner IS NOT NULL AND trim(text) <> '' GROUP BY ALL""")
+SELECT conv_id, owner, row_number() OVER (PARTITION BY conv_id, owner ORDER BY turn) AS nth, text AS line FROM m WHERE owner IS NOT NULL AND trim(text) <> ''""")
 def owned_blocks(spark, sf):
     c = ad.table(spark, sf, "conversations").withColumn("marker", F.when(F.col("role") == "user", F.col("turn")))
     owned = ex.own_by_marker(c, doc="conv_id", order="turn")
-    return ex.assemble_blocks(owned, ["conv_id", "owner"], ["turn"], "text").select("conv_id", "owner", "part", "body", "n_lines")
+    return ex.block_lines(owned, ["conv_id", "owner"], "turn", "text")
 
 
 @register("split_run_markers", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS para FROM documents)
@@ -102,8 +102,9 @@ def stripped_markers(spark, sf):
     return docs.select("doc_id", F.posexplode(heads).alias("para", "text")).withColumn("para", F.col("para").cast("bigint"))
 
 
-def fields(spark, sf, *cols):
-    return raw_items(spark, sf).select("doc_id", "id", *cols)
+def fields(spark, sf, want, *cols):
+    """Items with the wanted fields extracted, shown as ``cols`` or as they are."""
+    return raw_items(spark, sf, fields=want).select("doc_id", "id", *(cols or want))
 
 
 def items_sql(*cols):
@@ -113,37 +114,37 @@ def items_sql(*cols):
 @register("wrapped_urls", items_sql("array_to_string(refs, ' ') AS refs", "CAST(len(refs) AS INTEGER) AS n_refs"))
 def wrapped_urls(spark, sf):
     """References with a link broken over two lines, or harvested from the explanation."""
-    return fields(spark, sf, F.array_join("refs", " ").alias("refs"), F.size("refs").alias("n_refs"))
+    return fields(spark, sf, ["refs"], F.array_join("refs", " ").alias("refs"), F.size("refs").alias("n_refs"))
 
 
 @register("sections", items_sql("stem", "explanation"))
 def sections(spark, sf):
-    return fields(spark, sf, "stem", "explanation")
+    return fields(spark, sf, ["stem", "explanation"])
 
 
 @register("labelled_options", items_sql("array_to_string(list_transform(options, lambda o: o.key || ':' || o.text), '|') AS options"))
 def labelled_options(spark, sf):
-    return fields(spark, sf, F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(":"), o["text"])), "|").alias("options"))
+    return fields(spark, sf, ["options"], F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(":"), o["text"])), "|").alias("options"))
 
 
 @register("answer_keys", items_sql("array_to_string(correct, '') AS correct"))
 def answer_keys(spark, sf):
-    return fields(spark, sf, F.array_join("correct", "").alias("correct"))
+    return fields(spark, sf, ["correct"], F.array_join("correct", "").alias("correct"))
 
 
 @register("numbered_slots", items_sql("array_to_string(list_transform(boxes, lambda b: b.box || ':' || b.answer), '|') AS boxes"))
 def numbered_slots(spark, sf):
-    return fields(spark, sf, F.array_join(F.transform("boxes", lambda b: F.concat(b["box"].cast("string"), F.lit(":"), b["answer"])), "|").alias("boxes"))
+    return fields(spark, sf, ["boxes"], F.array_join(F.transform("boxes", lambda b: F.concat(b["box"].cast("string"), F.lit(":"), b["answer"])), "|").alias("boxes"))
 
 
 @register("shared_backgrounds", items_sql("background", "stem"))
 def shared_backgrounds(spark, sf):
-    return fields(spark, sf, "background", "stem")
+    return fields(spark, sf, ["background", "stem"])
 
 
 @register("item_types", items_sql("type"))
 def item_types(spark, sf):
-    return fields(spark, sf, "type")
+    return fields(spark, sf, ["type"])
 
 
 NOTES = """list_filter([CASE WHEN choice AND n % 7 = 0 THEN 'no answer key in PDF text; candidate for DOCX merge' END,
@@ -156,7 +157,7 @@ LOW = "CASE WHEN len(notes) > 0 AND NOT (n % 13 = 0 AND len(notes) = 1) THEN 'lo
 
 @register("parse_notes", f"{NOTED} SELECT doc_id, id, array_to_string(notes, '; ') AS notes, {LOW} AS confidence FROM noted")
 def parse_notes(spark, sf):
-    return fields(spark, sf, F.array_join("parse_notes", "; ").alias("notes"), F.col("parse_confidence").alias("confidence"))
+    return fields(spark, sf, ["parse_notes", "parse_confidence"], F.array_join("parse_notes", "; ").alias("notes"), F.col("parse_confidence").alias("confidence"))
 
 
 @register("parse_notes_second_source", f"""WITH {CTE_ITEMS} SELECT doc_id, id,

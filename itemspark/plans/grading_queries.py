@@ -27,7 +27,8 @@ def register(name: str, sql: str | None = None):
 
 # Items lose their explanation where the number ends in 4, so that some become dead ends.
 def patchy_items(spark, sf):
-    return dump_items(spark, sf).withColumn("explanation", F.when(F.col("id") % 10 == 4, "  ").otherwise(F.col("explanation")))
+    items = dump_items(spark, sf, ["type", "options", "correct", "explanation", "boxes", "self_graded"])
+    return items.withColumn("explanation", F.when(F.col("id") % 10 == 4, "  ").otherwise(F.col("explanation")))
 
 
 CTE_PATCHY = f"""{CTE_ITEMS},
@@ -50,7 +51,7 @@ def missing_letters(spark, sf):
 
 @register("flagged_items", f"WITH {CTE_ITEMS} SELECT doc_id, id, n % 13 = 0 AS suspect, n % 13 = 0 OR ({LOW}) = 'low' AS flagged FROM (SELECT *, {NOTES} AS notes FROM items)")
 def flagged_items(spark, sf):
-    return dump_items(spark, sf).select("doc_id", "id", (F.col("currency") != "current").alias("suspect"), it.is_flagged().alias("flagged"))
+    return dump_items(spark, sf, ["parse_confidence", "currency"]).select("doc_id", "id", (F.col("currency") != "current").alias("suspect"), it.is_flagged().alias("flagged"))
 
 
 # Responses derived from each item: by its number, right, permuted, partial, slipped, blank or self-judged.
@@ -108,7 +109,7 @@ def option_outcomes(spark, sf):
 @register("answer_suggestions", f"""WITH {CTE_ITEMS} SELECT doc_id, id, CASE WHEN len(boxes) = 0 THEN '' WHEN boxes[1].answer = boxes[2].answer THEN boxes[1].answer
   ELSE boxes[1].answer || '|' || boxes[2].answer END AS suggestions FROM items""")
 def answer_suggestions(spark, sf):
-    return dump_items(spark, sf).select("doc_id", "id", F.array_join(it.box_suggestions(), "|").alias("suggestions"))
+    return dump_items(spark, sf, ["type", "options", "boxes"]).select("doc_id", "id", F.array_join(it.box_suggestions(), "|").alias("suggestions"))
 
 
 NORMAL = "trim(regexp_replace(strip_accents(lower(replace(text, '''', ''))), '[^a-z0-9]+', ' ', 'g'))"

@@ -42,7 +42,7 @@ def first_of_each_hash(spark, sf):
 
 
 @register("duplicate_groups", f"""{H} SELECT content_hash, count(*) AS n_members, min(doc_id) AS first_id, max(doc_id) AS last_id,
-  count(DISTINCT source) > 1 AS differs_source, count(DISTINCT n_chars) > 1 AS differs_n_chars FROM hashed GROUP BY 1 HAVING count(*) > 1""")
+  count(DISTINCT coalesce(source, chr(1))) > 1 AS differs_source, count(DISTINCT coalesce(n_chars, -1)) > 1 AS differs_n_chars FROM hashed GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_groups(spark, sf):
     return idn.duplicate_groups(hashed(spark, sf), "content_hash", "doc_id", ["source", "n_chars"])
 
@@ -53,9 +53,11 @@ def duplicate_members(spark, sf):
     return idn.duplicate_members(hashed(spark, sf), "content_hash", "doc_id").select("content_hash", "doc_id", "n_members", "first_id")
 
 
-PARENTS = """WITH k AS (SELECT doc_id, text, left(sha256(left(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 200)), 12) AS k FROM documents WHERE length(text) > 0),
+# White space of any kind off both ends.
+STRIPPED = "trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+PARENTS = f"""WITH k AS (SELECT doc_id, text, left(sha256(left(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 200)), 12) AS k FROM documents WHERE length(text) > 0),
 f AS (SELECT k, min(doc_id) AS doc_id, count(*) AS n_items FROM k GROUP BY 1),
-p AS (SELECT 'cs-' || k AS group_id, doc_id AS first_id, trim(text) AS background, n_items FROM f JOIN k USING (k, doc_id) WHERE length(trim(text)) >= 200)"""
+p AS (SELECT 'cs-' || k AS group_id, doc_id AS first_id, {STRIPPED} AS background, n_items FROM f JOIN k USING (k, doc_id) WHERE length({STRIPPED}) >= 200)"""
 
 
 def docs_as_children(spark, sf):

@@ -25,14 +25,15 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-PRIORITIES = [("1-URGENT", "Urgent", 10, 20, 0.2), ("2-HIGH", "High", 15, 25, 0.2), ("3-MEDIUM", "Medium", 20, 42, 0.2), ("9-NONE", "None", 5, 10, 0.4)]
+PRIORITIES = [("1-URGENT", "Urgent", 10, 20, 0.2), ("2-HIGH", "High", 15, 25, 0.2), ("3-MEDIUM", "Medium", 20, 42, 0.2),
+              ("4-NOT SPECIFIED", "Not specified", 10, 20, 0.1), ("5-LOW", "Low", 15, 25, 0.1), ("9-NONE", "None", 5, 10, 0.2)]
 PRIORITY_VALUES = ", ".join(f"('{a}', '{b}', {lo}, {hi}, {w})" for a, b, lo, hi, w in PRIORITIES)
 
 
-@register("pool_adequacy", f"""WITH s(area, label, lo, hi, weight) AS (VALUES {PRIORITY_VALUES}), c AS (SELECT o_orderpriority AS area, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+@register("pool_adequacy", f"""WITH s(area, label, lo, hi, weight) AS (VALUES {PRIORITY_VALUES}), c AS (SELECT o_orderpriority AS area, count(*) AS n FROM orders GROUP BY 1)
 SELECT area, coalesce(n, 0) AS n, CAST(round_even(60 * hi / 100.0, 0) * 300 AS INTEGER) AS need, CASE WHEN coalesce(n, 0) >= round_even(60 * hi / 100.0, 0) * 300 THEN 'ok' ELSE 'thin' END AS verdict FROM s LEFT JOIN c USING (area)""")
 def pool_adequacy(spark, sf):
-    o = ad.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P").withColumn("area", F.col("o_orderpriority"))
+    o = ad.table(spark, sf, "orders").withColumn("area", F.col("o_orderpriority"))
     return q.pool_adequacy(o, strata_frame(o, PRIORITIES), 60, 300).select("area", "n", "need", "verdict")
 
 
@@ -51,7 +52,7 @@ def labelled_docs(spark, sf):
 CTE_LABELLED = """docs AS (SELECT doc_id, lang AS area, text, coalesce(toxic = 1, false) AS low, CASE WHEN quality = 0 THEN 'suspect' WHEN quality IS NULL THEN 'superseded' ELSE 'current' END AS currency,
   source = 'src0' AS bare, n_chars < 1000 AS unreferenced FROM documents LEFT JOIN labels USING (doc_id)),
 keys AS (SELECT doc_id, text, left(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 200) AS k FROM documents),
-parents AS (SELECT k, count(*) AS n_items, arg_min(text, doc_id) AS text FROM keys GROUP BY 1 HAVING length(trim(arg_min(text, doc_id))) >= 200)"""
+parents AS (SELECT k, count(*) AS n_items, arg_min(text, doc_id) AS text FROM keys GROUP BY 1 HAVING length(trim(arg_min(text, doc_id), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 200)"""
 
 
 @register("quality_counters", f"""WITH {CTE_LABELLED} SELECT count(*) AS total, count(*) FILTER (low) AS low_confidence, count(*) FILTER (currency = 'suspect') AS suspect,
@@ -68,10 +69,10 @@ def currency_statement(spark, sf):
     return q.currency_statement(labelled_docs(spark, sf))
 
 
-LANGS = [("en", "English", 0, 0, 0.25), ("fr", "French", 0, 0, 0.25), ("de", "German", 0, 0, 0.25), ("xx", "Unused", 0, 0, 0.25)]
+LANGS = [("en", "English", 0, 0, 0.2), ("fr", "French", 0, 0, 0.2), ("de", "German", 0, 0, 0.2), ("es", "Spanish", 0, 0, 0.2), ("xx", "Unused", 0, 0, 0.2)]
 
 
-@register("currency_by_area", f"""WITH {CTE_LABELLED}, s(area, label) AS (VALUES ('en', 'English'), ('fr', 'French'), ('de', 'German'), ('xx', 'Unused'))
+@register("currency_by_area", f"""WITH {CTE_LABELLED}, s(area, label) AS (VALUES ('en', 'English'), ('fr', 'French'), ('de', 'German'), ('es', 'Spanish'), ('xx', 'Unused'))
 SELECT area, label, count(doc_id) AS total, count(*) FILTER (currency <> 'current') AS suspect, count(*) FILTER (low) AS low_confidence FROM s LEFT JOIN docs USING (area) GROUP BY ALL""")
 def currency_by_area(spark, sf):
     d = labelled_docs(spark, sf)
@@ -110,16 +111,16 @@ def weights_from_bands(spark, sf):
 
 @register("note_frequency", f"{NOTED}, x AS (SELECT unnest(notes) AS note FROM noted) SELECT note, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, note LIMIT 8")
 def note_frequency(spark, sf):
-    return q.note_frequency(dump_items(spark, sf))
+    return q.note_frequency(dump_items(spark, sf, ["parse_notes"]))
 
 
 @register("content_counters", f"""WITH {CTE_ITEMS} SELECT count(*) AS parsed, count(*) FILTER (len(options) > 0) AS with_options, count(*) FILTER (len(correct) > 0) AS with_key,
   count(*) FILTER (len(boxes) > 0) AS with_boxes, count(*) FILTER (explanation <> '') AS with_explanation, count(*) FILTER (len(refs) > 0) AS with_references, count(background) AS with_background FROM items""")
 def content_counters(spark, sf):
-    return q.content_counters(dump_items(spark, sf))
+    return q.content_counters(dump_items(spark, sf, ["options", "correct", "boxes", "explanation", "refs", "background"]))
 
 
-@register("duplicate_id_problems", f"""SELECT l_orderkey AS id, 'duplicate id' AS rule, CAST(count(*) - 1 AS VARCHAR) AS detail FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
+@register("duplicate_id_problems", """SELECT l_orderkey AS id, 'duplicate id' AS rule, '' AS detail FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey) > 1""")
 def duplicate_id_problems(spark, sf):
     return q.duplicate_ids(ad.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")))
 

@@ -105,8 +105,7 @@ def reconciled_fields(spark, sf):
 
 @register("reconciled_notes", f"""WITH {CTE_PARSES}
 SELECT id, concat_ws('; ', CASE WHEN NOT in_a THEN 'second source' END, CASE WHEN a_low THEN 'expensive' END,
-    CASE WHEN conflict THEN 'answer key disagreement: A=' || ca || ' B=' || cb END,
-    CASE WHEN orphan THEN 'answer key [' || CASE correct WHEN 'AB' THEN '''A'', ''B''' ELSE '''' || correct || '''' END || '] without any option' END) AS notes,
+    CASE WHEN conflict THEN 'answer key disagreement: A=' || ca || ' B=' || cb END) AS notes,
   CASE WHEN conflict THEN ca || '/' || cb END AS disagreement,
   CASE WHEN explanation LIKE 'Moved%' THEN 'suspect' ELSE 'current' END AS currency,
   CASE WHEN explanation LIKE 'Moved%' THEN 'References Common Data Service; terminology superseded by Dataverse. Links to docs.microsoft.com; content has moved to learn.microsoft.com.' END AS currency_note

@@ -171,14 +171,14 @@ def sampled_paper(spark, sf):
 
 @register("paper_fidelity", f"""WITH {PAPER_SQL}, {ad.CTE_BANK},
 ranked AS (SELECT seed, area, row_number() OVER (PARTITION BY seed, area ORDER BY CAST(self_graded AS INTEGER), md5(seed || ':' || item_id), item_id) AS rn
-  FROM bank, (SELECT unnest(range(1, 21)) AS seed)),
+  FROM bank, (SELECT unnest(range(1, 1001)) AS seed)),
 drawn AS (SELECT area, count(*) AS n FROM ranked JOIN shape USING (area) WHERE rn <= quota GROUP BY 1)
 SELECT area, n AS drawn, round(n / (SELECT sum(n) FROM drawn), 6) AS share, round(100 * abs(n / (SELECT sum(n) FROM drawn) - weight), 6) AS gap_pp
 FROM drawn JOIN shape USING (area)""")
 def paper_fidelity(spark, sf):
     from itemspark.operators.analytics import sampling_fidelity
     items = bank(spark, sf)
-    return sampling_fidelity(items, ad.PART_STRATA, 50, 20).select("area", "drawn", F.round("share", 6).alias("share"), F.round("gap_pp", 6).alias("gap_pp"))
+    return sampling_fidelity(items, ad.PART_STRATA, 50, 1000).select("area", "drawn", F.round("share", 6).alias("share"), F.round("gap_pp", 6).alias("gap_pp"))
 
 
 WEAK_ORDER = "times_wrong DESC, CAST(last_correct AS INTEGER), last_at DESC, item_id"
@@ -186,25 +186,25 @@ WEAK_ORDER = "times_wrong DESC, CAST(last_correct AS INTEGER), last_at DESC, ite
 
 @register("weak_items", f"""{JOINED}
 SELECT item_id, times_wrong, last_correct, row_number() OVER (ORDER BY {WEAK_ORDER}) AS place
-FROM joined WHERE attempts > 0 AND (times_wrong >= 12 OR (last_correct AND coalesce(last_confidence, 'unsure') <> 'confident'))
+FROM joined WHERE {UNIQUE} AND attempts > 0 AND (times_wrong >= 12 OR (last_correct AND coalesce(last_confidence, 'unsure') <> 'confident'))
 QUALIFY place <= 200""")
 def weak_items(spark, sf):
-    rows = sel.weak_list(bank(spark, sf), sitting_state(spark, sf), 12, include_shaky=True, limit=200)
+    rows = sel.weak_list(unique_bank(spark, sf), sitting_state(spark, sf), 12, include_shaky=True, limit=200)
     from pyspark.sql import Window
     w = Window.orderBy(F.desc("times_wrong"), F.col("last_correct").cast("int"), F.desc("last_at"), "item_id")
     return rows.withColumn("place", F.row_number().over(w).cast("bigint")).select("item_id", "times_wrong", "last_correct", "place")
 
 
 @register("weak_items_of_area", f"""{JOINED}
-SELECT item_id, times_wrong FROM joined WHERE attempts > 0 AND times_wrong >= 2 AND area = 'SMALL' AND subtopic = 'Brand#7'""")
+SELECT item_id, times_wrong FROM joined WHERE {UNIQUE} AND attempts > 0 AND times_wrong >= 2 AND area = 'SMALL' AND subtopic = 'Brand#7'""")
 def weak_items_of_area(spark, sf):
-    return sel.weak_list(bank(spark, sf), sitting_state(spark, sf), area="SMALL", subtopic="Brand#7").select("item_id", "times_wrong")
+    return sel.weak_list(unique_bank(spark, sf), sitting_state(spark, sf), area="SMALL", subtopic="Brand#7").select("item_id", "times_wrong")
 
 
 @register("export_items", f"""{JOINED}
-SELECT item_id FROM joined WHERE attempts > 0 AND times_wrong >= 1 AND NOT self_graded ORDER BY {WEAK_ORDER} LIMIT 10""")
+SELECT item_id FROM joined WHERE {UNIQUE} AND attempts > 0 AND times_wrong >= 1 AND NOT self_graded ORDER BY {WEAK_ORDER} LIMIT 10""")
 def export_items(spark, sf):
-    return sel.export_list(bank(spark, sf), sitting_state(spark, sf), include_self_graded=False).select("item_id")
+    return sel.export_list(unique_bank(spark, sf), sitting_state(spark, sf), include_self_graded=False).select("item_id")
 
 
 RESULTS = f"WITH {ad.CTE_RESULTS}"

@@ -27,16 +27,20 @@ def register(name: str, sql: str | None = None):
 CUTS = ["2024-01-10 08:00:00", "2024-01-21 20:00:00"]
 
 
-def run_slices(spark, sf, build, sink, order=(0, 1, 2), mode="append"):
-    """Land the feed in three time slices; after each, the stream resumes from its checkpoint and catches up."""
+def run_slices(spark, sf, build, sink, order=(0, 1, 2), mode="append", again=False):
+    """Land the feed in three time slices; after each, the stream resumes from its checkpoint and catches up.
+
+    ``again`` lands every slice a second time, in a batch of its own.
+    """
     root = work_dir(spark, "feed")
     feed = ad.attempts(spark, sf).withColumn("at", F.col("at").cast("timestamp"))
     for i in order:
         part = feed if i == 0 else feed.filter(F.col("at") >= F.to_timestamp(F.lit(CUTS[i - 1])))
         part = part if i == len(CUTS) else part.filter(F.col("at") < F.to_timestamp(F.lit(CUTS[i])))
-        part.write.mode("append").parquet(f"{root}/landing")
-        stream = spark.readStream.schema(feed.schema).parquet(f"{root}/landing")
-        st.run_to_end(build(stream), root, sink(root), mode)
+        for _ in range(1 + again):
+            part.write.mode("append").parquet(f"{root}/landing")
+            stream = spark.readStream.schema(feed.schema).parquet(f"{root}/landing")
+            st.run_to_end(build(stream), root, sink(root), mode)
     return root
 
 
@@ -50,23 +54,23 @@ def state_columns(df):
 
 @register("stream_once_per_position", """SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, event_id, count(*) AS n FROM events GROUP BY ALL""")
 def stream_once_per_position(spark, sf):
-    """Every advance is posted four times; one attempt of each survives."""
+    """Every advance is posted four times, once more in the batch after its own; one attempt of each survives."""
     noisy = lambda s: s.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumnRenamed("event_id", "pos")
-    root = run_slices(spark, sf, lambda s: st.once_per_position(noisy(s)), keep_batches)
+    root = run_slices(spark, sf, lambda s: st.once_per_position(noisy(s), delay="60 days"), keep_batches, again=True)
     return spark.read.parquet(f"{root}/state").groupBy("session_id", F.col("pos").alias("event_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("stream_review_state", PROGRESS_ORACLES["review_state"])
 def stream_review_state(spark, sf):
     root = run_slices(spark, sf, lambda s: s, st.fold_batches)
-    return state_columns(st.latest(spark, root))
+    return state_columns(st.folded(spark, root))
 
 
 @register("stream_sessions", """SELECT user_id AS learner, user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, count(*) AS n,
   count(*) FILTER (event_type <> 'error') AS n_correct, max(event_id) AS last_event FROM events GROUP BY ALL""")
 def stream_sessions(spark, sf):
-    root = run_slices(spark, sf, lambda s: s, st.upsert_sessions)
-    return st.latest(spark, root).select("learner", "session_id", "n", "n_correct", "last_event")
+    root = run_slices(spark, sf, lambda s: s, st.sum_sessions)
+    return st.sum_sessions(root).read(spark).select("learner", "session_id", "n", "n_correct", "last_event")
 
 
 @register("stream_daily_activity", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS attempts, count(*) FILTER (event_type <> 'error') AS n_correct FROM events GROUP BY 1")

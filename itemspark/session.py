@@ -19,6 +19,7 @@ def build_session(app: str = "itemspark", cpus: int | str = "*", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.itemspark.scan.tasks", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

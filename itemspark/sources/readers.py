@@ -1,4 +1,4 @@
-"""Sources: whole documents, nested item records, media, and spreading of CPU-heavy scans."""
+"""Sources: whole documents, nested item records, media, and dealing out of unsplittable scans."""
 
 from __future__ import annotations
 
@@ -32,10 +32,11 @@ def read_media(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         (F.col("length") < k.MIN_IMAGE_BYTES).alias("too_small"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan at least one task per core before CPU-heavy text work.
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A scan dealt to as many tasks as the session asks for in ``spark.itemspark.scan.tasks``; unset, the scan as it is.
 
-    A large table already has more splits than cores and is returned untouched, without a shuffle.
+    Clusters leave it unset: their tables have splits enough, cut by ``spark.sql.files.maxPartitionBytes``. A
+    laptop sets it where a table is one row group, which cannot be split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get("spark.itemspark.scan.tasks", None)
+    return df.repartition(int(tasks), key) if tasks else df

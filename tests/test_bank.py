@@ -26,11 +26,24 @@ def test_reconcile_keys_sources_and_flags(spark):
     assert got[3].correct == ["B"] and got[3].images == ["i"] and got[3].disagreement is None and got[3].parse_confidence == "high"
     assert got[4].self_graded and got[4].parse_confidence == "low"
     assert got[5].type == "mcq-multi" and got[6].self_graded
-    assert got[7].stem == "from b" and got[7].parse_confidence == "low" and "without any option" in got[7].parse_notes[0]
+    assert got[7].stem == "from b" and got[7].parse_confidence == "low" and got[7].parse_notes == []
+    assert "without any option" in {r.id: r for r in rec.reconcile(a, b, note_bare_keys=True).collect()}[7].parse_notes[0]
     r = rec.agreement(a, b).first()
     assert (r.present_in_both, r.keyed_in_both, r.disputed) == (4, 3, 1) and r.alarm_keyed
 
 
+def test_a_null_differs_from_a_value(spark):
+    df = spark.createDataFrame([("h", 1, "a", None), ("h", 2, None, None), ("i", 3, "b", "x"), ("i", 4, "b", "x")], "h string, id int, f string, g string")
+    got = {r.h: (r.differs_f, r.differs_g) for r in idn.duplicate_groups(df, "h", "id", ["f", "g"]).collect()}
+    assert got == {"h": (True, False), "i": (False, False)}
+
+
+def test_white_space_does_not_make_a_background_long_enough(spark):
+    df = spark.createDataFrame([(1, "x" * 199 + "\n\n\n"), (2, "\t" + "y" * 200 + "\n")], "id int, background string")
+    parents = idn.parent_groups(df, "id").collect()
+    assert [(r.first_id, r.background) for r in parents] == [(2, "y" * 200)]
+
+
 def test_parents_group_on_opening_and_dissolve_short_ones(spark):
     long = "x" * 250
     rows = spark.createDataFrame([(1, long + " one"), (2, long.upper() + " two"), (3, "short"), (4, "")], "id int, background string")
@@ -53,23 +66,22 @@ def test_rule_margins_and_ties(spark, text, area, subtopic):
     assert (r.rule_area, r.rule_subtopic) == (area, subtopic)
 
 
-def test_assign_override_default_and_rules_table(spark):
-    table = spark.createDataFrame([(0, "x", "x1", 3, ["alpha"])], "rule_id int, area string, subtopic string, weight int, patterns array<string>")
+def test_assign_override_default(spark):
     docs = spark.createDataFrame([(1, "alpha"), (2, "none"), (3, "none")], "id int, t string")
     over = spark.createDataFrame([(2, "z", None)], "id int, area string, subtopic string")
-    rows = cl.assign(cl.classify(docs, F.col("t"), cl.rules_from(table)), over, "dflt").orderBy("id").collect()
+    rows = cl.assign(cl.classify(docs, F.col("t"), [cl.Rule("x", "x1", 3, ("alpha",))]), over, "dflt").orderBy("id").collect()
     assert [(r.area, r.origin, r.subtopic) for r in rows] == [("x", "rules", "x1"), ("z", "override", "general"), ("dflt", "default", "unclassified")]
 
 
 def test_ten_problem_kinds(spark):
     base = dict(id=1, type="mcq-single", stem="s", options=[("A", "a")], correct=["A"], boxes=[], images=["i"], explanation="e", self_graded=False, area="ok")
-    rows = [dict(id=1), dict(id=1), dict(id=2, options=[], correct=[]), dict(id=3, correct=["Z"]), dict(id=4, correct=["A", "A"]),
+    rows = [dict(id=1), dict(id=1), dict(id=1), dict(id=2, options=[], correct=[]), dict(id=3, correct=["Z"]), dict(id=4, correct=["A", "A"]),
             dict(id=5, self_graded=True, images=[], explanation=" "), dict(id=6, type="hotspot"), dict(id=8, area="bad"), dict(id=9, stem=" ")]
     schema = "id bigint, type string, stem string, options array<struct<key:string,text:string>>, correct array<string>, boxes array<struct<box:int,answer:string>>, images array<string>, explanation string, self_graded boolean, area string"
     items = spark.createDataFrame([tuple({**base, **r}.values()) for r in rows], schema)
     found = q.problems(items, ["ok"], spark.createDataFrame([(9,)], "n bigint"))
     got = sorted((r.id, r.rule) for r in found.collect())
-    assert got == sorted([(1, "duplicate id"), (2, "empty options"), (2, "no answer key"), (3, "key without option"), (4, "single with several keys"),
+    assert got == sorted([(1, "duplicate id"), (1, "duplicate id"), (2, "empty options"), (2, "no answer key"), (3, "key without option"), (4, "single with several keys"),
                           (5, "nothing to reveal"), (6, "visual without boxes"), (7, "missing id"), (8, "unknown area"), (9, "empty stem")])
     with pytest.raises(ValueError):
         q.require_clean(found)

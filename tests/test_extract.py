@@ -1,3 +1,5 @@
+import random
+import re
 import struct
 
 import pytest
@@ -30,9 +32,29 @@ def test_slots_two_on_a_line_and_restated(spark):
 
 def test_wrapped_links(spark):
     assert one(spark, "see https://a.b/c\nd/e\nend", t.harvest_urls) == ["https://a.b/cd/eend"]
-    assert one(spark, "https://a.b/c\nhttps://d.e/f", t.harvest_urls) == ["https://a.b/c", "https://d.e/f"]
-    glued = one(spark, "https://a.b/c\nhttps://d.e/f", lambda c: t.stitch_wrapped_urls(c, glue_adjacent=True))
-    assert glued == "https://a.b/chttps://d.e/f"
+    assert one(spark, "https://a.b/c\nhttps://d.e/f", t.harvest_urls) == ["https://a.b/chttps://d.e/f"]
+    apart = one(spark, "https://a.b/c\nhttps://d.e/f", lambda c: t.stitch_wrapped_urls(c, glue_adjacent=False))
+    assert apart == "https://a.b/c\nhttps://d.e/f"
+
+
+@pytest.mark.parametrize("glue", [True, False])
+def test_stitching_equals_a_line_loop(spark, glue):
+    rnd = random.Random(8)
+    parts = ["https://a.b/c", " tail", "x/y", "two words", "", "http://d.e", "see https://f.g/h ", "-", "t\tu"]
+    texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(300)]
+
+    def loop(text):
+        out = []
+        for line in (x.strip() for x in text.split("\n")):
+            joins = out and line and " " not in line and re.search(r"https?://\S+$", out[-1])
+            if joins and (glue or not re.match("https?://", line)):
+                out[-1] += line
+            else:
+                out.append(line)
+        return "\n".join(out)
+
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.stitch_wrapped_urls(F.col("x"), glue)).collect()
+    assert [r[1] for r in got] == [loop(r[0]) for r in got]
 
 
 def block(spark, body, source="a"):

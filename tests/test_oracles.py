@@ -1,4 +1,4 @@
-"""Queries against their DuckDB oracles at the smallest scale; all of them with ITEMSPARK_ALL_QUERIES=1."""
+"""Every query of the library's own operators against its DuckDB oracle at the smallest scale."""
 
 import collections
 import os
@@ -11,10 +11,7 @@ from itemspark.plans import catalog
 from tools.check import TABLES, TYPES, canonical
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ("review_state", "review_state_resumed", "review_trajectory", "history_merge", "sampled_paper", "quotas_under_capacity", "readiness_by_area",
-          "session_scores", "rolling_accuracy_trace", "dwell_times", "duplicate_members", "parent_links", "reconciled_fields", "bank_problems", "rule_classes",
-          "parse_notes", "segment_pages", "graded_responses", "revision_sheets", "quarantined_records", "owner_media", "stream_review_state")
-NAMES = list(catalog.queries()) if os.environ.get("ITEMSPARK_ALL_QUERIES") else SAMPLE
+NAMES = list(catalog.queries())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

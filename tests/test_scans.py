@@ -47,10 +47,16 @@ def test_overlap_join_equals_brute_force(spark):
     assert sorted((r.doc_id, r.id, r.page) for r in got.collect()) == want
 
 
-def test_long_blocks_split_into_parts(spark):
-    lines = spark.createDataFrame([(1, i, f"l{i}") for i in range(25)] + [(2, 0, " ")], "owner int, para int, line string")
-    got = {(r.owner, r.part): r.body.split("\n") for r in ex.assemble_blocks(lines, ["owner"], ["para"], part_lines=10).collect()}
-    assert [len(got[1, p]) for p in range(3)] == [10, 10, 5] and got[1, 1][0] == "l10" and (2, 0) not in got
+def test_block_lines_are_numbered_whatever_the_length(spark):
+    lines = spark.createDataFrame([(1, i, f"l{i}") for i in range(25)] + [(2, 0, " "), (1, 25, " "), (1, 26, "last")], "owner int, para int, line string")
+    got = sorted((r.owner, r.nth, r.line) for r in ex.block_lines(lines, ["owner"], "para", width=4).collect())
+    assert got == [(1, i + 1, f"l{i}") for i in range(25)] + [(1, 26, "last")]
+
+
+def test_next_value_keeps_a_null_that_follows(spark):
+    df = spark.createDataFrame([("a", 0, 1), ("a", 1, None), ("a", 2, 5), ("a", 3, None), ("a", 4, 7)], "k string, pos int, n int")
+    got = {r.pos: r.nxt for r in scans.next_value(df, ["k"], ["pos"], scans.by_position("pos", 2), F.col("n"), "nxt").collect()}
+    assert got == {0: None, 1: 5, 2: None, 3: 7, 4: None}
 
 
 def test_medians_equal_percentile(spark):

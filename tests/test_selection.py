@@ -51,8 +51,8 @@ def test_paper_prefers_unseen_graded_and_repeats_per_seed(spark):
 
 
 def test_sampling_share_within_three_points(spark):
-    gaps = an.sampling_fidelity(bank(spark), k.AREAS, 50, 100).collect()
-    assert len(gaps) == 6 and all(r.gap_pp < 3 for r in gaps) and sum(r.drawn for r in gaps) == 5000
+    gaps = an.sampling_fidelity(bank(spark), k.AREAS, 50, 1000).collect()
+    assert len(gaps) == 6 and all(r.gap_pp < 3 for r in gaps) and sum(r.drawn for r in gaps) == 50_000
 
 
 def test_weak_list_order_shaky_and_limits(spark):

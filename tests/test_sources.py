@@ -60,6 +60,12 @@ def test_restore_follows_pointer_and_snapshot_repeats(spark, tmp_path):
     assert backup.rows_digest(df).first() == backup.rows_digest(df.repartition(7)).first() != backup.rows_digest(df.limit(99)).first()
 
 
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(0, 100, 1, 32)
-    assert readers.spread(wide, "id") is wide and readers.spread(spark.range(0, 10, 1, 1), "id") is not wide
+def test_scans_are_dealt_out_only_where_the_session_asks(spark):
+    df, asked = spark.range(0, 100, 1, 1), spark.conf.get("spark.itemspark.scan.tasks")
+    try:
+        spark.conf.unset("spark.itemspark.scan.tasks")
+        assert readers.dealt(df, "id") is df
+        spark.conf.set("spark.itemspark.scan.tasks", "5")
+        assert readers.dealt(df, "id").rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.set("spark.itemspark.scan.tasks", asked)
