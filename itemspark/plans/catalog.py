@@ -7,7 +7,7 @@ from pathlib import Path
 
 FAMILIES = ("progress_queries", "selection_queries", "analytics_queries", "identity_queries",
             "reconcile_queries", "classify_queries", "quality_queries", "extract_queries",
-            "grading_queries", "digest_queries", "source_queries", "stream_queries")
+            "grading_queries", "digest_queries", "source_queries", "stream_queries", "bank_queries")
 
 
 def _collect(attr: str) -> dict:

@@ -100,6 +100,43 @@ def restored_state(spark, sf):
     return backup.current(spark, root).select("learner", "content_hash", "box", ts("due_at"), "attempts", "times_wrong", "last_correct")
 
 
+# A whole backup: review state, sittings and their results.
+BACKUP_SCHEMAS = {
+    "progress": STATE_SCHEMA, "sessions": "session_id bigint, learner bigint, started_at timestamp_ntz, mode string",
+    "results": "session_id bigint, item_id bigint, area string, correct boolean, confidence string, elapsed_ms bigint"}
+
+
+def backup_frames(spark, sf):
+    return {"progress": prog.progress(ad.attempts(spark, sf)), "sessions": ad.sittings(spark, sf), "results": ad.sitting_results(spark, sf)}
+
+
+def session_sums(frames):
+    results = frames["results"].groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("correct")).alias("n_correct"), F.sum("elapsed_ms").alias("elapsed_ms"))
+    rows = frames["sessions"].join(results, "session_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return rows.select("session_id", "learner", "mode", ts("started_at"), zero("n"), zero("n_correct"), zero("elapsed_ms"))
+
+
+@register("dumped_sessions", f"""WITH {ad.CTE_RESULTS}, r AS (SELECT session_id, count(*) AS n, count(*) FILTER (correct) AS n_correct, CAST(sum(elapsed_ms) AS BIGINT) AS elapsed_ms FROM results GROUP BY 1)
+SELECT o_orderkey AS session_id, o_custkey AS learner, o_orderpriority AS mode, {ts_sql('o_orderdate').replace('AS o_orderdate', 'AS started_at')},
+  coalesce(n, 0) AS n, coalesce(n_correct, 0) AS n_correct, coalesce(elapsed_ms, 0) AS elapsed_ms FROM orders LEFT JOIN r ON session_id = o_orderkey""")
+def dumped_sessions(spark, sf):
+    """The whole state to JSON lines and back; every sitting with its results."""
+    path = work_dir(spark, "dump")
+    backup.write_dump(backup_frames(spark, sf), path)
+    return session_sums(backup.read_dump(spark, path, BACKUP_SCHEMAS))
+
+
+@register("restored_sessions", ORACLES["dumped_sessions"])
+def restored_sessions(spark, sf):
+    """A state without results, then the full one over it, all tables in one step."""
+    frames, root = backup_frames(spark, sf), work_dir(spark, "restore")
+    backup.restore_all({**frames, "results": frames["results"].filter(F.col("correct"))}, root, 1)
+    backup.restore_all(frames, root, 2)
+    return session_sums(backup.current_all(spark, root, list(frames)))
+
+
 @register("written_review_queue", CLASSIFY_ORACLES["review_queue"])
 def written_review_queue(spark, sf):
     path = work_dir(spark, "queue")

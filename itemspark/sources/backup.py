@@ -143,10 +143,27 @@ def restore(df: DataFrame, root: str, version: int) -> None:
     df.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{root}/pointer")
 
 
+def _version(spark: SparkSession, root: str) -> int:
+    return spark.read.schema("version bigint").json(f"{root}/pointer").agg(F.max("version")).first()[0]
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The state the newest pointer names."""
-    version = spark.read.schema("version bigint").json(f"{root}/pointer").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/v={version}")
+    return spark.read.parquet(f"{root}/v={_version(spark, root)}")
+
+
+def restore_all(frames: dict[str, DataFrame], root: str, version: int) -> None:
+    """Replace several tables in one step: all of a version are written before its pointer is."""
+    for name, df in frames.items():
+        df.write.mode("errorifexists").parquet(f"{root}/v={version}/{name}")
+    spark = next(iter(frames.values())).sparkSession
+    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{root}/pointer")
+
+
+def current_all(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of the version the newest pointer names."""
+    version = _version(spark, root)
+    return {name: spark.read.parquet(f"{root}/v={version}/{name}") for name in names}
 
 
 def write_snapshot(df: DataFrame, path: str, key: Sequence[str]) -> None:
