@@ -48,7 +48,9 @@ def readiness(items: DataFrame, state: DataFrame, strata: Strata, key: str = "it
 
     ``by`` splits the state (for example per learner); every group lists every stratum.
     """
-    pool = items.groupBy("area").agg(F.count(F.lit(1)).alias("total"))
+    # One count per stratum of the literal table, looked up in a map: no join on a few area values.
+    pool = items.filter(F.col("area").isin([s[0] for s in strata])).groupBy("area").agg(F.count(F.lit(1)).alias("total"))
+    pool = pool.agg(F.map_from_entries(F.collect_list(F.struct("area", "total"))))
     seen = (
         state.select(*by, key, "attempts", "last_correct").filter(F.col("attempts") > 0)
         .join(items.select(key, "area"), key)
@@ -59,7 +61,8 @@ def readiness(items: DataFrame, state: DataFrame, strata: Strata, key: str = "it
         frame = state.select(*by).distinct().select(*by, F.inline(strata_array(strata)))
     else:
         frame = strata_frame(items, strata)
-    return _scored(frame.join(pool, "area", "left").join(seen, [*by, "area"], "left"))
+    frame = frame.withColumn("total", F.element_at(pool.scalar(), F.col("area")))
+    return _scored(frame.join(seen, [*by, "area"], "left"))
 
 
 def readiness_rollup(items: DataFrame, state: DataFrame, key: str = "item_id") -> DataFrame:

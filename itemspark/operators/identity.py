@@ -28,10 +28,15 @@ def duplicate_groups(items: DataFrame, key: str, id_col: str, fields: Sequence[s
 def duplicate_members(items: DataFrame, key: str, id_col: str) -> DataFrame:
     """Every member of a duplicate group, one row each, with its group's first id.
 
-    Groups are never gathered: a group of any size is a salted join against its one summary row.
+    Groups are never gathered. A key's rows are spread over as many buckets as the session shuffles into, and
+    its summary row is repeated for the buckets that were counted for it.
     """
-    groups = duplicate_groups(items, key, id_col).select(key, "n_members", "first_id")
-    return salted_lookup(items.select(key, id_col), groups, [key])
+    buckets = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = items.select(key, id_col, F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("_bucket"))
+    some = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_first"))
+    groups = some.groupBy(key).agg(F.sum("_n").alias("n_members"), F.min("_first").alias("first_id"), F.collect_list("_bucket").alias("_buckets"))
+    groups = groups.filter(F.col("n_members") > 1).withColumn("_bucket", F.explode("_buckets")).drop("_buckets")
+    return rows.join(groups, [key, "_bucket"]).drop("_bucket")
 
 
 def parent_groups(items: DataFrame, id_col: str, background: str = "background",
