@@ -25,8 +25,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempt feed: one row per event. A sitting is a learner's day."""
+def attempts(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The attempt feed: one row per event, with the event columns to ``keep``. A sitting is a learner's day."""
     kind = F.col("event_type")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("learner"),
@@ -39,6 +39,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind.isin("purchase", "signup"), "confident").alias("confidence"),
         (kind == "signup").alias("self_graded"),
         F.round(F.col("value") * 1000).cast("bigint").alias("elapsed_ms"),
+        *keep,
     )
 
 

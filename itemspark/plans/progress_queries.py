@@ -125,9 +125,7 @@ def session_moves(spark, sf):
 
 # Two backups of one history: each device missed one kind of event.
 def two_copies(spark, sf):
-    feed = ad.attempts(spark, sf)
-    kind = ad.table(spark, sf, "events").select("event_id", "event_type")
-    feed = feed.join(kind, "event_id")
+    feed = ad.attempts(spark, sf, keep=("event_type",))
     local = feed.filter(F.col("event_type") != "purchase").drop("event_type")
     incoming = feed.filter(F.col("event_type") != "click").drop("event_type")
     return local, incoming
