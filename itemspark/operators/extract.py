@@ -178,18 +178,23 @@ def low_confidence() -> Column:
 def paragraphs_of_runs(runs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Text of each paragraph, and the marker it names even when that is split over runs.
 
-    Runs are joined in order and the marker is looked for each time one is added, so it is the number
-    readable at the first run that completes a marker. The runs of one paragraph are all that is grouped.
+    The marker is looked for once, in the joined runs; its number is as much of the digits as is readable at the
+    end of the first run that holds one of them. The runs of one paragraph are all that is grouped.
     """
     texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "TXT", F.struct("run", "payload")))), lambda r: r["payload"])
 
+    rows = runs.groupBy(doc, "para").agg(texts.alias("_runs")).withColumn("line", F.array_join("_runs", ""))
+    rows = stage(rows, {"_match": F.regexp_extract("line", k.MARKER_INLINE, 0), "_digits": F.regexp_extract("line", k.MARKER_INLINE, 1)})
+    first = F.instr("line", F.col("_match")) + F.length("_match") - F.length("_digits")
+
     def add(acc, payload):
-        text = F.concat(acc["text"], payload)
-        return F.struct(text.alias("text"), F.when(acc["id"] != "", acc["id"]).otherwise(F.regexp_extract(text, k.MARKER_INLINE, 1)).alias("id"))
+        n = acc["n"] + F.length(payload)
+        return F.struct(n.alias("n"), F.when(acc["end"] > 0, acc["end"]).when(n >= F.col("_first"), n).otherwise(0).alias("end"))
 
-    start = F.struct(F.lit("").alias("text"), F.lit("").alias("id"))
-    rows = runs.groupBy(doc, "para").agg(texts.alias("_runs")).withColumn("_line", F.aggregate("_runs", start, add))
-    return rows.select(doc, "para", F.col("_line.text").alias("line"), F.col("_line.id").try_cast("bigint").alias("marker"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    rows = rows.withColumn("_first", first).withColumn("_end", F.aggregate("_runs", start, add)["end"])
+    number = F.substr("_digits", F.lit(1), F.col("_end") - F.col("_first") + 1)
+    return rows.select(doc, "para", "line", F.when(F.col("_match") != "", number.try_cast("bigint")).alias("marker"))
 
 
 def own_by_marker(paragraphs: DataFrame, marker: str = "marker", doc: str = "doc_id", order: str = "para",

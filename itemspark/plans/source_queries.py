@@ -32,6 +32,16 @@ def document_scan(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("text_md5"))
 
 
+@register("media_scan", """SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, true AS digests_hold, true AS sizes_hold FROM documents""")
+def media_scan(spark, sf):
+    """Documents written as files and scanned as binary media: all bytes, and what the scan says of them."""
+    path = work_dir(spark, "media")
+    ad.table(spark, sf, "documents").select("text").write.text(path)
+    media = readers.read_media(spark, path, "part-*")
+    return media.agg(F.sum("length").alias("n_bytes"), F.bool_and(F.col("digest") == F.substring(F.sha2("content", 256), 1, 12)).alias("digests_hold"),
+                     F.bool_and(F.col("length") == F.octet_length("content")).alias("sizes_hold"))
+
+
 @register("item_json_records", f"""WITH {CTE_PARSES} SELECT id, source, type, options, correct, images FROM items""")
 def item_json_records(spark, sf):
     """The reconciled bank written as nested JSON and read back with the declared schema."""

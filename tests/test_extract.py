@@ -109,6 +109,13 @@ def test_marker_over_runs(spark):
     assert [(r.para, r.line, r.owner) for r in owned] == [(0, "Question: 2", 2), (1, "body", 2)]
 
 
+def test_the_number_is_what_the_first_run_with_a_digit_shows(spark):
+    texts = {0: ["Question: 1", "2"], 1: ["Quest", "ion:", " ", "34 x", "5"], 2: ["no marker", " here"], 3: ["Question: 7 Question: 8"]}
+    runs = spark.createDataFrame([(1, p, i, "TXT", x) for p, parts in texts.items() for i, x in enumerate(parts)], "doc_id int, para int, run int, kind string, payload string")
+    got = {r.para: (r.line, r.marker) for r in ex.paragraphs_of_runs(runs).collect()}
+    assert got == {p: ("".join(parts), m) for (p, parts), m in zip(texts.items(), [1, 34, None, 7])}
+
+
 def png(w, h, size):
     head = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", w, h)
     return head + bytes(size - len(head))
