@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,9 @@ from itemspark.llm.common import pieces, ship
 from itemspark.llm.vocabulary import BIG, BLANK, Vocabulary, load, segments
 
 #: Pre-tokens whose ids a worker keeps, and bytes of new ones that are indexed at a time.
-KEPT, INDEXED = 200_000, 1 << 19
+KEPT, INDEXED = 250_000, 1 << 18
+#: Bytes of text that are encoded together.
+BATCH = 2 << 20
 #: Bytes that never occur in UTF-8: the blank, and the end of a pre-token.
 BLANK_BYTE, END_BYTE = 0xFF, 0xFE
 
@@ -47,6 +50,8 @@ class Index:
         low = np.frombuffer(b"".join(x.ljust(8 * self.words, b"\0") for x in raw), ">u8").reshape(len(raw), -1)
         high = np.frombuffer(b"".join(x.ljust(8 * self.words, b"\xff") for x in raw), ">u8").reshape(len(raw), -1)
         self.low, self.high = low.astype(np.uint64), high.astype(np.uint64)
+        self.short, self.long = np.flatnonzero(self.length <= 8), np.flatnonzero(self.length > 8)
+        self.short = self.short[np.argsort(self.low[self.short, 0])]  # in order, so that searches stay close
 
 
 @cache
@@ -74,7 +79,14 @@ def suffix_array(text: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(index: Index, order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every piece, where its range in the suffix array begins and ends."""
+    """Of every piece, where its range in the suffix array begins and ends.
+
+    Pieces of up to eight bytes are searched for among the suffixes' first words, longer ones word by word.
+    """
+    lo, hi = np.zeros(len(index.length), np.int64), np.zeros(len(index.length), np.int64)
+    first = key[order]
+    lo[index.short] = np.searchsorted(first, index.low[index.short, 0], side="left")
+    hi[index.short] = np.searchsorted(first, index.high[index.short, 0], side="right")
 
     def bound(wanted: np.ndarray, or_equal: bool) -> np.ndarray:
         lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(order), np.int64)
@@ -93,7 +105,8 @@ def occurrences(index: Index, order: np.ndarray, key: np.ndarray) -> tuple[np.nd
             hi[open_[~less]] = mid[~less]
         return lo
 
-    return bound(index.low, False), bound(index.high, True)
+    lo[index.long], hi[index.long] = bound(index.low[index.long], False), bound(index.high[index.long], True)
+    return lo, hi
 
 
 def encode_words(words: list[str], path: str) -> list[bytes]:
@@ -209,6 +222,11 @@ def decoder(path: str):
     return decode
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ``token_ids`` and ``n_tokens`` (replacing columns of these names); every other column stays."""
     ship(df.sparkSession)
@@ -218,12 +236,9 @@ def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in pieces(batches, at):
-            ids = encode([x or "" for x in batch.column(at).to_pylist()])
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(np.diff(ends))], names=[f.name for f in schema])
+        for batch in pieces(batches, at, BATCH):
+            lists = _lists(encode([x or "" for x in batch.column(at).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pc.list_value_length(lists).cast(pa.int64())], names=[f.name for f in schema])
 
     return kept.mapInArrow(run, schema)
 
@@ -247,8 +262,21 @@ def decoded(df: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded
 
 
 def coded(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document its ids, their number, and whether decoding them gives the text again."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    ids = encoded(df.select(F.col(doc_id).alias("doc_id"), whole.alias("text")), path)
-    back = decoded(ids, path)
-    return back.select("doc_id", "n_tokens", "token_ids", (F.col("decoded") == F.translate("text", BLANK, " ")).alias("round_trip"))
+    """Per document its ids, their number, and whether decoding them gives the text again.
+
+    Both ways in one pass, so that neither texts nor ids travel twice.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, decode = encoder(path), decoder(path)
+        for batch in pieces(batches, 1, BATCH):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            ids = encode(texts)
+            same = [decode(np.frombuffer(i, "<i4").tolist()) == t.replace(BLANK, " ") for i, t in zip(ids, texts, strict=True)]
+            lists = _lists(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(lists).cast(pa.int64()), lists, pa.array(same)],
+                                             names=["doc_id", "n_tokens", "token_ids", "round_trip"])
+
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, token_ids array<int>, round_trip boolean")
