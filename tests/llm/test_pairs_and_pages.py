@@ -7,12 +7,13 @@ import html
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from itemspark.llm import decontaminate, maintext, permutation, simhash, warc
+from itemspark.llm import decontaminate, maintext, permutation, queries, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -220,6 +221,15 @@ def test_archives_read_back_in_order(spark, monkeypatch):
     assert warc.captures(df.withColumn("captured_at", F.lit(None).cast("timestamp")).where("false")).count() == 0
 
 
+def test_the_warc_query_matches_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{SF}/pages.parquet')")
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    rel = con.execute(queries.ORACLES["op2_warc"])
+    assert [d[0] for d in rel.description] == cols
+    assert sorted(map(str, rel.fetchall())) == sorted(str(tuple(r)) for r in queries.op2_warc(spark, SF).select(cols).collect())
+
+
 def test_loser_tree_merges_as_sorting_does():
     rnd = random.Random(6)
     for n in (1, 2, 3, 5, 8, 13):
