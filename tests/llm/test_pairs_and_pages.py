@@ -245,7 +245,7 @@ def test_url_keys():
 
 ARTICLE = """<html><head><title>T</title><script>var a="</p>";</script><body class="has-sidebar"><header>Site</header><div class=notice>Cookies</div>
 <form><input>Find<p>x</form><main><h1>A &amp; B</h1><p>One<br>two   <b>three</b>
-four.<p>x &lt; y &eacute;&#x1D4B3; &amp;amp;<ul><li>i1<li>i2</ul><aside>side</aside><div id="comments"><p>nice</div><div hidden>h</div><p>2 < 3</main><div>loose</div><footer>f</footer>"""
+four.<p>x &lt; y &eacute;&#x1D4B3; &amp;amp;<ul><li>i1<li>i2</ul><aside>side</aside><div id="comments"><p>nice</div><div hidden>h</div><p style="display: none">no</p><p style="overflow: hidden">2 < 3</main><div>loose</div><footer>f</footer>"""
 
 
 def pages(spark, rows):
