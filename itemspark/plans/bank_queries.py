@@ -11,7 +11,7 @@ from itemspark.operators import reconcile as rec
 from itemspark.plans.classify_queries import RULE_TABLE, RULES, overrides, re2
 from itemspark.plans.dump import CTE_ITEMS, raw_items
 from itemspark.plans.extract_queries import LOW, NOTES
-from itemspark.session import work_dir
+from itemspark.session import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -43,12 +43,6 @@ POINTS = "\nUNION ALL ".join(
     for i, (a, _, w, ps) in enumerate(RULE_TABLE))
 
 
-def stored(df, path):
-    """A stage's table, so that the stages after it do not extract or score the texts again."""
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 @register("bank_pipeline", f"""WITH {MERGED},
 parents AS (SELECT left(bk, 200) AS k FROM merged WHERE length(background) > 0 GROUP BY 1 HAVING length(arg_min(background, item_no)) >= {MIN_BACKGROUND}),
 totals AS (SELECT item_no, area, sum(points) AS score, min(rule_id) AS first_rule FROM ({POINTS}) WHERE points > 0 GROUP BY ALL),
@@ -66,11 +60,11 @@ def bank_pipeline(spark, sf):
     b = raw_items(spark, sf, "b").filter(F.col("id") % 10 != 0)
     b = b.withColumn("correct", F.when(F.col("id") % 8 == 1, F.array(F.lit("B"))).otherwise(F.col("correct")))
     items = rec.reconcile(a, b, ("doc_id", "id")).withColumn("item_no", F.col("doc_id") * 1000000 + F.col("id"))
-    items = stored(items, work_dir(spark, "reconciled"))
+    items = stored(items, "reconciled")
     linked = idn.link_parents(items, idn.parent_groups(items, "item_no", min_chars=MIN_BACKGROUND))
     text = cl.scoring_text(F.col("stem"), F.col("options"), F.col("explanation"), F.col("refs"))
     filed = cl.assign(cl.classify(linked, text, RULES), overrides(spark, sf), "en", "doc_id")
-    filed = stored(filed, work_dir(spark, "bank"))
+    filed = stored(filed, "bank")
     found = q.problems(filed, AREAS, id_col="item_no").groupBy("item_no").agg(F.count(F.lit(1)).alias("found"))
     return filed.join(found, "item_no", "left").groupBy("source", "origin", "area").agg(
         F.count(F.lit(1)).alias("n"), F.count("group_id").alias("grouped"), F.count("disagreement").alias("disputed"),

@@ -8,6 +8,7 @@ from itemspark.functions.text import BOXES_TYPE, OPTIONS_TYPE
 from itemspark.operators import quality as q
 from itemspark.operators import reconcile as rec
 from itemspark.plans import adapters as ad
+from itemspark.session import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -164,8 +165,11 @@ def usability_verdict(spark, sf):
   UNION ALL SELECT id, 'missing id', '' FROM (SELECT unnest(range(1, (SELECT max(o_orderkey) + 1 FROM orders))) AS id) WHERE id NOT IN (SELECT id FROM items))
 SELECT * FROM p""")
 def bank_problems(spark, sf):
-    """The reconciled bank against the row and set rules; the source label stands for the area."""
-    items = reconciled(spark, sf).withColumn("area", F.col("source"))
+    """The reconciled bank against the row and set rules; the source label stands for the area.
+
+    The bank is stored first: each family of rules reads it, and both parses are joined once.
+    """
+    items = stored(reconciled(spark, sf).withColumn("area", F.col("source")), "problems")
     return q.problems(items, ["a", "merged"], ad.table(spark, sf, "orders").agg(F.max("o_orderkey")))
 
 
