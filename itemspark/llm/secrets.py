@@ -35,7 +35,7 @@ SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sh
 
 @dataclass(frozen=True)
 class Rule:
-    """``least``: characters that ``group`` of a match must have; shorter matches are dropped."""
+    """``least``: characters that ``group`` of a match must have; shorter matches are dropped. ``told``: the group that is the span."""
 
     kind: str
     pattern: str
@@ -43,6 +43,18 @@ class Rule:
     group: int = 0
     least: int = 0
     base: bool = False
+    told: int = 0
+
+
+# A key goes on to its END line, over anything but another BEGIN or END; where that line is missing, over its
+# headers, its lines of base64, a shorter last one and a checksum. Line ends may be written as backslash n. Every part is possessive and
+# stops at the next BEGIN, so that a text is read once.
+_GAP = r"(?:\s|\\[nr])"
+_KEY = (r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+        rf"|(?:{_GAP}*+[A-Za-z][A-Za-z-]*+:\x20(?:[^\r\n\\-]|-(?!----))*+)*+(?:{_GAP}*+[A-Za-z0-9+/=]{{20,}}+)++(?:{_GAP}++[A-Za-z0-9+/=]++(?=[\s\\\"']|\Z)(?!\x20*[^\s\\\"']))?+(?:{_GAP}++=[A-Za-z0-9+/]{{4}}(?![A-Za-z0-9+/=]))?+)?+")
+# Of a run of its characters, only the first eyJ can begin a token that a later one does not, so a run is read once.
+_SIGNED = r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)"
 
 
 # The base rules, in listed order, then rules for tokens of well-known public formats.
@@ -50,12 +62,12 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", False, 0, 18, True),
     Rule("hex", r"[0-9a-f]{16,}", False, 0, 16, True),  # a run of 16 and more is the longest run there
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]+"),
+    Rule("signed_token", _SIGNED, told=1),
 )
 
 #: A query: all of its clauses; a clause: one of its alternatives; an alternative: all of its trigrams.
@@ -162,7 +174,7 @@ class Scanner:
         postings = self.postings(texts)
         for k, (rule, pattern, query) in enumerate(self.rules):
             for d in self.candidates(query, postings, len(texts)).tolist() if query else range(len(texts)):
-                out[d] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[d]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                out[d] += [(m.start(rule.told), k, m.end(rule.told)) for m in pattern.finditer(texts[d]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
         for x in out:
             x.sort()
         return out
