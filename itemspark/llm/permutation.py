@@ -9,8 +9,9 @@ two orders, a missing pivot counting as one place past the end; the distance fal
 For the orders only, vectors get one more component that makes all of them as long as the longest (queries
 get 0), so that the nearest in distance are those of the largest inner product.
 
-Equal vectors are one entry with its smallest ids, as many as a result can need. Index and queries are dealt
-into blocks; every query block meets every index block in a group of bounded size, and only the best of each
+Equal vectors are one entry with its smallest ids, as many as a result can need, and how often each stands there.
+A query's own id is no result, whatever rows hold it: hits are kept until ``k`` are left without any one id. Index
+and queries are dealt into blocks; every query block meets every index block in a group of bounded size, and only the best of each
 group are shuffled on. Pivots are sampled by hash, all vectors are indexed.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do ids that are
@@ -99,6 +100,19 @@ class Block:
         return np.flatnonzero(near >= cut)  # all of those at the cut, so that ties do not depend on order
 
 
+def _enough(ids: list[int], counts: list[int], k: int) -> int:
+    """How many of the ranked hits to keep so that ``k`` rows stay without those of any one id, if there are so many."""
+    held: dict[int, int] = {}
+    total = most = 0
+    for n, (x, many) in enumerate(zip(ids, counts, strict=True)):
+        if total - most >= k:
+            return n
+        more = min(many, k - held.get(x, 0))
+        held[x] = held.get(x, 0) + more
+        total, most = total + more, max(most, held[x])
+    return len(ids)
+
+
 def neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Of every row whose id is divisible by ``every``, its ``k`` nearest other rows: query_id, rank, vec_id, score."""
     spark = df.sparkSession
@@ -109,10 +123,13 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
     sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], SCHEMA)
-    # Equal vectors have the same 128 bits of key; k + 1 of their ids are the most that a result can hold.
+    # Equal vectors have the same 128 bits of key; k + 1 of their distinct ids are the most that a result can hold,
+    # one of which may be the query's own. An id that is repeated with its vector stands once, with its count.
     rows = rows.where(F.size("v") == sizes[0][0]).select("vec_id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
-    smallest = rows.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    entries = _kept(smallest.groupBy("a", "b").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), f"{folder}/entries")
+    distinct = rows.groupBy("a", "b", "vec_id").agg(F.first("v").alias("v"), F.count("*").alias("times"))
+    smallest = distinct.withColumn("n", F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    ids = F.sort_array(F.collect_list(F.struct("vec_id", F.least("times", F.lit(k)).alias("times"))))
+    entries = _kept(smallest.groupBy("a", "b").agg(F.first("v").alias("v"), ids.alias("ids")), f"{folder}/entries")
     asked = _kept(rows.where(F.col("vec_id") % every == 0).select("vec_id", "a", "b").distinct(), f"{folder}/asked")
 
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
@@ -143,31 +160,38 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
     right = queries.select(numbers(index_blocks).alias("vb"), deal(query_blocks).alias("qb"), "a", "b", "v", "sought")
 
     def search(members: pa.Table, wanted: pa.Table) -> pa.Table:
-        names = ["a", "b", "vec_id", "score"]
-        out: list[list] = [[], [], [], []]
+        names = ["a", "b", "vec_id", "score", "times"]
+        out: list[list] = [[], [], [], [], []]
         if members.num_rows and wanted.num_rows:
             v, q = _matrix(members["v"]), _matrix(wanted["v"])
             block, sought = Block(_matrix(members["posted"])), _matrix(wanted["sought"])
             ids = members["ids"].to_pylist()
-            least = np.array([x[0] for x in ids])
+            least = np.array([x[0]["vec_id"] for x in ids])
             many = max(LEAST, ceil(CANDIDATES * len(v)))
             for i, (a, b) in enumerate(zip(wanted["a"].to_pylist(), wanted["b"].to_pylist(), strict=True)):
                 at = block.candidates(sought[i], many)
                 score = (v[at] * q[i]).sum(1)
-                best = np.lexsort((least[at], -score))[:k + 1]
-                found = sorted((-score[x], vec) for x in best.tolist() for vec in ids[at[x]])[:k + 1]
+                best = np.lexsort((least[at], -score))
+                # The smallest id of every entry before another is ahead of all ids of that one.
+                best = best[:_enough(least[at[best]].tolist(), [1] * len(best), k)]
+                found = sorted((-score[x], vec["vec_id"], vec["times"]) for x in best.tolist() for vec in ids[at[x]])
+                found = found[:_enough([vec for _, vec, _ in found], [times for _, _, times in found], k)]
                 out[0] += [a] * len(found)
                 out[1] += [b] * len(found)
-                out[2] += [vec for _, vec in found]
-                out[3] += [-s for s, _ in found]
-        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=names)
-
-    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(search, "a bigint, b bigint, vec_id bigint, score double")
-    place = Window.partitionBy("a", "b").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1)
-    best = _kept(found.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found")), f"{folder}/found")
+                out[2] += [vec for _, vec, _ in found]
+                out[3] += [-s for s, _, _ in found]
+                out[4] += [times for _, _, times in found]
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=names)
+
+    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(search, "a bigint, b bigint, vec_id bigint, score double, times bigint")
+    # With k hits of an id at most, 2 k hits leave k without any one id.
+    ranked = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
+    found = found.repartition("a", "b").withColumn("n", ranked("a", "b", "vec_id")).where(F.col("n") <= k)
+    found = found.withColumn("n", ranked("a", "b")).where(F.col("n") <= 2 * k)
+    best = _kept(found.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "times"))).alias("found")), f"{folder}/found")
     # A copied vector asks often: this join has plain exchanges on both sides, so that Spark can split it.
     answers = asked.withColumnRenamed("vec_id", "query_id").join(best, ["a", "b"])
-    others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.filter("found", lambda x: x["vec_id"] != F.col("query_id"))
+    others = F.slice(F.flatten(F.transform(others, lambda x: F.array_repeat(x, x["times"].cast("int")))), 1, k)
     return answers.select("query_id", F.posexplode(others).alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -175,6 +175,25 @@ def test_neighbours_with_copies_ties_and_unusable_vectors(spark):
         assert [i for _, i in got[q]] == [i for _, i in want[q]] and np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], rtol=0, atol=1e-12)
 
 
+def test_neighbours_where_rows_repeat_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=8) * rng.uniform(0.2, 1)).tolist()) for k in range(1, 60)]
+    far, near = (5 * rng.normal(size=8)).tolist(), rng.normal(size=8).tolist()
+    rows += [(60, far)] * 30 + [(61, far)] * 2 + [(62, far), (80, near), (80, near)]
+    rows += [(101, rows[4][1])] * 25
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in permutation.neighbours(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+        assert r["rank"] == len(got[r["query_id"]])
+    want = brute_neighbours(rows)
+    assert got == {q: [i for _, i in found] for q, found in want.items()} and len(got) == 4 and all(len(x) == 20 for x in got.values())
+    # One id with more vectors than a result has rows, all of them ahead of the others.
+    rows = [(20, [10.0 + k, 0.0]) for k in range(50)] + [(k, [1.0 / k, 1.0]) for k in range(21, 60) if k % 20]
+    out = permutation.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert len(out) == 50 * 20 and {r["vec_id"] for r in out} == set(range(21, 42)) - {40}
+
+
 def test_neighbours_of_few_and_of_nothing(spark):
     schema = "vec_id bigint, embedding array<float>"
     few = permutation.neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 1.0])], schema)).orderBy("rank").collect()
