@@ -306,6 +306,18 @@ def test_shared_runs_against_counted_windows():
         assert covered.tolist() == want
 
 
+def test_parts_of_a_large_host_count_together(spark, monkeypatch):
+    notice = "this page moves to another place at the end of the year"
+    rows = [(k, f"http://h.com/{k}", f"<div>first{k} second{k} {notice if k % 15 == 0 else ''} third{k}</div><div>{'old page' if k % 16 == 0 else f'new {k}'}</div>") for k in range(60)]
+    rows += [(100, "http://h.com/100", "<div>twice is not shared by enough pages of this host</div>")] * 2 + [(101, "http://h.com/101", rows[0][2])] * 2
+    rows += [(None, "http://h.com/n", "<nav>n</nav>"), (103, "http://h.com/103", ""), (104, "http://i.com/", f"<p>{notice}</p>")]
+    df = pages(spark, rows)
+    whole = collections.Counter(tuple(r) for r in maintext.extracted(df).collect())
+    monkeypatch.setattr(maintext, "PART", 4)
+    parts = collections.Counter(tuple(r) for r in maintext.extracted(df).collect())
+    assert parts == whole and (0, "http://h.com/0", "first0 second0 third0", 21) in parts and (104, "http://i.com/", notice, len(notice)) in parts
+
+
 def test_main_text_of_the_table(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     for r in maintext.extracted(df).join(df.select("page_id", "html"), "page_id").collect():
