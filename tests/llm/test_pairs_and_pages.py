@@ -306,6 +306,17 @@ def test_shared_runs_against_counted_windows():
         assert covered.tolist() == want
 
 
+def test_main_elements_in_chrome_or_frames(spark):
+    story = "<p>the story stands outside of any such element</p>"
+    bodies = [f"{story}<aside><article>card</article></aside>", f"<div hidden><main>no</main></div>{story}", f"{story}<div class='related'><article>card</article></div>",
+              "<div class='has-sidebar'><nav>n</nav><article>all of it</article></div>", "<h1>Site</h1><div class='sidebar-right'><main>a longer text</main><aside>x</aside></div>",
+              "<div id='promo'><p>one page</p></div>", "<nav>only a menu</nav>", f"<article>kept</article><aside><article>card</article></aside>{story}"]
+    rows = [(k, f"http://h{k}.com/", b) for k, b in enumerate(bodies)]
+    outside = "the story stands outside of any such element"
+    got = {r["page_id"]: r["text"] for r in maintext.extracted(pages(spark, rows)).collect()}
+    assert got == dict(enumerate([outside, outside, outside, "all of it", "a longer text", "one page", "", "kept"]))
+
+
 def test_parts_of_a_large_host_count_together(spark, monkeypatch):
     notice = "this page moves to another place at the end of the year"
     rows = [(k, f"http://h.com/{k}", f"<div>first{k} second{k} {notice if k % 15 == 0 else ''} third{k}</div><div>{'old page' if k % 16 == 0 else f'new {k}'}</div>") for k in range(60)]
