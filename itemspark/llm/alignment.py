@@ -20,28 +20,25 @@ which neither merges across. The work table goes below the session's work folder
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemspark.llm.common import pieces, ship
-from itemspark.llm.vocabulary import segments
 from itemspark.session import stored
 
-#: Steps of a merge piece; bytes of text of a batch; characters given to a tokenizer at once; pre-tokens a worker keeps.
-WIDTH, BATCH, PART, KEPT = 32, 4 << 20, 1 << 20, 200_000
-#: The byte-level pattern for texts of Latin letters, with white space spelt out; other texts take the library's own.
-SPACE = r"\t-\r \x85\xa0"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-WIDE = regex.compile(r"[^\x00-ɏ]")
-CUT = regex.compile(r"(?<=[a-zA-Z0-9]) (?=[a-zA-Z0-9])")
+#: Steps of a merge piece; bytes of text of a batch; characters given to a tokenizer at once.
+WIDTH, BATCH, PART = 32, 4 << 20, 1 << 20
+#: Fixed value: the byte-level pre-token pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+RUN = re.compile(r"\s{1000}")
+CUT = re.compile(r"(?<=[a-zA-Z0-9]) (?=[a-zA-Z0-9])")
 STORED = ("batch bigint, doc_id array<bigint>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<bigint>, sha array<string>,"
           " size array<int>, packed binary, keys array<bigint>, docs array<int>")
 SCHEMA = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -58,25 +55,10 @@ def parts(text: str, size: int = PART) -> list[str]:
     return [*out, text[start:]]
 
 
-def _remembered(split: Callable[[str], list[str]], encode: Callable[[list[str]], list]) -> Callable[[str], np.ndarray]:
-    """Encodes a text's pre-tokens, each distinct one once, within a bound."""
-    known: dict[str, list[int]] = {}
-
-    def ids(text: str) -> np.ndarray:
-        words = split(text)
-        if fresh := list(set(words) - known.keys()):
-            if len(known) + len(fresh) > KEPT:
-                known.clear()
-                fresh = list(set(words))
-            known.update(zip(fresh, encode(fresh), strict=True))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32)
-
-    return ids
-
-
 @cache
 def byte_level(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     """Ids of a text by a byte-level BPE file, and every id's bytes."""
+    import tiktoken
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
@@ -88,13 +70,12 @@ def byte_level(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     for name, k in model.get_vocab().items():
         table[k] = name.encode() if k in special else bytes(back[c] for c in name)
 
-    def library(words: list[str]) -> list[list[int]]:
-        return [e.ids for e in model.encode_batch(words, add_special_tokens=False)]
-
-    quick = _remembered(WORDS.findall, library)
+    # The same merges in a leaner library, which cannot take long runs of white space.
+    lean = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks={x: k for k, x in enumerate(table) if k not in special}, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        return np.concatenate([np.array(library([p])[0], np.int32) if WIDE.search(p) else quick(p) for p in parts(" " + text)])
+        return np.concatenate([np.array(model.encode(p, add_special_tokens=False).ids if RUN.search(p) else lean.encode_ordinary(p), np.int32)
+                               for p in parts(" " + text)])
 
     return ids, table
 
@@ -107,11 +88,9 @@ def piece_level(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     table = [bytes([int(model.id_to_piece(k)[1:-1], 16)]) if model.is_byte(k) else model.id_to_piece(k).replace("▁", " ").encode()
              for k in range(model.get_piece_size())]
-    # A line end is no part of a piece: what follows the blank and the line end set before a pre-token is its own coding.
-    quick = _remembered(segments, lambda words: [x[2:] for x in model.encode(["\n" + w for w in words], num_threads=1)])
 
     def ids(text: str) -> np.ndarray:
-        return np.concatenate([quick(p[1:] if k else p) for k, p in enumerate(parts(text))])
+        return np.concatenate([np.array(model.encode(p[1:] if k else p, num_threads=1), np.int32) for k, p in enumerate(parts(text))])
 
     return ids, table
 

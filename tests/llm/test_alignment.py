@@ -15,7 +15,7 @@ from itemspark.llm import alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 DOC = "doc_id bigint, text string, lang string, groups string, n_a bigint, batch string"
-ODD = ["", None, " ", "\n", "a\n\nb ", "  a  b", "the" * 3_000, "x" * 6_000 + "é" * 2_000, "日本 𝒳\x00\tab", "▁a", "a▁b", "123 !!", "représenter",
+ODD = ["", None, " ", "\n", "a\n\nb ", "  a  b", "a" + " " * 5_000 + "b", "the" * 3_000, "x" * 6_000 + "é" * 2_000, "日本 𝒳\x00\tab", "▁a", "a▁b", "123 !!", "représenter",
        "<s></s><0x0A>", "<|endoftext|> it's", "a \n b", "\x1c\x1d \x85  x", "tab\tand\rreturn\r\n", "same text", "same text", " \t \n  "]
 
 
