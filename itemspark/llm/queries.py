@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import alignment, decontaminate, language, maintext, permutation, piececoding, secrets, simhash, tokencount, toxicity, warc
+from itemspark.llm import alignment, decontaminate, language, lexical, maintext, permutation, piececoding, secrets, simhash, tokencount, toxicity, warc
 from itemspark.llm.common import table
 
 MODEL, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -68,13 +68,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(MODEL))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_neighbours, op4_simhash, op5_piece_coding, op6_toxicity, op7_main_text, op8_secret_scan, op9_token_counts,
-                                   op10_decontamination, op13_alignment)}
+                                   op10_decontamination, op11_lexical_search, op13_alignment)}
 
 #: SQL for the queries that it can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {
@@ -84,4 +89,17 @@ d AS (SELECT page_id, h, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_st
 g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM g""",
+    "op11_lexical_search": r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM t WHERE len(w) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, docs),
+b AS (SELECT row_number() OVER () AS q, item_id, text FROM benchmark),
+i AS (SELECT DISTINCT q, item_id, term FROM (SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b)),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(weight * (1000000000 * tf // (1000 * tf + 8 * (10 + 90 * n * docs // words)))) AS BIGINT) AS score
+  FROM i JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), c GROUP BY q, item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
