@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemspark.llm import alignment, decontaminate, language, lexical, maintext, permutation, piececoding, secrets, simhash, tokencount, toxicity, warc
+from itemspark.llm import alignment, decontaminate, language, lexical, maintext, permutation, piececoding, quality, secrets, simhash, tokencount, toxicity, warc
 from itemspark.llm.common import table
 
 MODEL, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -73,13 +73,18 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.path(MODEL))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc, op3_neighbours, op4_simhash, op5_piece_coding, op6_toxicity, op7_main_text, op8_secret_scan, op9_token_counts,
-                                   op10_decontamination, op11_lexical_search, op13_alignment)}
+                                   op10_decontamination, op11_lexical_search, op12_quality, op13_alignment)}
 
 #: SQL for the queries that it can express; the tests hold the others against brute force.
 ORACLES: dict[str, str] = {
