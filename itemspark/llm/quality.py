@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from itemspark.llm.common import crc_mod, pieces, ship
 
 #: Documents and passages learnt from; words of a passage; hashed features; sizes of code and gate.
-ROWS, PASSAGES, WORDS, FEATURES, CODE, GATE = 4_000, 60_000, 64, 1_024, 24, 12
+ROWS, PASSAGES, WORDS, FEATURES, CODE, GATE = 4_000, 24_000, 64, 1_024, 24, 12
 #: Passes over the sample, documents of a step, step size, weight decay, share of the rarer label in the loss.
 PASSES, STEP, RATE, DECAY, BALANCE = 30, 128, 0.01, 1e-4, 0.3
 #: Bytes encoded at once.
@@ -119,7 +119,7 @@ def fitted(rows: np.ndarray, starts: np.ndarray, labels: np.ndarray, seed: int =
     turn = 0
     for _ in range(PASSES):
         for own in np.array_split(order := rnd.permutation(len(starts)), -(-len(order) // STEP)):
-            x = np.concatenate([rows[starts[k]:ends[k]] for k in own])
+            x = np.concatenate([rows[starts[k]:ends[k]] for k in own]).astype(np.float32)
             at = np.append(0, np.cumsum(ends[own] - starts[own]))[:-1]
             code = np.tanh(x @ m["e"] + m["b"])
             score, t, s, weight, mean, size = _attended(m, code, at)
@@ -167,11 +167,12 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     ship(docs.sparkSession)
     known = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("good"))
     known = known.where(F.col("good").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.min("good").alias("good"))
-    whole = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
-    # Only figures of the sample's rows are ranked; the last window sees ``rows`` rows at most.
-    slim = whole.select("doc_id", "good", F.xxhash64("doc_id", "text").alias("h"), (F.size(F.split("text", r"[\x00-\x20]+")) / WORDS + 1).alias("n"))
+    whole = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = whole.withColumn("h", F.xxhash64("doc_id", "text"))
+    # Texts stay where they are: figures of the rows meet the labels, and the chosen rows, ``rows`` at most, the texts.
+    slim = whole.select("doc_id", "h", (F.size(F.split("text", r"[\x00-\x20]+")) / WORDS + 1).alias("n")).join(known, "doc_id").distinct()
     sample = slim.orderBy("h", "doc_id").limit(rows).withColumn("upto", F.sum("n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    sample = sample.where(F.col("upto") <= most).select("doc_id", "h", "good").distinct()
+    sample = sample.where(F.col("upto") <= most).select("doc_id", "h", "good")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -180,10 +181,10 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
                 rows_ = np.concatenate(found).astype(np.float16) if found else np.zeros((0, FEATURES), np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([good], pa.int32()), pa.array([rows_.tobytes()], pa.binary())], names=["good", "x"])
 
-    picked = whole.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(sample.drop("good")), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    picked = whole.join(F.broadcast(sample), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     held = picked.orderBy("h", "doc_id").select("good", "text").mapInArrow(features, "good int, x binary").collect()
     labels_ = np.array([r[0] > 0 for r in held], np.float32)
-    bags = [np.frombuffer(r[1], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in held]
+    bags = [np.frombuffer(r[1], np.float16).reshape(-1, FEATURES) for r in held]
     full = np.array([len(b) > 0 for b in bags], bool)
     if not len(labels_):
         return Model(None, 0.5)
