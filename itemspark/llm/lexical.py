@@ -38,11 +38,11 @@ from itemspark.llm.common import pieces, ship
 from itemspark.session import stored
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Documents of a block; bytes of items that a pass carries.
-BLOCK, SHIPPED = 4_096, 16 << 20
+#: Documents of a block (below 2**15); bytes of items that a pass carries.
+BLOCK, SHIPPED = 2_048, 16 << 20
 COUNTED = "doc_id bigint, n bigint, terms array<int>, times array<bigint>"
-INDEX = ("doc_id array<bigint>, term array<int>, starts array<int>, docs array<int>, impacts array<bigint>, most array<bigint>,"
-         " pair array<int>, pair_starts array<int>, pair_docs array<int>, joint array<bigint>")
+INDEX = ("doc_id array<bigint>, term array<int>, starts array<int>, docs array<smallint>, impacts array<int>, most array<bigint>,"
+         " pair array<int>, pair_starts array<int>, pair_docs array<smallint>, joint array<bigint>")
 FOUND = "query int, doc_id bigint, score bigint"
 
 
@@ -105,10 +105,11 @@ def _indexed(items: Items, documents: int, words: int):
         slow = 10 + np.array([90 * int(x) * documents // words for x in n], np.int64)
         impact = 1_000_000_000 * tf // (1000 * tf + 8 * slow[doc])
         by = np.lexsort((doc, term))
-        term, doc, impact = term[by], doc[by], impact[by]
+        # A block is small and an impact below 10**6, so both fit narrow numbers; scores are 64-bit.
+        term, doc, impact = term[by], doc[by].astype(np.int16), impact[by].astype(np.int32)
         here, first = np.unique(term, return_index=True)
         starts = np.append(first, len(term))
-        most = np.maximum.reduceat(impact, first) if len(term) else impact
+        most = np.maximum.reduceat(impact, first).astype(np.int64) if len(term) else impact
         at = {t: k for k, t in enumerate(here.tolist())}
         kept, joint, shared = [], [], []
         for k, (x, y) in enumerate(pairs.tolist()):
@@ -116,15 +117,15 @@ def _indexed(items: Items, documents: int, words: int):
                 p, q = (slice(starts[at[t]], starts[at[t] + 1]) for t in (x, y))
                 both, i, j = np.intersect1d(doc[p], doc[q], assume_unique=True, return_indices=True)
                 if len(both):
-                    scores = weights[x] * impact[p][i] + weights[y] * impact[q][j]
+                    scores = weights[x] * impact[p][i].astype(np.int64) + weights[y] * impact[q][j].astype(np.int64)
                     kept.append(k)
                     joint.append(scores.max())
                     # The document that reaches the maximum stands first, as the pair's seed.
                     best = int(scores.argmax())
                     shared.append(np.r_[both[best], np.delete(both, best)])
         ends = np.cumsum([0, *map(len, shared)])
-        row = [batch.column(0).to_pylist(), here, starts, doc, impact, most, kept, ends, np.concatenate([np.zeros(0, np.int64), *shared]), joint]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        row = [batch.column(0).to_pylist(), here, starts, doc, impact, most, kept, ends, np.concatenate([np.zeros(0, np.int16), *shared]), joint]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(kind)) for x, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ class Block:
 
     def posting(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.start[term], self.end[term])
-        return self.docs[part], self.impacts[part] * self.weights[term]
+        return self.docs[part], self.impacts[part].astype(np.int64) * self.weights[term]
 
     def exact(self, own: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Whole scores of some documents."""
