@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from itemspark.functions import constants as k
 from itemspark.functions.scalars import days_left, rag
 from itemspark.operators.scans import next_value, running_totals
-from itemspark.operators.selection import Strata, sample_paper, strata_array, strata_frame
+from itemspark.operators.selection import Strata, sample_papers, strata_array, strata_frame
 
 
 def area_score(accuracy: Column, coverage: Column) -> Column:
@@ -237,8 +237,7 @@ def pacing_counts(results: DataFrame, by: Sequence[str], budget: int = k.MS_PER_
 
 def sampling_fidelity(items: DataFrame, strata: Strata, n: int, n_seeds: int, key: str = "item_id") -> DataFrame:
     """Share of each stratum over many seeded papers against its weight, in percentage points."""
-    copies = items.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))))
-    papers = sample_paper(copies, None, strata, n, F.col("seed"), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), key, seeds=["seed"], pool=items)
+    papers = sample_papers(items, None, strata, n, n_seeds, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), key)
     drawn = papers.groupBy("area", "weight").agg(F.count(F.lit(1)).alias("drawn"))
     share = F.col("drawn") / F.sum("drawn").over(Window.partitionBy())
     return drawn.withColumn("share", share).withColumn("gap_pp", F.abs(F.col("share") - F.col("weight")) * 100)

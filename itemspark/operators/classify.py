@@ -54,7 +54,11 @@ def score(docs: DataFrame, text: Column, rules: Sequence[Rule]) -> DataFrame:
 def classify(docs: DataFrame, text: Column, rules: Sequence[Rule], min_score: int = k.MIN_SCORE,
              min_margin: int = k.MIN_MARGIN) -> DataFrame:
     """Add rule_area (null when unresolved), rule_subtopic, top_score, runner_up."""
-    rows = score(docs, text, rules)
+    return resolve(score(docs, text, rules), min_score, min_margin)
+
+
+def resolve(rows: DataFrame, min_score: int = k.MIN_SCORE, min_margin: int = k.MIN_MARGIN) -> DataFrame:
+    """The verdict of rows that have ``ranked``."""
     top, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
     rows = rows.withColumns({
         "top_score": F.coalesce(top["score"], F.lit(0)), "runner_up": F.coalesce(second["score"], F.lit(0)),

@@ -182,6 +182,36 @@ def sample_paper(items: DataFrame, state: DataFrame, strata: Strata, n: int, see
     return picked.withColumn("place", ticket(seed, key, "/place")).orderBy(*seeds, "place", key).drop("_rank")
 
 
+def sample_papers(items: DataFrame, state: DataFrame | None, strata: Strata, n: int, n_seeds: int, as_of: Column,
+                  key: str = "item_id", spare: float = 6.0) -> DataFrame:
+    """The papers of seeds 1 to ``n_seeds``, each as ``sample_paper`` draws it: (seed, area, weight, key, tier, ticket).
+
+    Tickets are uniform, so the lowest q of a tier's c tickets lie below about q / c. Each seed keeps only the tickets
+    below that share and a spare of ``spare`` standard deviations; the tiers before it are kept whole, those after
+    it are out. What is ranked is about the papers themselves, not items x seeds. A (seed, stratum) that still falls
+    short of its quota is drawn again from all its items.
+    """
+    rows = with_defaults(items, state, [key]).withColumn("tier", preference_tier(as_of))
+    shape = paper_shape(items, strata, n).select("area", "weight", "quota").where("quota > 0")
+    held = rows.groupBy("area", "tier").agg(F.count(F.lit(1)).alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("area").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    need = F.col("quota") - F.col("before")
+    share = (need + F.lit(spare) * (F.sqrt(need) + 1)) / F.col("held")
+    below = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.floor(share * float(1 << 32)).cast("bigint"))), 8, "0"))
+    # One row per stratum and tier, which the caller's list bounds.
+    cut = shape.join(held.withColumn("before", before), "area").where(need > 0).select("area", "tier", "weight", "quota", below.alias("below"))
+    drawn = rows.select(key, "area", "tier").join(F.broadcast(cut), ["area", "tier"]).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))))
+    drawn = drawn.withColumn("ticket", ticket(F.col("seed"), key)).where(F.col("ticket") < F.col("below"))
+    order = Window.partitionBy("seed", "area").orderBy("tier", "ticket", key)
+    found = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("quota")).drop("_rank", "below")
+    have = found.groupBy("seed", "area").agg(F.count(F.lit(1)).alias("have"))
+    grid = F.broadcast(shape).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))))
+    short = grid.join(have, ["seed", "area"], "left").where(F.coalesce("have", F.lit(0)) < F.col("quota")).select("seed", "area", "weight", "quota")
+    again = rows.select(key, "area", "tier").join(short, "area").withColumn("ticket", ticket(F.col("seed"), key))
+    again = again.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("quota")).drop("_rank")
+    return found.join(short.select("seed", "area"), ["seed", "area"], "left_anti").unionByName(again).select("seed", "area", "weight", key, "tier", "ticket")
+
+
 def shaky() -> Column:
     """Answered correctly last time, but not confidently."""
     return F.coalesce(F.col("last_correct") & (F.coalesce("last_confidence", F.lit("unsure")) != "confident"), F.lit(False))

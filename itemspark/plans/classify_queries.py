@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from itemspark.functions import constants as k
 from itemspark.functions import text as t
 from itemspark.operators import classify as cl
+from itemspark.operators import rule_tables as rt
 from itemspark.operators.selection import strata_frame
 from itemspark.plans import adapters as ad
 from itemspark.plans.dump import CTE_ITEMS, dump_items, raw_dump
@@ -131,3 +133,35 @@ def distribution_against_bands(spark, sf):
 @register("top_subtopics", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10")
 def top_subtopics(spark, sf):
     return cl.top_values(ad.table(spark, sf, "part"), "p_brand")
+
+
+@register("rule_table_scores", ORACLES["rule_scores"])
+def rule_table_scores(spark, sf):
+    """The rules of ``rule_scores`` held in a table."""
+    return rt.score(ad.documents(spark, sf), ["doc_id"], F.col("text"), rt.rule_rows(spark, RULES)).select("doc_id", "area", "score", "subtopic")
+
+
+@register("rule_table_classes", ORACLES["rule_classes"])
+def rule_table_classes(spark, sf):
+    rows = rt.classify(ad.documents(spark, sf), ["doc_id"], F.col("text"), rt.rule_rows(spark, RULES))
+    return rows.select("doc_id", "rule_area", "rule_subtopic", "top_score", "runner_up")
+
+
+@register("legacy_terms_by_table", ORACLES["legacy_terms"])
+def legacy_terms_by_table(spark, sf):
+    terms = spark.createDataFrame([(i, p, note) for i, (p, note) in enumerate(k.LEGACY_TERMS)], "place int, pattern string, note string")
+    rows = rt.notes(raw_dump(spark, sf), ["doc_id"], F.col("text"), terms)
+    return rows.select("doc_id", F.when(F.size("notes") > 0, F.array_join("notes", " ")).alias("note"))
+
+
+# Thousands of patterns: every longer word of the benchmark, filed by the first item that has it.
+WORD_RULES = "SELECT word, min(item_id) AS rule_id FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM benchmark) GROUP BY word"
+
+
+@register("word_rule_scores", f"""WITH w AS ({WORD_RULES})
+SELECT doc_id, 'b' || (rule_id % 8) AS area, CAST(count(*) AS INTEGER) AS score FROM documents JOIN w ON contains(lower(text), word) GROUP BY ALL""")
+def word_rule_scores(spark, sf):
+    words = ad.table(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("pattern"))
+    rules = words.groupBy("pattern").agg(F.min("item_id").alias("rule_id"))
+    rules = rules.select("rule_id", F.concat(F.lit("b"), F.col("rule_id") % 8).alias("area"), F.lit("").alias("subtopic"), F.lit(1).alias("weight"), "pattern")
+    return rt.score(ad.documents(spark, sf), ["doc_id"], F.col("text"), rules).select("doc_id", "area", "score")

@@ -143,3 +143,14 @@ def test_rolling_window_forgets(spark):
 def test_flatten_sessions(spark):
     df = spark.createDataFrame([("b", 2, [("y", True), ("z", False)]), ("a", 1, [("x", True)]), ("c", 3, [])], "id string, started_at int, results array<struct<content_hash:string,correct:boolean>>")
     assert [(r.session_id, r.pos, r.content_hash) for r in an.flatten_sessions(df).collect()] == [("a", 0, "x"), ("b", 0, "y"), ("b", 1, "z")]
+
+
+@pytest.mark.parametrize("spare", [6.0, 0.0, -4.0])
+def test_papers_drawn_together_are_those_drawn_alone(spark, spare):
+    """A spare of 0 or less leaves strata short, which are then drawn again."""
+    items = bank(spark)
+    at = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    got = sel.sample_papers(items, None, k.AREAS, 50, 5, at, spare=spare).groupBy("seed").agg(F.sort_array(F.collect_list("item_id")).alias("ids")).collect()
+    assert len(got) == 5
+    for r in got:
+        assert r["ids"] == sorted(x["item_id"] for x in sel.sample_paper(items, None, k.AREAS, 50, r["seed"], at).collect())
