@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemspark.operators.progress import has_been_attempted, is_due, with_defaults
+from itemspark.session import stored
 
 Strata = Sequence[tuple[str, str, int, int, float]]
 
@@ -200,10 +201,14 @@ def sample_papers(items: DataFrame, state: DataFrame | None, strata: Strata, n:
     below = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.floor(share * float(1 << 32)).cast("bigint"))), 8, "0"))
     # One row per stratum and tier, which the caller's list bounds.
     cut = shape.join(held.withColumn("before", before), "area").where(need > 0).select("area", "tier", "weight", "quota", below.alias("below"))
-    drawn = rows.select(key, "area", "tier").join(F.broadcast(cut), ["area", "tier"]).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))))
+    # Few items become many tickets: they are spread before, by a number that adaptive execution leaves alone.
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.select(key, "area", "tier").join(F.broadcast(cut), ["area", "tier"]).repartition(tasks, key)
+    drawn = spread.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))))
     drawn = drawn.withColumn("ticket", ticket(F.col("seed"), key)).where(F.col("ticket") < F.col("below"))
     order = Window.partitionBy("seed", "area").orderBy("tier", "ticket", key)
     found = drawn.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("quota")).drop("_rank", "below")
+    found = stored(found, "papers")  # as many rows as the papers have
     have = found.groupBy("seed", "area").agg(F.count(F.lit(1)).alias("have"))
     grid = F.broadcast(shape).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))))
     short = grid.join(have, ["seed", "area"], "left").where(F.coalesce("have", F.lit(0)) < F.col("quota")).select("seed", "area", "weight", "quota")
