@@ -1,15 +1,16 @@
 """Toxicity by compression distance: two zstandard dictionaries, window lengths, calibrated thresholds.
 
-A window is one word between blanks, in lower case, followed by a fixed anchor that both dictionaries end
-with; the anchor pays for the frame's own bytes, so that a window's compressed length tells how much of the
-word a dictionary holds. One dictionary is trained on windows of ordinary text, the other on those words of
-toxic text that toxic passages use far more often (passages are stretches of words, counted once however many
-documents repeat them). A word's margin is its length under the ordinary dictionary less that under the toxic
-one. For each word length, the threshold is the least margin from which on every margin is at least ``LIFT``
-times as common in toxic documents as in ordinary ones. A document's score is the share of toxic documents
-among calibration documents with as many words over their threshold.
-
-The labelled rows learnt from are a bounded sample: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS``, in hash
+A window is one word between blanks, in lower case, followed by a fixed anchor. One dictionary is trained on passages
+of ordinary text. The other is made of those windows of toxic text that ordinary text does not share: their word is
+in so many toxic passages as ``SHARE`` of the toxic documents (``LEAST`` at least) and ``LIFT`` times as common there
+as in ordinary ones (passages are stretches of words, counted once however many documents repeat them), the most
+common last, ``TOXIC_BYTES`` in all. A window that this dictionary holds compresses to little more than a frame and
+one match; one that it holds in part, or not at all, to more. A window counts as toxic if its length under the toxic
+dictionary is at most ``most`` and shorter by ``gap`` than under the ordinary one (and than without any). Both thresholds are calibrated on
+documents: the pair is taken under which the number of toxic windows tells the labels best. A document's score is the
+share of toxic documents among calibration documents with as many toxic windows.
+
+The labelled rows learnt from are a bounded sample: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` documents, in hash
 order of their ids; half of them train the dictionaries, half calibrate. Everything else is whole texts of
 all documents. Null and empty texts have no words and get the score of a document without a toxic word;
 repeated rows are scored each; several labels of one id count as toxic if one does, null labels do not count;
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from itemspark.llm.common import crc_mod, pieces, ship
 
 TOXIC_ROWS, ORDINARY_ROWS = 4_000, 8_000
-#: Words of a passage; share of the toxic passages that a word must be in; times as common there.
-PASSAGE, SHARE, LIFT = 12, 0.002, 20
-TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 2_048, 65_536, 40_000
+#: Words of a passage; passages that a word must be in, as a share of the toxic documents and at least; times as common there.
+PASSAGE, SHARE, LEAST, LIFT = 12, 0.012, 3, 20
+TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 65_536, 65_536, 40_000
+#: Bytes above the shortest length, and bytes shorter than under the ordinary dictionary, that are tried; less than a match costs is noise.
+OVER, GAPS = (0, 1, 2, 3), (3, 4, 5, 6)
 LEVEL = 3
 ANCHOR = bytes(range(1, 17))
 #: Counts of toxic words that are told apart, and words a worker remembers.
@@ -47,11 +50,12 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 @dataclass(frozen=True)
 class Model:
-    """``thresholds``: by bytes of the word, or None where no margin tells; ``scores``: by toxic words."""
+    """``most`` and ``gap``: the thresholds of a toxic window; ``scores``: by toxic windows."""
 
     toxic: bytes
     ordinary: bytes
-    thresholds: tuple[int | None, ...]
+    most: int
+    gap: int
     scores: tuple[float, ...]
 
 
@@ -62,12 +66,11 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False)
 
 
-def margin(word: bytes, toxic: bytes, ordinary: bytes) -> int:
-    """How much shorter the toxic dictionary makes the word; a match that costs more than it saves is no match."""
+def lengths(word: bytes, toxic: bytes, ordinary: bytes) -> tuple[int, int]:
+    """The window's compressed length under the toxic dictionary, and under the better of the ordinary one and none."""
     window = b" " + word + b" " + ANCHOR
-    short = len(_compressor(toxic).compress(window))
-    far = len(_compressor(ordinary).compress(window)) - short
-    return far if far <= 0 else min(far, len(_compressor(b"").compress(window)) - short)
+    near, far, bare = (len(_compressor(d).compress(window)) for d in (toxic, ordinary, b""))
+    return near, min(far, bare)
 
 
 class Judge:
@@ -83,11 +86,10 @@ class Judge:
             if len(self.seen) > KEPT:
                 self.seen, fresh = set(), distinct
             self.seen |= fresh
-            limits = self.model.thresholds
+            m = self.model
             for word in fresh:
-                raw = word.encode()
-                limit = limits[len(raw)] if len(raw) < len(limits) else None
-                if limit is not None and margin(raw, self.model.toxic, self.model.ordinary) >= limit:
+                near, far = lengths(word.encode(), m.toxic, m.ordinary)
+                if near <= m.most and far - near >= m.gap:
                     self.toxic.add(word)
         return 0 if distinct.isdisjoint(self.toxic) else sum(w in self.toxic for w in words)
 
@@ -109,32 +111,13 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _calibrated(margins: list[tuple[int, int, int, int]]) -> tuple[int | None, ...]:
-    """Thresholds by length from (bytes, margin, words in toxic documents, words in ordinary ones).
-
-    Words of length 0 and margin 0 stand for all words.
-    """
-    whole = [max(1, sum(x[k] for x in margins if not x[0])) for k in (2, 3)]
-    by_length: dict[int, dict[int, list[int]]] = {}
-    for size, far, toxic, ordinary in margins:
-        cell = by_length.setdefault(size, {}).setdefault(far, [0, 0])
-        cell[0], cell[1] = cell[0] + toxic, cell[1] + ordinary
-    out: list[int | None] = [None] * (max(by_length, default=0) + 1)
-    for size, cells in by_length.items():
-        for far in sorted(cells, reverse=True):
-            toxic, ordinary = cells[far]
-            if far < 1 or toxic / whole[0] < LIFT * (ordinary + 1) / whole[1]:
-                break
-            out[size] = far
-    return tuple(out)
-
-
 def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from labelled rows whose crc32(id as text) mod 5 is not 0."""
     ship(docs.sparkSession)
     known = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select(F.col(doc_id).cast("bigint").alias("doc_id")), "doc_id", "left_semi")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*by_hash).limit(TOXIC_ROWS).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(ORDINARY_ROWS))
     # At most TOXIC_ROWS + ORDINARY_ROWS ids: small enough for every task, so that no text is shuffled.
@@ -147,46 +130,48 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     n = {r[0]: r[1] for r in passages.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         passages.unpersist()
-        return Model(b"", b"", (), (0.0,))
+        return Model(b"", b"", -1, 0, (0.0,))
     count = lambda k: F.count(F.when(F.col("toxic") == k, 1))
     marked = passages.select("toxic", F.explode(F.array_distinct("p")).alias("word")).groupBy("word").agg(count(1).alias("t"), count(0).alias("o"))
-    # A passage has PASSAGE words, so at most PASSAGE / SHARE words can be in so large a share of them.
-    marked = [r[0] for r in marked.where((F.col("t") >= SHARE * n[1]) & (F.col("t") / n[1] >= LIFT * (F.col("o") + 5) / n[0])).select("word").collect()]
+    least = max(LEAST, SHARE * rows.where("half = 0 AND toxic = 1").select("text").distinct().count())
+    marked = marked.where((F.col("t") >= least) & (F.col("t") / n[1] >= LIFT * (F.col("o") + 0.5) / n[0]))
+    marked = [r[0] for r in marked.orderBy(F.desc("t"), "word").limit(TOXIC_BYTES // len(ANCHOR)).collect()]
     ordinary = [f" {' '.join(r[0])} ".encode() for r in passages.where("toxic = 0").orderBy("h", "p").limit(ORDINARY_WINDOWS).select("p").collect()]
-    chosen = passages.where("toxic = 1").select(F.filter("p", lambda w: w.isin(marked)).alias("p"), "h").where(F.size("p") > 0) if marked else None
-    toxic = [f" {' '.join(r[0])} ".encode() for r in chosen.orderBy("h", "p").limit(ORDINARY_WINDOWS).collect()] if marked else []
     passages.unpersist()
-    if not toxic:
-        return Model(b"", b"", (), (0.0,))
-    pair = _dictionary(toxic, TOXIC_BYTES), _dictionary(ordinary, ORDINARY_BYTES)
+    if not marked:
+        return Model(b"", b"", -1, 0, (0.0,))
+    pair = b"".join(b" " + w.encode() + b" " + ANCHOR for w in reversed(marked))[-TOXIC_BYTES:], _dictionary(ordinary, ORDINARY_BYTES)
+    floor = min(lengths(w.encode(), *pair)[0] for w in marked)
+    tried = [(floor + over, gap) for over in OVER for gap in GAPS]
 
-    # The other half: margins by length and label, then documents by their number of toxic words.
-    tell = rows.where("half = 1").select("toxic", "text").persist()
+    # The other half: documents by their number of toxic windows under every pair of thresholds.
+    tell = rows.where("half = 1").select("toxic", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: Counter = Counter()
+        known: dict[str, list[int]] = {}
         for batch in pieces(batches, 1):
-            found = [Counter(), Counter()]
             for kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[kind > 0].update(WORD.findall((body or "").lower()))
-            for word in found[0] | found[1]:
-                raw = word.encode()
-                if (far := margin(raw, *pair)) > 0:
-                    cells[len(raw), far, 1] += found[1][word]
-                    cells[len(raw), far, 0] += found[0][word]
-            cells[0, 0, 1] += found[1].total()
-            cells[0, 0, 0] += found[0].total()
-        rows_ = [(size, far, cells[size, far, 1], cells[size, far, 0]) for size, far in {k[:2] for k in cells}]
-        yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows_], pa.int64()) for k, name in enumerate(("size", "far", "t", "o"))})
-
-    margins = tell.mapInArrow(measure, "size bigint, far bigint, t bigint, o bigint").groupBy("size", "far").agg(F.sum("t"), F.sum("o")).collect()
-    model = Model(*pair, _calibrated([tuple(r) for r in margins]), tuple(float(k) for k in range(COUNTS + 1)))
-    counted = scored(tell.select(F.lit(None).cast("bigint").alias("doc_id"), "text", "toxic"), model, keep="toxic")
-    table = np.zeros((COUNTS + 1, 2))
-    for score, kind, many in counted.groupBy("score", "toxic").count().collect():
-        table[int(score), int(kind > 0)] += many
-    tell.unpersist()
-    return replace(model, scores=_scores(table))
+                found: Counter = Counter()
+                for word, many in Counter(WORD.findall((body or "").lower())).items():
+                    if word not in known:
+                        if len(known) > KEPT:
+                            known.clear()
+                        near, far = lengths(word.encode(), *pair)
+                        known[word] = [c for c, (most, gap) in enumerate(tried) if near <= most and far - near >= gap]
+                    for c in known[word]:
+                        found[c] += many
+                for c in range(len(tried)):
+                    cells[c, min(found[c], COUNTS), int(kind > 0)] += 1
+        rows_ = [(*at, many) for at, many in cells.items()]
+        yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows_], pa.int64()) for k, name in enumerate(("pair", "windows", "toxic", "n"))})
+
+    tables = np.zeros((len(tried), COUNTS + 1, 2))
+    for c, windows, kind, many in tell.mapInArrow(measure, "pair bigint, windows bigint, toxic bigint, n bigint").groupBy("pair", "windows", "toxic").agg(F.sum("n")).collect():
+        tables[c, windows, kind] += many
+    told = [_scores(t) for t in tables]
+    best = int(np.argmax([(t * np.log([[1 - x, x] for x in s])).sum() for t, s in zip(tables, told, strict=True)]))
+    return Model(*pair, *tried[best], told[best])
 
 
 def _scores(table: np.ndarray) -> tuple[float, ...]:

@@ -31,9 +31,8 @@ def expected(spark):
     model = toxicity.trained(table(spark, SF, "documents"), table(spark, SF, "labels"))
 
     def toxic(text):
-        raw = [w.encode() for w in toxicity.WORD.findall(text.lower())]
-        limit = lambda w: model.thresholds[len(w)] if len(w) < len(model.thresholds) else None
-        n = sum(limit(w) is not None and toxicity.margin(w, model.toxic, model.ordinary) >= limit(w) for w in raw)
+        near = [toxicity.lengths(w.encode(), model.toxic, model.ordinary) for w in toxicity.WORD.findall(text.lower())]
+        n = sum(a <= model.most and b - a >= model.gap for a, b in near)
         return model.scores[min(n, len(model.scores) - 1)] >= 0.5
 
     docs = [d for d in docs if not toxic(d["text"])]
