@@ -56,15 +56,16 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (a signed 64-bit number) per row."""
+    """doc_id, fp (a signed 64-bit number) and a hash of the text per row."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             found = [fingerprint(t, words) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), batch.column(2)], names=["doc_id", "fp", "h"])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    raw = F.col(text).cast("string")
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), raw.cast("binary").alias("text"), F.xxhash64(raw).alias("h")).mapInArrow(run, "doc_id bigint, fp bigint, h bigint")
 
 
 class Tree:
@@ -217,6 +218,10 @@ def labels(edges: DataFrame, folder: str) -> DataFrame:
 
 def components(df: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+    return _grouped(df, words, radius, doc_id, text).select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _grouped(df: DataFrame, words: int, radius: int, doc_id: str, text: str) -> DataFrame:
     folder = work_dir(df.sparkSession, "simhash")
     prints = _kept(fingerprints(df, words, doc_id, text), f"{folder}/prints")
     name = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned(F.first("fp"), 2))
@@ -224,24 +229,36 @@ def components(df: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "do
     found = labels(_kept(links(nodes, radius), f"{folder}/edges"), folder)
     final = nodes.join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
     final = _kept(final.select("fp", F.when(F.col("label") < NAMELESS, F.col("label")).alias("component_id")), f"{folder}/components")
-    return prints.join(final, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return prints.join(final, "fp")
 
 
 def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column of the frame has it."""
+    while name in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def deduplicated(df: DataFrame, words: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the smallest id of each component, one per id, with all their columns.
+    """The rows of the smallest id of each component, with all their columns.
 
-    Rows without an id cannot be told apart and stay.
+    A row is told by its id and its text: of rows alike in both one stays, and where the smallest id has several
+    texts, one of each fingerprint stays (copies of another id go), so that no text is lost with a copy of another.
+    Rows without an id cannot be told apart and stay, as do ids of 2**62 and more, which have no component.
     """
-    found = components(df, words, radius, doc_id, text).where("doc_id is not null")
-    id_ = F.col(doc_id).cast("bigint")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = df.join(gone.hint("shuffle_hash"), id_ == F.col("_gone"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if repeated.isEmpty():
+    found = _grouped(df, words, radius, doc_id, text).where("doc_id IS NOT NULL")
+    stay = found.where("doc_id = component_id").groupBy("doc_id", "fp").agg(F.min("h").alias("h")).select("doc_id", "h")
+    of, hashed = _free(df, "_of"), _free(df, "_text_hash")
+    alike = [F.col(doc_id).cast("bigint") == F.col(of), F.xxhash64(F.col(text).cast("string")) == F.col(hashed)]
+    named = lambda x: x.select(F.col("doc_id").alias(of), F.col("h").alias(hashed))
+    gone = found.where("component_id IS NOT NULL").select("doc_id", "h").distinct().join(stay, ["doc_id", "h"], "left_anti")
+    left = df.join(named(gone), alike, "left_anti")
+    again = named(found.groupBy("doc_id", "h").count().where("count > 1"))
+    if again.isEmpty():
         return left
-    once = left.join(repeated, id_ == F.col("_again"), "left_semi").dropDuplicates([doc_id])
-    return left.join(repeated, id_ == F.col("_again"), "left_anti").unionByName(once)
+    once = left.join(again, alike, "left_semi").withColumn(hashed, F.xxhash64(F.col(text).cast("string"))).dropDuplicates([doc_id, hashed]).drop(hashed)
+    return left.join(again, alike, "left_anti").unionByName(once)

@@ -104,6 +104,17 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(2, "A b c d", "old", -1), (5, "other words stand here", "old", -1), (6, None, "old", -1)]
 
 
+def test_repeated_ids_lose_no_text_and_names_do_not_clash(spark):
+    x, y, z = "one text that stands here for a while", "quite another text of some other words", "and a third that is like none of them"
+    df = spark.createDataFrame([(2, x, 1, 1), (5, x, 2, 2), (5, y, 3, 3), (7, z, 4, 4), (7, z, 4, 4), (8, y, 5, 5), (2**62 + 1, "alone", 6, 6)], "doc_id bigint, text string, _gone int, _of int")
+    df = df.withColumn("_again", F.lit(0)).withColumn("_text_hash", F.lit(0))
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(2, x), (5, y), (7, z), (2**62 + 1, "alone")])
+    same = spark.createDataFrame([(7, x), (7, y), (7, y), (9, y)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in simhash.deduplicated(same).collect()) == sorted([(7, x), (7, y)])
+
+
 def edits(a, b):
     """Least edits between a and any stretch of b."""
     row = [0] * (len(b) + 1)
