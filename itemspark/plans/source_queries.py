@@ -52,7 +52,18 @@ def item_json_records(spark, sf):
     return rows.select("id", "source", "type", keys, F.array_join("correct", "").alias("correct"), F.array_join("images", "").alias("images"))
 
 
-DIGEST_SQL = """SELECT count(*) AS n_rows, bit_xor(CAST('0x' || left(md5(concat_ws(chr(31), o_custkey, strftime(o_orderdate, '%Y-%m-%d'), o_orderkey, o_orderpriority, o_orderstatus)), 15) AS BIGINT)) AS digest FROM orders"""
+ROW_BITS = "CAST('0x' || left(md5(concat_ws(chr(31), o_custkey, strftime(o_orderdate, '%Y-%m-%d'), o_orderkey, o_orderpriority, o_orderstatus)), 15) AS BIGINT)"
+DIGEST_SQL = f"SELECT count(*) AS n_rows, CAST(sum({ROW_BITS}) % 1152921504606846976 AS BIGINT) AS digest FROM orders"
+
+
+@register("snapshot_changes", """SELECT CAST(o_orderkey // 100 AS BIGINT) AS range_id, count(*) AS rows_before, CAST(count_if(o_orderpriority <> '5-LOW' OR o_orderstatus <> 'P') AS BIGINT) AS rows_after
+FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'P')""")
+def snapshot_changes(spark, sf):
+    """Ranges that differ after pending orders were closed, and those of low priority dropped."""
+    o = ad.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    pending = F.col("o_orderstatus") == "P"
+    after = o.where(~(pending & (F.col("o_orderpriority") == "5-LOW"))).withColumn("o_orderstatus", F.when(pending, "F").otherwise(F.col("o_orderstatus")))
+    return backup.changed_ranges(o, after, "o_orderkey", 100)
 
 
 @register("snapshot_digest", DIGEST_SQL)

@@ -172,11 +172,36 @@ def write_snapshot(df: DataFrame, path: str, key: Sequence[str]) -> None:
     df.select(*sorted(df.columns)).orderBy(*key).write.mode("errorifexists").json(path, lineSep="\n", ignoreNullFields=False)
 
 
-def rows_digest(df: DataFrame) -> DataFrame:
-    """Order-free content digest of a frame: row count and the xor of each row's leading md5 bits."""
+def _row_bits(df: DataFrame) -> Column:
+    """The leading 60 md5 bits of a row, columns by name."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
-    bits = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cols)), 1, 15), 16, 10).cast("bigint")
-    return df.select(bits.alias("_h")).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor("_h").alias("digest"))
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cols)), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def _added_up(bits: str) -> Column:
+    """Sum modulo 2**60: blind to order, but not to how often a row stands there."""
+    return F.coalesce((F.sum(bits) % F.lit(1 << 60).cast("decimal(38,0)")).cast("bigint"), F.lit(0).cast("bigint")).alias("digest")
+
+
+def rows_digest(df: DataFrame) -> DataFrame:
+    """Order-free content digest of a frame: row count and the sum, modulo 2**60, of each row's leading md5 bits."""
+    return df.select(_row_bits(df).alias("_h")).agg(F.count(F.lit(1)).alias("n_rows"), _added_up("_h"))
+
+
+def range_digests(df: DataFrame, key: str, width: int) -> DataFrame:
+    """Per range of ``width`` keys: range_id, n_rows, digest. Ranges add up to ``rows_digest`` (modulo 2**60)."""
+    rows = df.select(F.floor(F.col(key) / F.lit(width)).alias("range_id"), _row_bits(df).alias("_h"))
+    return rows.groupBy("range_id").agg(F.count(F.lit(1)).alias("n_rows"), _added_up("_h"))
+
+
+def changed_ranges(before: DataFrame, after: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """The key ranges in which two snapshots differ: range_id, rows_before, rows_after. Rows meet only as digests."""
+    a, b = (range_digests(x, key, width).select("range_id", F.col("n_rows").alias(f"rows_{n}"), F.col("digest").alias(f"_{n}")) for x, n in ((before, "before"), (after, "after")))
+    both = a.withColumn("_at", F.coalesce("range_id", F.lit(-1) - F.lit(1 << 62))).drop("range_id").join(
+        b.withColumn("_at", F.coalesce("range_id", F.lit(-1) - F.lit(1 << 62))).drop("range_id"), "_at", "full")
+    rows = [F.coalesce(f"rows_{n}", F.lit(0).cast("bigint")).alias(f"rows_{n}") for n in ("before", "after")]
+    at = F.when(F.col("_at") != F.lit(-1) - F.lit(1 << 62), F.col("_at")).alias("range_id")
+    return both.where(~F.col("_before").eqNullSafe(F.col("_after")) | ~F.col("rows_before").eqNullSafe(F.col("rows_after"))).select(at, *rows)
 
 
 def write_review_queue(queue: DataFrame, path: str) -> None:

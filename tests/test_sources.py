@@ -69,3 +69,15 @@ def test_scans_are_dealt_out_only_where_the_session_asks(spark):
         assert readers.dealt(df, "id").rdd.getNumPartitions() == 5
     finally:
         spark.conf.set("spark.itemspark.scan.tasks", asked)
+
+
+def test_digest_sees_pairs_and_names_changed_ranges(spark):
+    frame = lambda *x: spark.createDataFrame(list(x), "k bigint, v string")
+    digest = lambda *x: tuple(backup.rows_digest(frame(*x)).first())
+    assert digest((1, "a"), (1, "a")) != digest((1, "b"), (1, "b")) and digest((1, "a"), (2, "b")) == digest((2, "b"), (1, "a"))
+    assert tuple(backup.rows_digest(frame((1, "a")).where("false")).first()) == (0, 0)
+    old = frame((1, "a"), (2, "b"), (15, "c"), (25, "d"), (None, "n"))
+    new = frame((2, "b"), (1, "a"), (15, "x"), (36, "e"), (None, "m"))
+    got = sorted(tuple(r) for r in backup.changed_ranges(old, new, "k", 10).fillna(-9, ["range_id"]).collect())
+    assert got == [(-9, 1, 1), (1, 1, 1), (2, 1, 0), (3, 0, 1)]
+    assert backup.changed_ranges(old, old.repartition(3), "k", 10).isEmpty()
