@@ -8,6 +8,8 @@ from itemspark.operators import history as hist
 from itemspark.operators import progress as prog
 from itemspark.operators.scans import by_time
 from itemspark.plans import adapters as ad
+from itemspark.session import work_dir
+from itemspark.sources.stored import KeyedTable
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -211,6 +213,21 @@ def keyed_upsert(spark, sf):
     return out.select("user_id", "k", "event_id", "event_type")
 
 
+@register("stored_upsert", """SELECT user_id, CAST(k AS VARCHAR) AS k, event_id, event_type FROM (
+  SELECT user_id, json_extract_string(props, '$.k') AS k, event_id, event_type,
+         row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def stored_upsert(spark, sf):
+    """The same through a stored table: empty at first, then one upsert for each half."""
+    ev = ad.table(spark, sf, "events").select("user_id", F.get_json_object("props", "$.k").alias("k"), "event_id", "event_type", "ts")
+    cut = F.to_timestamp_ntz(F.lit("2024-01-15 12:00:00"))
+    keys = ["user_id", "k"]
+    stored = KeyedTable(work_dir(spark, "keyed"), keys, ev.schema, buckets=16)
+    stored.create(spark.createDataFrame([], ev.schema))
+    stored.upsert(ev.filter(F.col("ts") < cut), ["event_id"])
+    stored.upsert(ev.filter(F.col("ts") >= cut), ["event_id"])
+    return stored.read(spark).select("user_id", "k", "event_id", "event_type")
+
+
 @register("partial_patch", f"""{EVENT_STATE},
 marks AS (SELECT user_id AS learner, json_extract_string(props, '$.k') AS content_hash, arg_max(event_type, event_id) AS t,
                  max(event_id) AS e FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),

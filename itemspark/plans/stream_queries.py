@@ -10,6 +10,8 @@ from itemspark.plans.progress_queries import ts
 from itemspark.session import work_dir
 from itemspark.sources.backup import NUMBER, _is, _reason
 from itemspark.streaming import attempts as st
+from itemspark.streaming import keyed
+from itemspark.streaming import windows as win
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,6 +68,14 @@ def stream_review_state(spark, sf):
     return state_columns(st.folded(spark, root))
 
 
+@register("stream_review_state_keyed", PROGRESS_ORACLES["review_state"])
+def stream_review_state_keyed(spark, sf):
+    """The fold as keyed state of the engine, one summary per key and day, dropped when the day is over."""
+    with keyed.state_store(spark):
+        root = run_slices(spark, sf, keyed.keyed_runs, keyed.keep_changes, mode="update")
+    return state_columns(keyed.folded_changes(spark, root))
+
+
 @register("stream_sessions", """SELECT user_id AS learner, user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id, count(*) AS n,
   count(*) FILTER (event_type <> 'error') AS n_correct, max(event_id) AS last_event FROM events GROUP BY ALL""")
 def stream_sessions(spark, sf):
@@ -79,6 +89,40 @@ def stream_daily_activity(spark, sf):
     return st.latest(spark, root).select("day", "attempts", "n_correct")
 
 
+@register("stream_ended_sittings", """WITH gaps AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sitting FROM gaps)
+SELECT user_id AS learner, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at, count(*) AS n, count(*) FILTER (event_type <> 'error') AS n_correct
+FROM numbered GROUP BY user_id, sitting HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR""")
+def stream_ended_sittings(spark, sf):
+    """Sittings that end by two hours without an attempt; those still open at the last watermark stay in the state."""
+    root = run_slices(spark, sf, win.sittings_by_gap, keep_batches)
+    return spark.read.parquet(f"{root}/state").select("learner", ts("started_at"), ts("last_at"), "n", "n_correct")
+
+
+@register("stream_days_updated", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS learner, count(*) AS attempts, count(*) FILTER (event_type <> 'error') AS n_correct FROM events GROUP BY ALL")
+def stream_days_updated(spark, sf):
+    """Learners' days, emitted whenever they grow; the state holds the days still open, the table all of them."""
+    root = run_slices(spark, sf, lambda s: win.open_days(s, ["learner"]), win.day_table, mode="update")
+    return win.days(spark, root, ["learner"])
+
+
+@register("stream_days_over", """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS attempts, count(*) FILTER (event_type <> 'error') AS n_correct FROM events
+GROUP BY 1 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_days_over(spark, sf):
+    """Each day once, when it is over."""
+    root = run_slices(spark, sf, win.open_days, keep_batches)
+    return spark.read.parquet(f"{root}/state").select("day", "attempts", "n_correct")
+
+
+@register("stream_late_keys_replayed", PROGRESS_ORACLES["review_state"])
+def stream_late_keys_replayed(spark, sf):
+    """The middle slice comes last: keys it brings late attempts for are replayed, all others take theirs on top."""
+    schema = ad.attempts(spark, sf).withColumn("at", F.col("at").cast("timestamp")).schema
+    sink = lambda root: win.LateReplay(root, schema, buckets=16)
+    root = run_slices(spark, sf, lambda s: s, sink, (0, 2, 1))
+    return state_columns(sink(root).read(spark))
+
+
 @register("stream_late_attempts_replayed", PROGRESS_ORACLES["review_state"])
 def stream_late_attempts_replayed(spark, sf):
     """Slices arrive last first; the stored attempts are replayed by event time."""

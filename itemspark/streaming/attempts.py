@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from itemspark.operators.progress import KEYS, ORDER, chunk_runs, combine_runs, progress, state_of_runs
 from itemspark.sources.backup import judge
@@ -38,11 +39,12 @@ def daily_counts(stream: DataFrame, at: str = "at", delay: str = "1 day") -> Dat
     ).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "attempts", "n_correct")
 
 
-def run_to_end(stream: DataFrame, root: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def run_to_end(stream: DataFrame, root: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process everything available through ``sink`` and stop; the checkpoint lives below ``root``."""
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
              .foreachBatch(sink).trigger(availableNow=True).start())
     query.awaitTermination()
+    return query
 
 
 def version_path(root: str, epoch: int) -> str:
