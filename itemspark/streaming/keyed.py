@@ -8,7 +8,8 @@ per key and chunk, so nothing is written anew.
 
 Attempts of one chunk are folded batch after batch, within a batch by time. Those later than the watermark are counted
 and left out by the engine; ``windows.LateReplay`` is the path for them. Attempts without a time have no chunk and are
-left out too. Keys may be null.
+left out too. Keys may be null; they are cast to text and back, so they have types that this keeps. An attempt without
+a verdict is not a wrong one; one without a number comes first of its moment.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from itemspark.operators.progress import KEYS, ORDER, combine_runs, is_guess, state_of_runs
 
@@ -46,7 +46,7 @@ def folded_summary(held: tuple | None, attempts: Iterator[tuple]) -> tuple:
     wrong, n, wrongs, run, sure, first_at, first_id, first_guess, *last = held or (False, 0, 0, 0, 0, None, None, None, None, None, None, None)
     for at, number, correct, guess, confidence in attempts:
         n += 1
-        if not correct:
+        if correct is False:
             wrong, wrongs, run, sure, first_at, first_id, first_guess = True, wrongs + 1, 0, 0, None, None, None
         else:
             if not run:
@@ -59,12 +59,12 @@ def folded_summary(held: tuple | None, attempts: Iterator[tuple]) -> tuple:
 class Runs(StatefulProcessor):
     """Summaries of the keys of one shard and chunk."""
 
-    def __init__(self, keys: Sequence[str], key_schema: StructType):
-        self.keys, self.key_schema = list(keys), key_schema
+    def __init__(self, keys: Sequence[str]):
+        self.keys = list(keys)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.runs = handle.getMapState("runs", self.key_schema, SUMMARY)
+        self.runs = handle.getMapState("runs", ", ".join(f"`{k}` string" for k in self.keys), SUMMARY)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found: dict[tuple, list[tuple]] = {}
@@ -100,13 +100,14 @@ def keyed_runs(stream: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[st
     start = F.date_trunc(chunk, order[0])
     end = F.unix_millis(start + F.expr(f"INTERVAL 1 {chunk}"))
     rows = stream.withWatermark(order[0], delay).select(
-        F.pmod(F.xxhash64(*keys, start), F.lit(shards)).alias("_shard"), F.unix_micros(start).alias("_chunk"), end.alias("_end"), *keys, order[0],
-        F.unix_micros(order[0]).alias("_at"), F.col(order[1]).cast("bigint").alias("_id"), F.col("correct").alias("_correct"),
+        F.pmod(F.xxhash64(*keys, start), F.lit(shards)).alias("_shard"), F.unix_micros(start).alias("_chunk"), end.alias("_end"),
+        *[F.col(k).cast("string").alias(k) for k in keys], order[0],
+        F.unix_micros(order[0]).alias("_at"), F.coalesce(F.col(order[1]).cast("bigint"), F.lit(-1 << 63)).alias("_id"), F.col("correct").alias("_correct"),
         is_guess().alias("_guess"), F.col("confidence").alias("_confidence")).filter("_chunk IS NOT NULL")
-    key_schema = StructType([stream.schema[k] for k in keys])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema)
-    return rows.groupBy("_shard", "_chunk", "_end").transformWithStateInPandas(
-        Runs(keys, key_schema), f"{fields}, _chunk bigint, {SUMMARY}", "Update", "EventTime")
+    # Keys are text on the way: whole numbers with a null among them would come to Python as floats.
+    fields = ", ".join(f"`{k}` string" for k in keys)
+    changed = rows.groupBy("_shard", "_chunk", "_end").transformWithStateInPandas(Runs(keys), f"{fields}, _chunk bigint, {SUMMARY}", "Update", "EventTime")
+    return changed.select(*[F.col(k).cast(stream.schema[k].dataType).alias(k) for k in keys], *changed.columns[len(keys):])
 
 
 def keep_changes(root: str) -> Callable[[DataFrame, int], None]:
