@@ -73,11 +73,16 @@ def pool_adequacy(items: DataFrame, strata: DataFrame, paper: int = 60, papers:
     return out.withColumn("verdict", F.when(F.col("n") >= F.col("need"), "ok").otherwise("thin"))
 
 
-def quality_counters(items: DataFrame, parents: DataFrame) -> DataFrame:
-    base = items.agg(
+def bank_counters() -> list[Column]:
+    """Counters of a bank's rows as plain aggregates; a write can take them in its own pass (``written_counting``)."""
+    return [
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("parse_confidence") == "low").alias("low_confidence"),
         F.count_if(F.col("currency") == "suspect").alias("suspect"), F.count_if(F.col("currency") == "superseded").alias("superseded"),
-        F.count_if(it.blank(F.col("explanation"))).alias("no_explanation"), F.count_if(it.empty(F.col("refs"))).alias("no_reference"))
+        F.count_if(it.blank(F.col("explanation"))).alias("no_explanation"), F.count_if(it.empty(F.col("refs"))).alias("no_reference")]
+
+
+def quality_counters(items: DataFrame, parents: DataFrame) -> DataFrame:
+    base = items.agg(*bank_counters())
     cover = parents.agg(F.struct(F.count(F.lit(1)).alias("parents"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("children")).alias("c"))
     return base.withColumn("_c", cover.scalar()).select(*base.columns, "_c.*")
 

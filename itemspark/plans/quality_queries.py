@@ -11,6 +11,8 @@ from itemspark.operators.selection import strata_frame
 from itemspark.plans import adapters as ad
 from itemspark.plans.dump import CTE_ITEMS, dump_items
 from itemspark.plans.extract_queries import NOTED
+from itemspark.session import work_dir
+from itemspark.sources.stored import written_counting
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -63,6 +65,13 @@ def quality_counters(spark, sf):
     return q.quality_counters(d, idn.parent_groups(d, "doc_id"))
 
 
+@register("written_bank_counters", f"""WITH {CTE_LABELLED} SELECT count(*) AS total, count(*) FILTER (low) AS low_confidence, count(*) FILTER (currency = 'suspect') AS suspect,
+  count(*) FILTER (currency = 'superseded') AS superseded, count(*) FILTER (bare) AS no_explanation, count(*) FILTER (unreferenced) AS no_reference FROM docs""")
+def written_bank_counters(spark, sf):
+    """The bank's counters from the pass that writes it."""
+    return written_counting(labelled_docs(spark, sf), work_dir(spark, "counted"), q.bank_counters())
+
+
 @register("currency_statement", f"""WITH {CTE_LABELLED} SELECT count(*) AS total, count(*) FILTER (currency <> 'current') AS suspect, count(*) FILTER (low) AS low_confidence,
   count(*) FILTER (currency = 'superseded') AS superseded, count(*) FILTER (currency <> 'current' OR low) AS flagged, count(*) FILTER (NOT unreferenced) AS with_references FROM docs""")
 def currency_statement(spark, sf):

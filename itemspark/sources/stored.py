@@ -12,13 +12,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from itemspark.operators.history import patch, upsert
 
 
+def written_counting(rows: DataFrame, path: str, counters: Sequence[Column], mode: str = "errorifexists") -> DataFrame:
+    """Write the rows as Parquet and return one row of counters, taken in the pass that writes.
+
+    The counters are plain aggregates with names, computed where the rows are written, so nothing is scanned after it.
+    Of rows that the optimizer knows to be none nothing passes; their counters are taken from the empty frame.
+    """
+    spark, seen = rows.sparkSession, Observation()
+    none = rows.filter(F.lit(False)).agg(*counters)
+    rows.observe(seen, *counters).write.mode(mode).parquet(path)
+    found = seen.get
+    return spark.createDataFrame([tuple(found[c] for c in none.columns)], none.schema) if found else none
+
+
 class KeyedTable:
     def __init__(self, root: str, keys: Sequence[str], schema: StructType, buckets: int = 64):
         self.root, self.keys, self.schema, self.buckets = root, list(keys), schema, buckets

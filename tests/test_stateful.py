@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from itemspark.operators import history as hist
 from itemspark.operators import progress as prog
-from itemspark.sources.stored import KeyedTable
+from itemspark.sources.stored import KeyedTable, written_counting
 from itemspark.streaming import attempts as st
 from itemspark.streaming import keyed
 from itemspark.streaming import windows as win
@@ -71,6 +71,15 @@ def test_a_patch_of_a_stored_table(spark, tmp_path):
     assert stored.upsert(base.filter("false").withColumn("version", F.lit(1)), ["version"]) == []
 
 
+def test_counters_of_the_pass_that_writes(spark, tmp_path):
+    rows = spark.range(50).withColumn("odd", F.col("id") % 2 == 1)
+    counters = [F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("odd"), F.max("id").alias("last")]
+    for k, (frame, want) in enumerate([(rows, (50, 25, 49)), (rows.filter("id < 0"), (0, 0, None)), (rows.filter("false"), (0, 0, None))]):
+        got = written_counting(frame, str(tmp_path / str(k)), counters)
+        assert [tuple(r) for r in got.collect()] == [want]
+        assert spark.read.parquet(str(tmp_path / str(k))).count() == want[0]
+
+
 def test_only_the_buckets_asked_for_are_scanned(spark, tmp_path):
     base = spark.range(100).select("id", F.lit(0).alias("version"))
     stored = KeyedTable(str(tmp_path / "t"), ["id"], base.schema, buckets=8)
