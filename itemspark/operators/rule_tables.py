@@ -3,8 +3,8 @@
 ``classify`` expands rules into the plan, which suits a few dozen. Here the patterns are rows. From each pattern a
 literal that every match must contain is derived, and one n-gram of that literal is posted in an inverted table of
 ``BUCKETS`` lists. The table reaches the tasks as one value (a scalar subquery), so a text is matched where it is
-read: its distinct n-grams are exploded, each names its candidate patterns, and a candidate is verified, first by its
-literal, then by the pattern held in the row. Texts are neither joined nor shuffled; only matches (key and rule)
+read: the distinct n-grams of its distinct words name candidate patterns, and a candidate is verified within the
+text's row, first by its literal, then by the pattern held in the row. Texts are neither joined nor shuffled; only matches (key and rule)
 leave the scan. The plan does not depend on the number of patterns, except that a table above ``SHARD`` patterns is
 dealt into several such values. Patterns without a literal of n characters are tried on every text.
 
@@ -26,6 +26,8 @@ from itemspark.operators.classify import Rule, resolve
 from itemspark.operators.stages import stage
 
 GRAM, BUCKETS, SHARD = 3, 1 << 14, 20_000
+#: The longer n-gram, taken where at most ``FEW`` patterns have a literal too short for it.
+LONG, FEW = 5, 64
 IGNORE_CASE, CASE = "(?iU)", "(?U)"
 
 
@@ -55,21 +57,26 @@ def mandatory_literal(pattern: Column) -> Column:
     return F.when(pattern.rlike(r"[|()]|\[[^\]]*\[|&&|\\Q"), "").otherwise(longest)
 
 
-def grams(text: Column) -> Column:
-    """All n-grams of a text, in one pass."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * GRAM}))"), 1)
+def grams(text: Column, n: int = GRAM) -> Column:
+    """All n-grams without a blank of a text, in one pass."""
+    return F.regexp_extract_all(text, F.lit(rf"(?=(\S{{{n}}}))"), 1)
+
+
+def vocabulary(text: Column) -> Column:
+    """The distinct words of a text, a blank apart: it holds what has no blank in it exactly where the text does."""
+    return F.array_join(F.array_distinct(F.split(text, r"\s+")), " ")
 
 
 def bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def _numbered(patterns: DataFrame) -> DataFrame:
+def _numbered(patterns: DataFrame, n: int = GRAM) -> DataFrame:
     """Patterns with a place, their literal and the bucket of the literal's gram that fewest literals share."""
     rows = patterns.where("pattern IS NOT NULL").distinct().withColumn("literal", mandatory_literal(F.col("pattern")))
     # The rule table is small beside the texts: one task numbers it.
     rows = rows.withColumn("at", F.row_number().over(Window.orderBy(*sorted(patterns.columns))) - 1)
-    own = rows.select("at", F.explode(F.array_distinct(grams(F.col("literal")))).alias("gram"))
+    own = rows.select("at", F.explode(F.array_distinct(grams(F.col("literal"), n))).alias("gram"))
     shared = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     best = own.join(shared, "gram").groupBy("at").agg(F.min_by(bucket(F.col("gram")), F.struct("n", "gram")).alias("bucket"))
     return rows.join(best, "at", "left")
@@ -86,20 +93,29 @@ def _index(numbered: DataFrame) -> Column:
 def matches(docs: DataFrame, key: Sequence[str], text: Column, patterns: DataFrame, flags: str = IGNORE_CASE, shard: int = SHARD) -> DataFrame:
     """One row per text and pattern found in it: the key and the pattern's columns (``pattern`` and any others)."""
     kept = [c for c in patterns.columns if c not in key]
-    many = max(1, -(-patterns.where("pattern IS NOT NULL").count() // shard))
+    size = F.length(mandatory_literal(F.col("pattern")))
+    count, short = patterns.where("pattern IS NOT NULL").agg(F.count(F.lit(1)), F.count_if((size >= GRAM) & (size < LONG))).first()
+    many, n = max(1, -(-count // shard)), LONG if short <= FEW else GRAM
     parts = [patterns.select(*kept) if many == 1 else patterns.select(*kept).where(F.pmod(F.xxhash64("pattern"), F.lit(many)) == s) for s in range(many)]
     rows = stage(docs, {"_fold": folded(text), "_text": text}, keep=list(key))
+    rows = stage(rows, {"_words": vocabulary(F.col("_fold"))})
     every = F.array(F.lit(BUCKETS))
-    rows = stage(rows, {"_buckets": F.concat(every, F.array_distinct(F.transform(grams(F.col("_fold")), bucket)))})
+    rows = stage(rows, {"_buckets": F.concat(every, F.array_distinct(F.transform(F.array_distinct(grams(F.col("_words"), n)), bucket)))})
+    # A plain pattern found in the lower-cased text needs no regular expression (compiled anew for every candidate).
+    plain = F.col("pattern").rlike(r"\A[A-Za-z0-9_ ]+\z") if flags in (IGNORE_CASE, CASE) else F.lit(False)
+    found_plain = F.when(plain, F.lower("pattern") if flags == IGNORE_CASE else F.col("pattern"))
+    rows = stage(rows, {"_search": F.lower("_text") if flags == IGNORE_CASE else F.col("_text")})
     out = None
     for part in parts:
-        numbered = _numbered(part)
-        table = numbered.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.struct("literal", F.struct(*kept).alias("row")).alias("e")))), lambda x: x["e"]).alias("t")).scalar()
-        found = rows.select(*key, "_text", "_fold", F.explode("_buckets").alias("_bucket"))
-        found = found.select(*key, "_text", "_fold", F.explode(F.get(_index(numbered), F.col("_bucket"))).alias("_at"))
-        found = found.withColumn("_e", F.get(table, F.col("_at")))
-        found = found.where(F.contains("_fold", F.col("_e.literal")) & F.rlike("_text", F.concat(F.lit(flags), F.col("_e.row.pattern"))))
-        found = found.select(*key, "_e.row.*")
+        numbered = _numbered(part, n)
+        entry = F.struct("literal", F.col("literal").rlike(r"\s").alias("blank"), found_plain.alias("plain"), F.struct(*kept).alias("row"))
+        table = numbered.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", entry.alias("e")))), lambda x: x["e"]).alias("t")).scalar()
+        # Candidates are verified within the text's row: a row per candidate would carry the text along.
+        found = rows.withColumns({"_index": _index(numbered), "_table": table})
+        candidates = F.flatten(F.transform("_buckets", lambda b: F.get("_index", b)))
+        verified = F.filter(F.transform(candidates, lambda at: F.get("_table", at)), lambda e: F.contains(F.when(e["blank"], F.col("_fold")).otherwise(F.col("_words")), e["literal"]) & (
+            F.coalesce(F.contains("_search", e["plain"]), F.lit(False)) | F.rlike("_text", F.concat(F.lit(flags), e["row"]["pattern"]))))
+        found = found.select(*key, F.explode(F.transform(verified, lambda e: e["row"])).alias("_row")).select(*key, "_row.*")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -78,3 +78,16 @@ def test_empty_tables_and_notes(spark):
     terms = spark.createDataFrame([(2, "needle", "n"), (1, "xx", "first"), (3, "yy", "n"), (4, "Needle", "case")], "place int, pattern string, note string")
     got = {r["id"]: r["notes"] for r in rt.notes(df, ["id"], F.col("body"), terms).collect()}
     assert got[7] == ["first", "n"] and got[9] == [] and len(got) == len(TEXTS)
+
+
+def test_no_row_per_candidate_carries_the_text(spark):
+    plan = rt.matches(docs(spark), ["id"], F.col("body"), rt.rule_rows(spark, rules()))._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.split("\n") if "Generate explode(" in line]
+    assert generators and not any("_buckets" in line or "[_bucket" in line for line in generators)
+
+
+def test_literals_in_and_across_words(spark):
+    df = spark.createDataFrame([(1, "one  two\nthree threefold"), (2, "one two"), (3, "xthreefoldy"), (4, None), (5, "Straße STRASSE"), (6, "Kelvin's")], "id int, body string")
+    rules_ = spark.createDataFrame([(0, "one two"), (1, "threefold"), (2, r"two\s+three"), (3, "e t"), (4, "strasse"), (5, "kelvin"), (6, "ab")], "rule_id int, pattern string")
+    got = {(r["id"], r["rule_id"]) for r in rt.matches(df, ["id"], F.col("body"), rules_).collect()}
+    assert got == {(1, 1), (1, 2), (2, 0), (2, 3), (3, 1), (5, 4), (6, 5)}
