@@ -96,10 +96,13 @@ def option_pieces(head: Column) -> Column:
 
 
 def options_of(pieces: Column) -> Column:
-    """A body runs to the next label, even a repeated one; the first item of a label is kept."""
+    """A body runs to the next label, even a repeated one; the first item of a label is kept.
+
+    Only kept bodies are cleaned, each once: a lambda evaluates anew what it refers to outside.
+    """
     found = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda p: F.struct(
-        F.substring_index(p, TAG, 1).alias("key"), clean_block(F.substring_index(p, TAG, -1)).alias("text")))
-    return first_by(found, "key").cast(OPTIONS_TYPE)
+        F.substring_index(p, TAG, 1).alias("key"), F.substring_index(p, TAG, -1).alias("text")))
+    return F.transform(first_by(found, "key"), lambda o: F.struct(o["key"].alias("key"), clean_block(o["text"]).alias("text"))).cast(OPTIONS_TYPE)
 
 
 def first_by(items: Column, field: str) -> Column:

@@ -143,3 +143,9 @@ def test_hosts_and_languages(spark):
     assert one(spark, "https://www.Ex.com/a", t.host_of) == "ex.com" and one(spark, "not a url", t.host_of) == "not a url"
     assert one(spark, " <a></a>", t.code_language) == "xml"
     assert one(spark, "public sealed class A", t.code_language) == "csharp" and one(spark, "let x", t.code_language) == "javascript"
+
+
+def test_an_option_body_is_cleaned_once(spark):
+    assert str(t.options_of(F.col("p"))).count("{3,}") == 1
+    text = "Stem\n" + "".join(f"{'ABCDEF'[i % 6]}.body {i}\n\n\n\nmore\n" for i in range(12))
+    assert [(o["key"], o["text"]) for o in one(spark, text, lambda c: t.options_of(t.option_pieces(c)))] == [("ABCDEF"[i], f"body {i}\n\nmore") for i in range(6)]
