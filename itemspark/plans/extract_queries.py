@@ -163,7 +163,7 @@ def parse_notes(spark, sf):
 @register("parse_notes_second_source", f"""WITH {CTE_ITEMS} SELECT doc_id, id,
   CASE WHEN len(correct) = 0 THEN 'no answer key in DOCX text' ELSE '' END AS notes, CASE WHEN len(correct) = 0 THEN 'low' ELSE 'high' END AS confidence FROM items""")
 def parse_notes_second_source(spark, sf):
-    return raw_items(spark, sf, "b").select("doc_id", "id", F.array_join("parse_notes", "; ").alias("notes"), F.col("parse_confidence").alias("confidence"))
+    return raw_items(spark, sf, "b", ["parse_notes", "parse_confidence"]).select("doc_id", "id", F.array_join("parse_notes", "; ").alias("notes"), F.col("parse_confidence").alias("confidence"))
 
 
 @register("page_links", """SELECT page_id, array_to_string(list_transform(list_distinct_in_order, lambda x: x), ' ') AS links FROM (

@@ -149,3 +149,17 @@ def test_an_option_body_is_cleaned_once(spark):
     assert str(t.options_of(F.col("p"))).count("{3,}") == 1
     text = "Stem\n" + "".join(f"{'ABCDEF'[i % 6]}.body {i}\n\n\n\nmore\n" for i in range(12))
     assert [(o["key"], o["text"]) for o in one(spark, text, lambda c: t.options_of(t.option_pieces(c)))] == [("ABCDEF"[i], f"body {i}\n\nmore") for i in range(6)]
+
+
+def test_a_text_is_evaluated_once_however_often_a_rewrite_mentions_it(spark):
+    df = spark.createDataFrame([(" a \n-\n\n\n\fb-\t",), (None,), ("",)], "text string")
+    out = df.select(t.clean_block(F.upper("text")).alias("x"), t.legacy_notes(F.lower("text")).alias("y"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1 and plan.count("lower(") == 1
+    assert [tuple(r) for r in out.collect()] == [("A\n\nB-", None), (None, None), ("", None)]
+
+
+def test_second_source_notes_extract_no_more_than_they_tell(spark):
+    from itemspark.plans.extract_queries import parse_notes_second_source
+    plan = parse_notes_second_source(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "no answer key in DOCX text" in plan and "Reference[s]" not in plan
