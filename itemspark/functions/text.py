@@ -6,6 +6,8 @@ and ``.`` from treating anything but a newline as the end of a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,26 +29,34 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def _if_any(text: Column, needles: tuple[str, ...], changed: Column) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is evaluated a single time; written out, it is evaluated at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _if_any(text: Column, needles: tuple[str, ...], change: Callable[[Column], Column]) -> Column:
     """Run a rewrite only on text holding one of the needles; a substring test is far cheaper than a regex."""
-    hit = text.contains(needles[0])
-    for n in needles[1:]:
-        hit = hit | text.contains(n)
-    return F.when(hit, changed).otherwise(text)
+    def rewritten(t: Column) -> Column:
+        hit = t.contains(needles[0])
+        for n in needles[1:]:
+            hit = hit | t.contains(n)
+        return F.when(hit, change(t)).otherwise(t)
+    return once(text, rewritten)
 
 
 def normalise_block(text: Column, watermark: str | None = None) -> Column:
     """Watermark out, page breaks to newlines, trailing blanks off. Runs before any sectioning."""
     if watermark:
         text = F.regexp_replace(text, watermark, " ")
-    text = F.replace(text, F.lit("\f"), F.lit("\n"))
-    return _if_any(text, (" \n", "\t\n"), F.regexp_replace(text, r"[ \t]+\n", "\n"))
+    # Split and joined, since replace compares at every byte.
+    text = _if_any(text, ("\f",), lambda x: F.array_join(F.split(x, "\f"), "\n"))
+    return _if_any(text, (" \n", "\t\n"), lambda x: F.regexp_replace(x, r"[ \t]+\n", "\n"))
 
 
 def clean_block(text: Column, watermark: str | None = None) -> Column:
     text = normalise_block(text, watermark)
-    text = _if_any(text, ("-",), F.regexp_replace(text, r"(?md)^[ \t]*-[ \t]*$\n?", ""))
-    return strip(_if_any(text, ("\n\n\n",), F.regexp_replace(text, r"\n{3,}", "\n\n")))
+    text = _if_any(text, ("-",), lambda x: F.regexp_replace(x, r"(?md)^[ \t]*-[ \t]*$\n?", ""))
+    return strip(_if_any(text, ("\n\n\n",), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n")))
 
 
 def strip_markers(text: Column) -> Column:
@@ -174,18 +184,20 @@ def infer_type(declared: Column, correct: Column) -> Column:
 
 
 def _mentions(text: Column, pattern: str) -> Column:
-    """Regex test, preceded (or replaced) by a substring test where the pattern is a literal."""
+    """Regex test, preceded (or replaced) by a substring test where the pattern is a literal.
+
+    A literal that begins in lower case is left to the regex, which skips ahead; the substring test would stop at every such letter.
+    """
     literal = pattern.replace(r"\b", "").replace(r"\.", ".")
-    if any(ch in literal for ch in "\\[](){}*+?|^$") or "." in pattern.replace(r"\.", ""):
+    if any(ch in literal for ch in "\\[](){}*+?|^$") or "." in pattern.replace(r"\.", "") or literal[:1].islower():
         return text.rlike(f"(?U){pattern}")
     return text.contains(literal) & text.rlike(f"(?U){pattern}") if r"\b" in pattern else text.contains(literal)
 
 
 def legacy_notes(text: Column, terms=k.LEGACY_TERMS) -> Column:
     """Distinct notes, in rule order, of the legacy terms the text uses (case-sensitive); null if none."""
-    hits = F.array(*[F.when(_mentions(text, p), F.lit(note)) for p, note in terms])
-    notes = F.array_join(F.array_distinct(F.filter(hits, lambda x: x.isNotNull())), " ")
-    return F.when(notes != "", notes)
+    hits = once(text, lambda x: F.array(*[F.when(_mentions(x, p), F.lit(note)) for p, note in terms]))
+    return once(F.array_join(F.array_distinct(F.filter(hits, lambda x: x.isNotNull())), " "), lambda notes: F.when(notes != "", notes))
 
 
 def host_of(url: Column) -> Column:

@@ -101,7 +101,7 @@ def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", wat
     """
     c = F.col
     no_boxes = F.array().cast(t.BOXES_TYPE)
-    bounds = lambda: [t.match_end(c("_tail"), c("_e")), F.length(F.get("_r", F.lit(0))), t.match_end(c("_tail"), c("_r"))]
+    bounds = lambda: [c("_e_end"), c("_r_start"), c("_r_end")]
     stem = lambda: t.background_and_stem(c("_region"), c("_paragraphs"))["stem"]
     low = lambda: low_confidence() if source == "a" else F.size("parse_notes") > 0
     notes = ["stem", "type", "options", "correct", *(["boxes", "currency_note"] if source == "a" else [])]
@@ -118,8 +118,11 @@ def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", wat
         "_r": (["_tail"], lambda: t.around_match(c("_tail"), k.REFERENCE)),
         "_region": (["_pieces"], lambda: t.clean_block(F.get("_pieces", F.lit(0)))),
         "options": (["_pieces"], lambda: t.options_of(c("_pieces"))),
-        "_expl": (["_tail", "_e", "_r"], lambda: t.sections(c("_tail"), *bounds())["_expl"]),
-        "_refs": (["_tail", "_e", "_r"], lambda: t.sections(c("_tail"), *bounds())["_refs"]),
+        "_e_end": (["_tail", "_e"], lambda: t.match_end(c("_tail"), c("_e"))),
+        "_r_start": (["_r"], lambda: F.length(F.get("_r", F.lit(0)))),
+        "_r_end": (["_tail", "_r"], lambda: t.match_end(c("_tail"), c("_r"))),
+        "_expl": (["_tail", "_e_end", "_r_start", "_r_end"], lambda: t.sections(c("_tail"), *bounds())["_expl"]),
+        "_refs": (["_tail", "_e_end", "_r_start", "_r_end"], lambda: t.sections(c("_tail"), *bounds())["_refs"]),
         "_paragraphs": (["_region"], lambda: t.background_paragraphs(c("_region"))),
         "explanation": (["_expl"], lambda: t.clean_block(c("_expl"))),
         "_own": (["_refs"], lambda: t.harvest_urls(c("_refs"))),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from itemspark.functions import items as it
 from itemspark.functions.identity import content_hash
-from itemspark.functions.text import legacy_notes
+from itemspark.functions.text import legacy_notes, once
 from itemspark.operators.extract import FIELDS, extract_fields, segments
 from itemspark.operators.stages import stage
 from itemspark.plans.adapters import documents
@@ -24,9 +24,12 @@ L = F.lit
 
 
 def _block(line: Column, i: Column) -> Column:
-    n = F.length(line)
     words = F.split(line, " ")
-    first, last, size = F.element_at(words, 1), F.element_at(words, -1), F.size(words)
+    told = F.struct(F.length(line).alias("n"), F.element_at(words, 1).alias("first"), F.element_at(words, -1).alias("last"), F.size(words).alias("size"))
+    return once(told, lambda x: _written(line, i, x["n"], x["first"], x["last"], x["size"]))
+
+
+def _written(line: Column, i: Column, n: Column, first: Column, last: Column, size: Column) -> Column:
     num, choice = n.cast("string"), n % 3 == 0
     none = L("")
     return F.concat(
