@@ -2,8 +2,9 @@
 
 The state of a key is one run summary per chunk of time (a day, say), the same summaries that the batch fold adds up.
 Chunks of a key lie in different shards, so a hot key is worked on by as many tasks as it has open chunks, and what a
-shard holds is one map of summaries per chunk. An event-time timer drops the map when the watermark passes the chunk's
-end: the state holds open chunks only. Every change of a summary is emitted; a table of the changes takes the newest
+shard holds is one list of summaries per chunk, of which the last of a key counts. It is read and appended to in pieces,
+so that the trips between Python and the store follow the shards and not the keys. An event-time timer drops the list when
+the watermark passes the chunk's end: the state holds open chunks only. Every change of a summary is emitted; a table of the changes takes the newest
 per key and chunk, so nothing is written anew.
 
 Attempts of one chunk are folded batch after batch, within a batch by time. Those later than the watermark are counted
@@ -26,6 +27,8 @@ from itemspark.operators.progress import KEYS, ORDER, combine_runs, is_guess, st
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Summaries that go to the store in one message.
+PIECE = 1_000
 SUMMARY = ("has_wrong boolean, n bigint, wrongs bigint, run_len bigint, run_sure bigint, first_at bigint, first_id bigint, first_guess boolean, "
            "last_at bigint, last_id bigint, last_correct boolean, last_confidence string")
 
@@ -64,23 +67,31 @@ class Runs(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.runs = handle.getMapState("runs", ", ".join(f"`{k}` string" for k in self.keys), SUMMARY)
+        self.runs = handle.getListState("runs", ", ".join([*[f"`{k}` string" for k in self.keys], SUMMARY]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found: dict[tuple, list[tuple]] = {}
         for part in rows:
             # By position, since computed columns arrive without their names: shard, chunk, end, keys, time, then the attempt.
             places = [*range(3, 3 + len(self.keys)), *range(4 + len(self.keys), part.shape[1])]
-            columns = [[None if pd.isna(v) else v for v in part.iloc[:, k].tolist()] for k in places]
+            columns = [part.iloc[:, k].astype(object).where(part.iloc[:, k].notna(), None).tolist() for k in places]
             for row in zip(*columns, strict=True):
                 found.setdefault(row[:len(self.keys)], []).append(row[len(self.keys):])
+        held, listed = {}, 0
+        for row in self.runs.get():
+            held[tuple(row[:len(self.keys)])] = tuple(row[len(self.keys):])
+            listed += 1
         out = []
         for name, attempts in found.items():
-            held = self.runs.getValue(name)
             attempts.sort(key=lambda r: (r[0], r[1]))
-            now = folded_summary(tuple(held) if held else None, attempts)
-            self.runs.updateValue(name, now)
+            held[name] = now = folded_summary(held.get(name), attempts)
             out.append((*name, key[1], *now))
+        written = [(*name, *held[name]) for name in found]
+        if listed + len(written) > 2 * len(held):  # more than half would be outdated
+            self.runs.clear()
+            written = [(*name, *now) for name, now in held.items()]
+        for k in range(0, len(written), PIECE):
+            self.runs.appendList(written[k:k + PIECE])
         if not list(self.handle.listTimers()):
             self.handle.registerTimer(key[2])
         names = [*self.keys, "_chunk", *[c.split()[0] for c in SUMMARY.split(", ")]]

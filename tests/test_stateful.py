@@ -152,3 +152,40 @@ def test_a_replay_scans_the_buckets_of_late_keys(spark, tmp_path):
     sink(df, 0)
     plan = sink.stored(spark, [2])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(_bucket" in plan and "(_bucket" in plan
+
+
+def test_trips_to_the_store_follow_the_shards_not_the_keys():
+    import pandas as pd
+
+    class Store:
+        def __init__(self):
+            self.rows, self.trips = [], 0
+
+        def get(self):
+            return iter(list(self.rows))
+
+        def appendList(self, rows):
+            self.rows += rows
+            self.trips += 1
+
+        def clear(self):
+            self.rows, self.trips = [], self.trips + 1
+
+    class Handle:
+        def getListState(self, name, schema):
+            return store
+
+        def listTimers(self):
+            return iter([1])
+
+    store, runs = Store(), keyed.Runs(["learner"])
+    runs.init(Handle())
+    feed_of = lambda ids, at: iter([pd.DataFrame([(0, 7, 9, name, None, at, i, True, False, "unsure") for i, name in enumerate(ids)])])
+    names = [None, *map(str, range(2_499))]
+    newest = {}
+    for batch, ids in enumerate([names, names[:3], names, names]):
+        (out,) = runs.handleInputRows((0, 7, 9), feed_of(ids, batch), None)
+        newest |= {row[0]: (row[1], row[3]) for row in out.itertuples(index=False)}
+        assert len(out) == len(ids) and len(store.rows) <= 2 * len(names)
+    assert store.trips <= 12
+    assert newest == {name: (7, 4 if name in names[:3] else 3) for name in names}
