@@ -115,7 +115,7 @@ def matches(docs: DataFrame, key: Sequence[str], text: Column, patterns: DataFra
         candidates = F.flatten(F.transform("_buckets", lambda b: F.get("_index", b)))
         verified = F.filter(F.transform(candidates, lambda at: F.get("_table", at)), lambda e: F.contains(F.when(e["blank"], F.col("_fold")).otherwise(F.col("_words")), e["literal"]) & (
             F.coalesce(F.contains("_search", e["plain"]), F.lit(False)) | F.rlike("_text", F.concat(F.lit(flags), e["row"]["pattern"]))))
-        found = found.select(*key, F.explode(F.transform(verified, lambda e: e["row"])).alias("_row")).select(*key, "_row.*")
+        found = stage(found, {"_rows": F.transform(verified, lambda e: e["row"])}, keep=list(key)).select(*key, F.explode("_rows").alias("_row")).select(*key, "_row.*")
         out = found if out is None else out.unionByName(found)
     return out
 
