@@ -346,3 +346,28 @@ def test_main_text_of_the_table(spark):
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"<(?:/?p|/?h1)>", inner.replace("<br>", " "))]
         assert r["text"] == "\n".join(x for x in parts if x)
+
+
+def test_shared_runs_decide_within_main_elements(spark, monkeypatch):
+    notice = "sign in to keep reading and get every story of this site by mail"
+    card = "the one story that everybody reads on this site today"
+    quote = "a passage that a few of the articles quote word by word from one source"
+    story = [" ".join(f"story{k}word{n}" for n in range(20)) for k in range(3)]
+    bodies = [f"<nav>menu</nav><article><h1>title{k}</h1><p>{notice}</p><p>own{k} words{k}</p>{f'<p>{quote}</p>' if k % 3 == 0 else ''}<p>end{k} {notice}</p></article><div>loose{k}</div>" for k in range(12)]
+    bodies += [f"<article>{card}</article><div>{notice}</div><p>{story[k]}</p>" if k < 3 else f"<article>{card}</article><p>short{k}</p>" for k in range(20)]
+    rows = [(k, f"http://h.com/{k}", b) for k, b in enumerate(bodies)] + [(k, "http://i.com/", f"<article><p>{notice}</p><p>x{k}</p></article>") for k in range(100, 107)]
+    rows += [(None, "http://j.com/", f"<main><p>{notice}</p><p>y{k}</p></main>") for k in range(9)] + [(200, "http://k.com/", f"<main><p>{notice}</p><p>y{k}</p></main>") for k in range(9)]
+    # Only the cards stand on most pages of h.com; i.com has too few pages, k.com one that comes nine times.
+    want = {(k, f"title{k}\n{notice}\nown{k} words{k}{f'{chr(10)}{quote}' if k % 3 == 0 else ''}\nend{k} {notice}"): 1 for k in range(12)}
+    want |= {(12 + k, story[k] if k < 3 else card): 1 for k in range(20)}
+    want |= {(k, f"{notice}\nx{k}"): 1 for k in range(100, 107)} | {(None, f"y{k}"): 1 for k in range(9)} | {(200, f"{notice}\ny{k}"): 1 for k in range(9)}
+    whole = collections.Counter((r["page_id"], r["text"]) for r in maintext.extracted(pages(spark, rows)).collect())
+    assert whole == want
+    # With a page less of the cards and the notice on six more, the notice is what most pages hold.
+    more = [(k, u, f"<article><p>{notice}</p>{b}</article>" if k in range(14, 26) else b) for k, u, b in rows if u != "http://h.com/31"]
+    found = collections.Counter((r["page_id"], r["text"]) for r in maintext.extracted(pages(spark, more)).collect())
+    assert found[0, f"title0\nown0 words0\n{quote}\nend0 {notice}"] == found[1, f"title1\nown1 words1\nend1 {notice}"] == 1
+    for part in (2, 7):
+        monkeypatch.setattr(maintext, "PART", part)
+        assert collections.Counter((r["page_id"], r["text"]) for r in maintext.extracted(pages(spark, rows)).collect()) == whole
+        assert collections.Counter((r["page_id"], r["text"]) for r in maintext.extracted(pages(spark, more)).collect()) == found
