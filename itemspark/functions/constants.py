@@ -83,6 +83,7 @@ ANSWER_LINE = r"^[ \t]*Answer:"
 EXPLANATION = r"^[ \t]*Explanation:[ \t]*$"
 REFERENCE = r"^[ \t]*Reference[s]?:[ \t]*$"
 TYPE_MARKER = r"^[ \t]*(HOTSPOT|DRAG DROP)\b[ \t]*-?[ \t]*"
+DECLARED_WORDS = ("HOTSPOT", "DRAG DROP")
 BOX = r"Box\s*(\d+)\s*:\s*(.+?)(?=\s*(?:Box\s*\d+\s*:|$))"
 URL = r"https?://[^\s)>\]]+"
 SHARED_BACKGROUND = r"This is a case study\."

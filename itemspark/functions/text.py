@@ -61,8 +61,8 @@ def clean_block(text: Column, watermark: str | None = None) -> Column:
 
 def strip_markers(text: Column) -> Column:
     """Drop item markers, answer tokens and type markers wherever they stand."""
-    text = F.regexp_replace(F.regexp_replace(text, k.MARKER_INLINE, ""), "Answer:", "")
-    return F.regexp_replace(text, f"(?md){k.TYPE_MARKER}", "")
+    text = _if_any(F.regexp_replace(text, k.MARKER_INLINE, ""), ("Answer:",), lambda x: F.regexp_replace(x, "Answer:", ""))
+    return _if_any(text, k.DECLARED_WORDS, lambda x: F.regexp_replace(x, f"(?md){k.TYPE_MARKER}", ""))
 
 
 def strip_leading_punctuation(text: Column) -> Column:
@@ -132,6 +132,11 @@ def answer_key(block: Column) -> Column:
 
 def slot_statements(explanation: Column) -> Column:
     """Every non-empty numbered statement, in text order."""
+    none = F.array().cast("array<struct<box:int,answer:string>>")
+    return once(explanation, lambda x: F.when(x.contains("Box"), _statements(x)).when(x.isNotNull(), none))
+
+
+def _statements(explanation: Column) -> Column:
     pattern = F.lit(f"(?md){k.BOX}")
     numbers, texts = F.regexp_extract_all(explanation, pattern, F.lit(1)), F.regexp_extract_all(explanation, pattern, F.lit(2))
     pairs = F.transform(F.arrays_zip(numbers.alias("n"), texts.alias("t")), lambda p: F.struct(
@@ -175,8 +180,8 @@ def harvest_urls(text: Column) -> Column:
 
 
 def declared_type(block: Column) -> Column:
-    word = F.regexp_extract(block, f"(?md){k.TYPE_MARKER}", 1)
-    return F.when(word == "HOTSPOT", "hotspot").when(word == "DRAG DROP", "dragdrop")
+    word = _if_any(block, k.DECLARED_WORDS, lambda x: F.regexp_extract(x, f"(?md){k.TYPE_MARKER}", 1))
+    return once(word, lambda w: F.when(w == "HOTSPOT", "hotspot").when(w == "DRAG DROP", "dragdrop"))
 
 
 def infer_type(declared: Column, correct: Column) -> Column:

@@ -6,6 +6,7 @@ read: no join with a rule table, no shuffle, and every pattern is compiled once
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,14 +31,48 @@ def scoring_text(stem: Column, options: Column, explanation: Column, refs: Colum
                     c(explanation), F.lit(" "), c(F.array_join(refs, " ")))
 
 
+def latin_fold(low: Column) -> Column:
+    """Lower-cased text in which all that matches a letter of ``PLAIN``, case ignored, is that letter."""
+    for other, letter in (("i\u0307", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        low = F.replace(low, F.lit(other), F.lit(letter))
+    return low
+
+
+#: Words of Latin letters whose case is folded character by character, within word boundaries or not.
+PLAIN = re.compile(r"(\\b)?([0-9A-Za-zÀ-ÖØ-Þà-öø-þ](?:[0-9A-Za-zÀ-ÖØ-Þà-öø-þ ]*[0-9A-Za-zÀ-ÖØ-Þà-öø-þ])?)(\\b)?")
+
+
+def found(pattern: str, text: Column, low: Column, fold: Column) -> Column:
+    """``text.rlike`` of the pattern, case ignored. ``low`` is the text in lower case, ``fold`` the folded text.
+
+    Plain words are looked for as substrings: what the lower-cased text holds (between blanks where boundaries are
+    asked for) matches, what the folded text does not hold, or holds only beside a letter or digit, cannot; the
+    regular expression, which looks for a boundary at every character, decides what is left.
+    """
+    match = text.rlike(f"(?iU){pattern}")
+    plain = PLAIN.fullmatch(pattern)
+    if not plain:
+        return match
+    before, word, after = plain.groups()
+    word = word.lower()
+    maybe = fold.contains(word)
+    if before or after:
+        maybe &= fold.rlike(word + (f"(?<![0-9a-z_]{word})" if before else "") + ("(?![0-9a-z_])" if after else ""))
+    return low.contains((" " if before else "") + word + (" " if after else "")) | (maybe & match)
+
+
 def score(docs: DataFrame, text: Column, rules: Sequence[Rule]) -> DataFrame:
     """Add ``ranked``: per area with a hit, (score, first_rule, area, subtopic), best first.
 
     A pattern counts once however often it occurs; a rule's points are distinct hits times its weight.
     Equal scores rank by the first rule that hit; within an area the first best rule names the subtopic.
     """
-    hits = [sum((text.rlike(f"(?iU){p}").cast("int") for p in r.patterns[1:]), text.rlike(f"(?iU){r.patterns[0]}").cast("int")) for r in rules]
-    rows = stage(docs, {"_points": F.array(*[h * F.lit(r.weight) for h, r in zip(hits, rules)])})
+    hit = lambda p: found(p, F.col("_scored"), F.col("_low"), F.col("_fold")).cast("int")
+    hits = [sum((hit(p) for p in r.patterns[1:]), hit(r.patterns[0])) for r in rules]
+    rows = stage(docs, {"_scored": text})
+    rows = stage(rows, {"_low": F.lower("_scored")})
+    rows = stage(rows, {"_fold": latin_fold(F.col("_low"))})
+    rows = stage(rows, {"_points": F.array(*[h * F.lit(r.weight) for h, r in zip(hits, rules)])})
     areas = list(dict.fromkeys(r.area for r in rules))
     entries = []
     for area in areas:

@@ -93,26 +93,34 @@ def overlap_join(segs: DataFrame, spans: DataFrame, doc: str = "doc_id", width:
 FIELDS = ("type", "stem", "options", "correct", "explanation", "refs", "boxes", "background", "parse_confidence", "parse_notes")
 
 
-def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", watermark: str | None = None, fields: Sequence[str] = FIELDS) -> DataFrame:
+def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", watermark: str | None = None, fields: Sequence[str] = FIELDS,
+                   spread: Sequence[str] | None = None) -> DataFrame:
     """The wanted fields of one block per row; ``source`` b uses the second source's shorter note list.
 
     A chain of narrow stages: each reads only columns of those before, and each text is scanned once. Only the
     steps that a wanted field rests on are built, since a stage's columns cannot be pruned afterwards.
+
+    With ``spread`` the rows are dealt by these columns as soon as all is made that does not depend on the source.
+    Parses of the same blocks are equal up to there, so that Spark runs that part once for both, and a join of them
+    on these columns moves no row again.
     """
     c = F.col
     no_boxes = F.array().cast(t.BOXES_TYPE)
     bounds = lambda: [c("_e_end"), c("_r_start"), c("_r_end")]
     stem = lambda: t.background_and_stem(c("_region"), c("_paragraphs"))["stem"]
     low = lambda: low_confidence() if source == "a" else F.size("parse_notes") > 0
-    notes = ["stem", "type", "options", "correct", *(["boxes", "currency_note"] if source == "a" else [])]
+    # Parses that are spread carry the same columns to where they part.
+    noted = source == "a" or bool(spread)
+    notes = ["stem", "type", "options", "correct", *(["boxes", "currency_note"] if noted else [])]
     # name: (columns it is made of, its expression)
     steps = {
         "_block": (["body"], lambda: t.normalise_block(c("body"), watermark)),
         "_head": (["_block"], lambda: F.get(t.around_match(c("_block"), k.ANSWER_LINE), F.lit(0))),
         "_declared": (["_block"], lambda: t.declared_type(c("_block"))),
-        "correct": (["_block"], lambda: t.answer_key(c("_block"))),
         "currency_note": (["_block"], lambda: t.legacy_notes(c("_block"))),
         "_tail": (["_block", "_head"], lambda: F.substr(c("_block"), F.length("_head") + 1)),
+        # An answer key stands on an answer line, and the tail begins at the first of these.
+        "correct": (["_tail"], lambda: t.answer_key(c("_tail"))),
         "_pieces": (["_head"], lambda: t.option_pieces(t.strip_markers(c("_head")))),
         "_e": (["_tail"], lambda: t.around_match(c("_tail"), k.EXPLANATION)),
         "_r": (["_tail"], lambda: t.around_match(c("_tail"), k.REFERENCE)),
@@ -127,13 +135,14 @@ def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", wat
         "explanation": (["_expl"], lambda: t.clean_block(c("_expl"))),
         "_own": (["_refs"], lambda: t.harvest_urls(c("_refs"))),
         "background": (["_region", "_paragraphs"], lambda: t.background_and_stem(c("_region"), c("_paragraphs"))["background"]),
-        "stem": (["_region", "_paragraphs"], lambda: t.strip_leading_punctuation(stem()) if source == "a" else stem()),
+        "_asked": (["_region", "_paragraphs"], stem),
+        "stem": (["_asked"], lambda: t.strip_leading_punctuation(c("_asked")) if source == "a" else c("_asked")),
         "_slots": (["_declared", "explanation"], lambda: F.when(c("_declared").isNotNull(), t.slot_statements(c("explanation")))),
         "refs": (["_own", "_expl"], lambda: F.when(F.size("_own") > 0, c("_own")).otherwise(t.harvest_urls(c("_expl")))),
         "type": (["_declared", "correct"], lambda: t.infer_type(c("_declared"), c("correct"))),
         "boxes": (["_slots"], lambda: F.coalesce(t.numbered_slots(c("_slots")), no_boxes)),
         "parse_notes": (notes, lambda: first_source_notes() if source == "a" else second_source_notes()),
-        "parse_confidence": (["parse_notes", *(["currency_note"] if source == "a" else [])], lambda: F.when(low(), "low").otherwise("high")),
+        "parse_confidence": (["parse_notes", *(["currency_note"] if noted else [])], lambda: F.when(low(), "low").otherwise("high")),
     }
     lead = [x for x in blocks.columns if x not in ("body", id_col)] + [id_col]
     left, todo = set(), list(fields)
@@ -143,13 +152,17 @@ def extract_fields(blocks: DataFrame, source: str = "a", id_col: str = "id", wat
             left.add(name)
             todo += steps[name][0]
     rows, made = blocks, {"body"}
+    own = {"stem", "parse_notes", "parse_confidence"}
     while left:
-        ready = [n for n in steps if n in left and made.issuperset(steps[n][0])]
+        if spread and left <= own:
+            rows, spread = rows.repartition(*spread), None
+            rows = stage(rows, {n: c(n) for n in rows.columns if n not in lead})
+        ready = [n for n in steps if n in left and made.issuperset(steps[n][0]) and not (spread and n in own)]
         left -= set(ready)
         read = {x for n in left for x in steps[n][0]}
         rows = stage(rows, {n: steps[n][1]() for n in ready}, keep=[*lead, *[x for x in rows.columns if x not in lead and (x in read or x in fields)]])
         made |= set(ready)
-    return rows.select(*lead, *fields)
+    return (rows.repartition(*spread) if spread else rows).select(*lead, *fields)
 
 
 def first_source_notes() -> Column:

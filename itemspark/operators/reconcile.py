@@ -11,6 +11,7 @@ from itemspark.functions import constants as k
 from itemspark.functions import items as it
 from itemspark.functions.identity import content_hash
 from itemspark.functions.text import BOXES_TYPE, OPTIONS_TYPE, key_list, legacy_notes, orphaned_letters
+from itemspark.operators.stages import stage
 
 RAW_FIELDS = {
     "type": "string", "stem": "string", "options": OPTIONS_TYPE, "correct": "array<string>", "explanation": "string",
@@ -67,7 +68,7 @@ def reconcile(a: DataFrame, b: DataFrame, on: Sequence[str] = ("id",), strict_ha
     choice = F.col("_type").startswith("mcq")
     rows = rows.withColumn("type", F.when(choice, F.when(F.size("correct") > 1, "mcq-multi").otherwise("mcq-single")).otherwise(F.col("_type")))
     rows = rows.withColumn("_orphans", orphaned_letters(F.col("correct"), F.col("options")))
-    note = legacy_notes(F.concat_ws(" ", "stem", "explanation", F.array_join("refs", " ")))
+    rows = stage(rows, {"_legacy": legacy_notes(F.concat_ws(" ", "stem", "explanation", F.array_join("refs", " ")))})
     no_option = F.when(F.size("options") > 0, F.lit(" has no matching option")).when(F.lit(note_bare_keys), F.lit(" without any option"))
     orphan_note = F.when(F.size("_orphans") > 0, F.concat(F.lit("answer key "), key_list(F.col("_orphans")), no_option))
     low = F.col("disagreement").isNotNull() | (F.size("_orphans") > 0) | F.col("_a_low") | (it.is_visual() & it.empty(F.col("boxes")))
@@ -75,12 +76,12 @@ def reconcile(a: DataFrame, b: DataFrame, on: Sequence[str] = ("id",), strict_ha
     extra = F.filter(F.array("_dispute", orphan_note), lambda x: x.isNotNull())
     return rows.withColumns({
         "self_graded": it.self_graded(),
-        "currency_note": note,
-        "currency": F.when(note.isNull(), "current").otherwise("suspect"),
+        "currency_note": F.col("_legacy"),
+        "currency": F.when(F.col("_legacy").isNull(), "current").otherwise("suspect"),
         "parse_confidence": F.when(low, "low").otherwise("high"),
         "parse_notes": F.array_distinct(F.concat("_notes", extra)),
         "content_hash": content_hash(F.col("type"), stem, F.col("options"), F.col("boxes"), F.col("images")),
-    }).drop("_type", "_notes", "_dispute", "_a_low", "_orphans")
+    }).drop("_type", "_notes", "_dispute", "_a_low", "_orphans", "_legacy")
 
 
 def agreement(a: DataFrame, b: DataFrame, on: Sequence[str] = ("id",), alarm: float = k.DISAGREEMENT_ALARM) -> DataFrame:

@@ -24,9 +24,10 @@ L = F.lit
 
 
 def _block(line: Column, i: Column) -> Column:
-    words = F.split(line, " ")
-    told = F.struct(F.length(line).alias("n"), F.element_at(words, 1).alias("first"), F.element_at(words, -1).alias("last"), F.size(words).alias("size"))
-    return once(told, lambda x: _written(line, i, x["n"], x["first"], x["last"], x["size"]))
+    first, last = F.substring_index(line, " ", 1), F.substring_index(line, " ", -1)
+    # The number of words; like the words themselves made only where it is written.
+    size = F.octet_length(line) - F.octet_length(F.replace(line, L(" "))) + 1
+    return once(F.length(line), lambda n: _written(line, i, n, first, last, size))
 
 
 def _written(line: Column, i: Column, n: Column, first: Column, last: Column, size: Column) -> Column:
@@ -53,8 +54,8 @@ def raw_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(L("Front matter\n"), F.array_join(blocks, "")).alias("text"))
 
 
-def raw_items(spark: SparkSession, sf_dir: str, source: str = "a", fields: Sequence[str] = FIELDS) -> DataFrame:
-    return extract_fields(segments(raw_dump(spark, sf_dir), offsets=False), source, fields=fields)
+def raw_items(spark: SparkSession, sf_dir: str, source: str = "a", fields: Sequence[str] = FIELDS, spread: Sequence[str] | None = None) -> DataFrame:
+    return extract_fields(segments(raw_dump(spark, sf_dir), offsets=False), source, fields=fields, spread=spread)
 
 
 def dump_items(spark: SparkSession, sf_dir: str, fields: Sequence[str] = (*FIELDS, "self_graded", "content_hash", "currency_note", "currency")) -> DataFrame:

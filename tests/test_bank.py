@@ -99,3 +99,16 @@ def test_pool_need_rounds_half_even(spark):
     strata = strata_frame(spark.range(1), [("a", "A", 10, 15, 0.5), ("b", "B", 1, 5, 0.5), ("c", "C", 1, 2, 0.0)])
     need = {r.area: r.need for r in q.pool_adequacy(spark.createDataFrame([("a",)], "area string"), strata, paper=50).collect()}
     assert need == {"a": round(7.5) * 3, "b": round(2.5) * 3, "c": 3}
+
+
+def test_plain_words_match_as_their_patterns_do_and_are_looked_for_as_substrings(spark):
+    texts = ["of the", "The end", "other", "x_the the_x", "thé x", "éthe", "(THE)", "often off", "profit of.", "EAUX ſous SOUS", "Keit k", "İx ix", "ıx",
+             "xİ", "gli̇ x", "glİ x", "gli", "ÉO", "éo", "ßchü SCHÜ", "straße", "", None, "a the-b", "1the2", "the", "\n the\t", "und​die", "a.b a+b"]
+    patterns = [r"\bthe\b", r"\bof\b", r"\boff", r"off\b", "eaux", "sous", "keit", "ix", r"\bx", r"\bgli\b", "gli", "éo", "schü", "ss", r"a\.b", "of the", r"\bund\b", r"\bdie\b", "a.b"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, x string")
+    low = F.lower("x")
+    got = df.select(*[cl.found(p, F.col("x"), low, cl.latin_fold(low)).alias(f"p{i}") for i, p in enumerate(patterns)], "id").orderBy("id").collect()
+    want = df.select(*[F.col("x").rlike(f"(?iU){p}").alias(f"p{i}") for i, p in enumerate(patterns)], "id").orderBy("id").collect()
+    assert got == want
+    plan = cl.score(df, F.col("x"), [cl.Rule("a", "s", 1, (r"\bthe\b", "eaux", "a.b"))])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 4 and plan.count("Contains(") == 4

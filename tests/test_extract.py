@@ -163,3 +163,19 @@ def test_second_source_notes_extract_no_more_than_they_tell(spark):
     from itemspark.plans.extract_queries import parse_notes_second_source
     plan = parse_notes_second_source(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "no answer key in DOCX text" in plan and "Reference[s]" not in plan
+
+
+def test_two_parses_dealt_by_their_key_share_their_common_part(spark):
+    body = "Question: {}\n-- HOTSPOT\nStem {}? Answer: inline\nA.x\nB.y\nAnswer:\nno key\nAnswer: C, A\n\fExplanation:\nCDS is old. Box 1: p - Box 2: q\n"
+    blocks = spark.createDataFrame([(d, i, body.format(i, d)) for d in range(3) for i in range(20)], "doc_id int, id bigint, body string")
+    on = ["doc_id", "id"]
+    a, b = (ex.extract_fields(blocks, s, spread=on) for s in "ab")
+    for got, source in ((a, "a"), (b, "b")):
+        want = ex.extract_fields(blocks, source)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert a.first().correct == ["A", "C"]
+    side = lambda df, tag: df.select(*on, F.struct(*[x for x in df.columns if x not in on]).alias(tag))
+    joined = side(a, "a").join(side(b, "b").hint("merge"), on, "full_outer")
+    joined.collect()
+    final = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 1 and final.count("+- Exchange hashpartitioning") == 1
